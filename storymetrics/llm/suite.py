@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_byte_level_bpe
+from .minhash import op8_document_fingerprints
+from .ngram_join import op5_ngram_jaccard_join
 from .packing import op10_best_fit_packing
+from .secrets import op7_secret_scans
 from .substring import op3_substring_dedup
+from .warc import op9_warc
 
 #: The text of the first 50 words on, in DuckDB's SQL: every window with the smallest id that has it.
 OP3_SQL = r"""
@@ -27,7 +31,24 @@ SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT A
 FROM w LEFT JOIN g USING (doc_id)
 """
 
+OP9_SQL = r"""
+WITH p AS (
+  SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+         strftime(to_timestamp(1704067200 + page_id % 1000000000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS captured,
+         split_part(regexp_replace(regexp_replace(lower(coalesce(url, '')), '^[a-z]+://', ''), '^www\.', ''), '#', 1) AS rest
+  FROM pages
+), k AS (
+  SELECT *, array_to_string(list_reverse(string_split(split_part(rest, '/', 1), '.')), ',') || ')' || substr(rest, length(split_part(rest, '/', 1)) + 1) AS url_key,
+         max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first_id
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN first_id END AS refers_to, url_key, captured,
+       row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS position
+FROM k
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_byte_level_bpe, op3_substring_dedup, op10_best_fit_packing)
+    f.__name__: f for f in (op2_byte_level_bpe, op3_substring_dedup, op5_ngram_jaccard_join, op7_secret_scans, op8_document_fingerprints, op9_warc, op10_best_fit_packing)
 }
-ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": OP3_SQL, "op9_warc": OP9_SQL}
