@@ -3,7 +3,7 @@
 Documents are cut into pre-tokens in blocks of about BLOCK_CHARS characters. A block writes the position stream of its
 documents (which word stands where, as ranks by frequency) and its distinct words, packed by hash bucket; only those
 words are shuffled. A bucket sees a word from every block that has it, encodes it once and sends the ids back to the
-blocks, where they are put in place by the position stream. Decoding looks every id up in the token-byte table, which
+blocks (a bucketed table, so that the streams themselves are not shuffled), where they are put in place by the position stream. Decoding looks every id up in the token-byte table, which
 has as many rows as the vocabulary. A very common word travels once per block, so no key is hot.
 
 Defined results: null and empty texts have no ids; equal rows are encoded separately; an empty table gives an empty
@@ -157,8 +157,8 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def encode(documents: DataFrame, path: str, digests: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) and the bytes that the ids decode to; digests: their count and SHA-256 instead."""
-    buckets = common.dealt(common.size_hint(documents), 8_000_000, most=65535)
-    parts = common.saved(blocks(documents, buckets, block_chars), "bpe")
+    hint = common.size_hint(documents)
+    parts = common.bucketed(blocks(documents, common.dealt(hint, 8_000_000, most=65535), block_chars), "block", common.dealt(hint, block_chars), "bpe")
     ids_schema, out_schema = common.arrow_schema("block long, bucket int, ids binary"), common.arrow_schema(DIGEST if digests else ENCODED)
 
     def encode_bucket(group: pa.Table) -> pa.Table:

@@ -38,6 +38,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
+    """df as a written table in n buckets of the key: grouping it by the key needs no shuffle."""
+    path = place(df.sparkSession, name)
+    known = path.rsplit("/", 1)[-1].replace("-", "_")
+    df.write.option("path", path).option("compression", "zstd").bucketBy(n, key).saveAsTable(known, format="parquet")
+    return df.sparkSession.table(known)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table made by saved(), once nothing reads it any more."""
     spark = df.sparkSession
