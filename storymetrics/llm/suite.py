@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_byte_level_bpe
+from .lattice import op1_embedding_near_dedup
 from .minhash import op8_document_fingerprints
 from .ngram_join import op5_ngram_jaccard_join
 from .packing import op10_best_fit_packing
@@ -31,6 +32,19 @@ SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT A
 FROM w LEFT JOIN g USING (doc_id)
 """
 
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS norm FROM embeddings
+), good AS (SELECT * FROM v WHERE label IS NOT NULL AND vec_id IS NOT NULL AND norm > 0 AND isfinite(norm)),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+), reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
 OP9_SQL = r"""
 WITH p AS (
   SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
@@ -49,6 +63,6 @@ FROM k
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_byte_level_bpe, op3_substring_dedup, op5_ngram_jaccard_join, op7_secret_scans, op8_document_fingerprints, op9_warc, op10_best_fit_packing)
+    f.__name__: f for f in (op1_embedding_near_dedup, op2_byte_level_bpe, op3_substring_dedup, op5_ngram_jaccard_join, op7_secret_scans, op8_document_fingerprints, op9_warc, op10_best_fit_packing)
 }
-ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": OP3_SQL, "op9_warc": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op9_warc": OP9_SQL}
