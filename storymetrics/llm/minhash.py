@@ -82,12 +82,13 @@ def fingerprints(documents: DataFrame, k: int = WORDS) -> DataFrame:
 def near_duplicates(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, fingerprint, component_id: the smallest doc_id reached over verified links of documents that share a band.
 
-    Equal fingerprints are one class for the join of bands, but each document of it is verified by its shingles.
+    Documents that share a band, directly or over others, are one block, and the links in it are verified by shingles.
     """
     held = common.saved(fingerprints(documents, k), "fingerprints")
     keys = held.where(F.col("doc_id").isNotNull()).select(F.explode("keys").alias("key"), "doc_id")
-    filled = documents.where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0).select("doc_id", "text")
-    found = common.components(common.saved(ngram_join.links(filled, keys.join(filled.select("doc_id").distinct(), "doc_id", "left_semi"), k, percent), "links"), "near")
+    shared = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key", "a")
+    block = common.components(keys.join(shared, "key").select("a", F.col("doc_id").alias("b")).distinct(), "blocks")
+    found = common.components(common.saved(ngram_join.links(documents, block, k, percent), "links"), "near")
     return held.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "fingerprint", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -1,13 +1,17 @@
 """N-gram Jaccard join: T-occurrence search with DivideSkip inside blocks of documents that can be alike.
 
-Two sets with Jaccard similarity t or more share a member of their prefixes, the first n - ceil(t n) + 1 shingles in any
-order that all documents use. The order here is by the rarest word of a shingle, from word counts over all documents
-kept in a table of fixed size (COUNTERS), then by hash. Documents with equal sets are one class; classes that share
-prefix shingles, directly or over others, are one block. Inside a block every class looks for its partners over the
-inverted lists of its shingles: the longest lists are set aside, the short ones are merged by heap, and documents that
-can still reach the required overlap T are looked up in the long lists by binary search. Partners that are connected
-already are not looked up again, and only the links that connect something are returned, so no group yields its pairs.
-A block of more than SHARD classes is searched shard against shard, in as many tasks as there are pairs of shards.
+Two sets with Jaccard similarity t differ in at most H = (1 - t) / (1 + t) (|x| + |y|) shingles. Where a hash deals the
+shingles to H + 2 segments, the segments of similar sets agree in two at least, so they share the hash of a segment
+that isn't empty (sets with two empty segments or more use those as well). Sizes are dealt to classes a factor 1 / t
+apart, and a document uses the segments of its class and of the next, so that similar documents use the same number. A
+segment holds about nine shingles, which documents share for no other reason than being copies in part, however large
+the corpus. Documents that share a segment, directly or over others, are one block; equal sets have one representative.
+
+Inside a block every representative looks for its partners over the inverted lists of its shingles: the longest lists
+are set aside, the short ones are merged by heap, and documents that can still reach the required overlap T are looked
+up in the long lists by binary search. Partners that are connected already are not looked up again, and only the links
+that connect something are returned, so no group yields its pairs. A block of more than SHARD members is searched shard
+against shard, in as many tasks as there are pairs of shards.
 
 Defined results: documents without words have an empty set, link with nothing and are their own component; equal rows
 are in one class; a null doc_id takes part in no link and has no component of its own; an empty table gives an empty
@@ -22,87 +26,129 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, text
 
 WORDS, PERCENT = 3, 90
-COUNTERS = 1 << 20
 SHARD = 512
 #: Cost of a step of a merge against a look-up, as DivideSkip weighs them.
 MERGE_COST = 0.0085
-SETS = "doc_id long, n long, s1 long, s2 long, keys array<long>"
-SEARCHED = "block long, a int, b int, shard int, doc_id long, shingles binary"
-
-
-def word_levels(documents: DataFrame) -> np.ndarray:
-    """For each counter (the top bits of a word's hash) 4 log2 of how many words of all documents fall in it."""
-    chunks, schema = 64, common.arrow_schema("chunk int, counts binary")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            for _, data, offsets in text.runs(b.column(1)):
-                total += np.bincount((text.words(data, offsets, fold=True).hash >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
-        yield common.batch(schema, range(chunks), [x.tobytes() for x in np.split(total, chunks)])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in group["counts"])
-        levels = (4 * np.log2(total + 1)).astype(np.uint8)
-        return pa.Table.from_batches([common.batch(schema, [group["chunk"][0].as_py()], [levels.tobytes()])])
-
-    rows = common.texts(documents).mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
-    levels = np.zeros(COUNTERS, np.uint8)
-    for row in rows:
-        each = COUNTERS // chunks
-        levels[row["chunk"] * each : (row["chunk"] + 1) * each] = np.frombuffer(row["counts"], np.uint8)
-    return levels
-
-
-def least_level(w: text.Words, levels: np.ndarray, k: int) -> np.ndarray:
-    """The level of the rarest word of each shingle, in the order of text.shingles()."""
-    level = levels[(w.hash >> np.uint64(44)).astype(np.int64)]
-    n = max(0, len(level) - k + 1)
-    low = np.minimum.reduce([level[i : i + n] for i in range(k)]) if n else level[:0]
-    doc = w.doc[:n]
-    whole = doc == w.doc[k - 1 :] if n else np.zeros(0, bool)
-    doc, low = doc[whole], low[whole]
-    counts = np.diff(w.first)
-    short = np.flatnonzero((counts > 0) & (counts < k))
-    if len(short):
-        extra = np.array([level[w.first[d] : w.first[d + 1]].min() for d in short], np.uint8)
-        order = np.argsort(np.concatenate([doc, short]), kind="stable")
-        low = np.concatenate([low, extra])[order]
-    return low
-
-
-def sets(documents: DataFrame, levels: np.ndarray, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, the size of its shingle set, a 128-bit hash of the set, and its prefix."""
-    schema, shared = common.arrow_schema(SETS), documents.sparkSession.sparkContext.broadcast(levels)  # COUNTERS bytes
+#: Keys that a task sorts at a time; bytes of input for each bucket of keys.
+HELD_KEYS, BUCKET_BYTES = 1 << 21, 8_000_000
+#: Rows of kind 0: a document (a: doc_id) with its set's size and hash; 1: a link (a, b) to make one block; 2: packed keys.
+SETS = "kind int, a long, b long, n long, s1 long, s2 long, keys binary, ids binary"
+
+
+def schemes(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each size, and for each class the number of segments (0: sets so small differ too much if at all)."""
+    top = [0]
+    while top[-1] <= n.max(initial=1):
+        top.append(max(top[-1] + 1, top[-1] * 100 // percent))
+    top += [max(t + 1, t * 100 // percent) for t in top[-1:]]
+    most = np.array(top, np.int64)
+    differ = 2 * most * (100 - percent) // (100 + percent)
+    return np.searchsorted(most, n), np.where(differ > 0, differ + 2, 0)
+
+
+def segment_keys(doc: np.ndarray, h: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) for every segment that the rows use; doc and h are their distinct shingles."""
+    kind, segments = schemes(n, percent)
+    rows, keys = [], []
+    place, value = text.mix(h ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32), text.mix(h + np.uint64(0x9E3779B97F4A7C15))
+    for scheme in (kind, kind + 1):
+        many = np.where(n > 0, segments[scheme], 0)
+        first = np.cumsum(many) - many
+        used = many[doc] > 0
+        at = first[doc[used]] + ((place[used] * many[doc[used]].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        total, filled = np.zeros(many.sum(), np.uint64), np.zeros(many.sum(), bool)
+        np.add.at(total, at, value[used])
+        filled[at] = True
+        row = np.repeat(np.arange(len(n)), many)
+        number = np.arange(len(row)) - first[row]
+        empty = np.bincount(row[~filled], minlength=len(n))
+        use = filled | (empty[row] > 1)
+        named = text.mix(scheme[row].astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + number.astype(np.uint64))
+        rows.append(row[use])
+        keys.append(text.mix(total + named)[use])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def star(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (smallest id, other id) pairs of equal keys, and the keys, sorted, with their smallest ids."""
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    low = ids[new][np.cumsum(new) - 1] if len(ids) else ids
+    apart = low != ids
+    return np.unique(np.stack([low[apart], ids[apart]]), axis=1), keys[new], ids[new]
+
+
+def sets(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows that SETS tells of: a task combines what it holds before anything is shuffled."""
+    schema, buckets = common.arrow_schema(SETS), common.dealt(common.size_hint(documents), BUCKET_BYTES, 24, 4096)
+
+    def sent(keys: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        pairs, key, low = star(np.concatenate(keys), np.concatenate(ids))
+        n = pairs.shape[1]
+        none = [None] * n
+        yield common.batch(schema, [1] * n, pairs[0], pairs[1], *[none] * 5)
+        cuts = np.searchsorted(key, (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
+        rows = []
+        for number, (key_part, id_part) in enumerate(zip(np.split(key, cuts), np.split(low, cuts))):
+            if len(key_part):
+                steps = np.diff(key_part >> np.uint64(16), prepend=np.uint64(0))
+                rows.append((2, number, None, None, None, None, zstandard.compress(planes(steps), 1), zstandard.compress(planes(id_part), 1)))
+        if rows:
+            yield common.batch(schema, *zip(*rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, held = [], [], 0
         for b in batches:
+            known = b.column(0).fill_null(0).to_numpy()
+            has_id = b.column(0).is_valid().to_numpy(zero_copy_only=False)
             for first, data, offsets in text.runs(b.column(1)):
-                w = text.words(data, offsets, fold=True)
-                doc, h = text.shingles(w, k)
-                order = np.lexsort((h, least_level(w, shared.value, k), doc))
-                doc, h = doc[order], h[order]
-                keep = np.ones(len(h), bool)
-                keep[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-                doc, h = doc[keep], h[keep]
                 rows = len(offsets) - 1
+                doc, h = text.distinct(*text.shingles(text.words(data, offsets, fold=True), k))
                 n = np.bincount(doc, minlength=rows)
                 start = np.cumsum(n) - n
                 total = [np.append(np.zeros(1, np.uint64), np.cumsum(text.mix(h ^ np.uint64(salt)))) for salt in (0, 0x5851F42D4C957F2D)]
                 s1, s2 = ((t[start + n] - t[start]).view(np.int64) for t in total)
-                length = np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
-                chosen = np.arange(len(h)) - start[doc] < length[doc]
-                yield common.batch(schema, b.column(0).slice(first, rows), n, s1, s2, common.lists(h[chosen].view(np.int64), length, pa.int64()))
+                yield common.batch(schema, [0] * rows, b.column(0).slice(first, rows), [None] * rows, n, s1, s2, *[[None] * rows] * 2)
+                row, key = segment_keys(doc, h, n, percent)
+                real = has_id[first + row]
+                keys.append(key[real])
+                ids.append(known[first + row[real]])
+                held += len(keys[-1])
+                if held >= HELD_KEYS:
+                    yield from sent(keys, ids)
+                    keys, ids, held = [], [], 0
+        if held:
+            yield from sent(keys, ids)
 
     return common.texts(documents).mapInArrow(run, SETS)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """64-bit values, all lowest bytes first, then all second ones ...: sorted steps and small numbers compress well."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def meeting(group: pa.Table) -> pa.Table:
+    """The links of a bucket of keys: each id to the smallest with the same key."""
+    keys = np.concatenate([np.cumsum(unplaned(x.as_py())) for x in group["keys"]])
+    ids = np.concatenate([unplaned(x.as_py()).view(np.int64) for x in group["ids"]])
+    pairs = star(keys, ids)[0]
+    return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+
 class Index:
     """Inverted lists over documents (numbers in order), by shingle."""
 
@@ -198,14 +244,11 @@ def search(ids: np.ndarray, members: list[np.ndarray], shard: np.ndarray, a: int
                 yield int(ids[x]), int(ids[y])
 
 
-def links(documents: DataFrame, keys: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): links that connect the documents whose sets of k-word shingles are `percent` alike, given (key, doc_id) rows.
+def links(documents: DataFrame, block: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links that connect the documents whose sets of k-word shingles are `percent` alike.
 
-    Documents that share a key are in one block, and similar ones must. One document stands for those with equal sets.
+    block: (node, component) for the doc_ids that take part; similar ones must be in one component.
     """
-    spread = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key", "a")
-    star = keys.join(spread, "key").select("a", F.col("doc_id").alias("b")).where("a <> b").distinct()
-    block = common.components(star, "blocks")
     shards = block.groupBy("component").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
     member = block.join(shards, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("block"), "shards")
     schema = common.arrow_schema("block long, shards int, doc_id long, shingles binary")
@@ -235,18 +278,16 @@ def links(documents: DataFrame, keys: DataFrame, k: int, percent: int) -> DataFr
     return tasks.repartition("block", "a", "b").sortWithinPartitions("block", "a", "b").mapInArrow(find, "a long, b long")
 
 
-def classes(sized: DataFrame) -> DataFrame:
-    """The rows of sets() with `rep`, the smallest doc_id with an equal set (null for empty sets)."""
-    same = sized.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    return sized.join(same, ["n", "s1", "s2"], "left")
-
-
 def join(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id."""
-    sized = common.saved(sets(documents, word_levels(documents), k, percent), "sets")
-    member = common.saved(classes(sized).select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")), "classes")
-    keys = member.where(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), "doc_id")
-    found = common.components(common.saved(links(documents, keys, k, percent), "links"), "linked").withColumnRenamed("node", "rep")
+    made = common.saved(sets(documents, k, percent), "sets")
+    sized = made.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "s1", "s2")
+    same = sized.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    member = common.saved(sized.join(same, ["n", "s1", "s2"], "left").select("doc_id", "n", "rep"), "classes")
+    far = made.where("kind = 2").select(F.col("a").alias("bucket"), "keys", "ids").groupBy("bucket").applyInArrow(meeting, "a long, b long")
+    block = common.components(made.where("kind = 1").select("a", "b").union(far), "blocks")
+    block = block.join(member.where("doc_id = rep").select(F.col("doc_id").alias("node")).distinct(), "node")
+    found = common.components(common.saved(links(documents, block, k, percent), "links"), "linked").withColumnRenamed("node", "rep")
     component = F.coalesce("component", "rep", "doc_id").alias("component_id")
     return member.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), component)
 
