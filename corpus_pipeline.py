@@ -1,17 +1,63 @@
-"""A corpus pipeline of operators of storymetrics.llm."""
+"""A corpus pipeline: language ID, n-gram Jaccard join, substring dedup, secret scans and best-fit packing.
+
+Each stage takes (spark, docs, sf_dir) and returns documents (doc_id, text, lang, source, n_chars) for the next one, the
+last one the packed pieces. A stage's result is written as Parquet in the shared folder and read again.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from storymetrics.llm import common, langid, ngram_join, packing, secrets, substring
+
+MORE = ("lang", "source")
+
+
+def documents(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters or of unclear language go."""
+    return langid.accepted(docs).select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, 0.8) the document with the smallest doc_id stays."""
+    return ngram_join.representatives(docs, 5, 80)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in 50-word windows that stand in an earlier document go; texts that lose nothing stay as they are."""
+    return documents(substring.dedup(docs, more=MORE, rejoin=False).withColumnRenamed("kept", "text"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked."""
+    return documents(secrets.redact(docs, MORE))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
-from storymetrics.llm import common, packing
 
-STAGES = [("packing", lambda spark, docs, sf_dir: packing.pack(docs, __import__("public_tokenizers").path("byte_bpe_50k.json")))]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("substring_dedup", substring_dedup),
+    ("secret_scans", secret_scans),
+    ("best_fit_packing", best_fit_packing),
+]
+#: SQL can't express the packing; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = common.saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

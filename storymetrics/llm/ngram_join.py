@@ -1,11 +1,12 @@
 """N-gram Jaccard join: T-occurrence search with DivideSkip inside blocks of documents that can be alike.
 
 Two sets with Jaccard similarity t differ in at most H = (1 - t) / (1 + t) (|x| + |y|) shingles. Where a hash deals the
-shingles to H + 2 segments, the segments of similar sets agree in two at least, so they share the hash of a segment
-that isn't empty (sets with two empty segments or more use those as well). Sizes are dealt to classes a factor 1 / t
-apart, and a document uses the segments of its class and of the next, so that similar documents use the same number. A
-segment holds about nine shingles, which documents share for no other reason than being copies in part, however large
-the corpus. Documents that share a segment, directly or over others, are one block; equal sets have one representative.
+shingles to H + 1 + e segments, e + 1 segments of similar sets agree, so they share the hash of a segment that isn't
+empty (sets with more than e empty segments use those as well; e is chosen so that hardly any do). Sizes are dealt to
+classes a factor 1 / t apart, and a document uses the segments of its class and of the next, so that similar documents
+use the same number. A segment holds several shingles, which documents share for no other reason than being copies in
+part, however large the corpus. Sets too small for segments use their prefixes, n - ceil(t n) + 1 shingles, the longest
+(rarest) first. Documents that share a key, directly or over others, are one block; equal sets have one representative.
 
 Inside a block every representative looks for its partners over the inverted lists of its shingles: the longest lists
 are set aside, the short ones are merged by heap, and documents that can still reach the required overlap T are looked
@@ -42,23 +43,41 @@ HELD_KEYS, BUCKET_BYTES = 1 << 21, 8_000_000
 SETS = "kind int, a long, b long, n long, s1 long, s2 long, keys binary, ids binary"
 
 
-def schemes(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each size, and for each class the number of segments (0: sets so small differ too much if at all)."""
+def schemes(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class of each size, and for each class the number of segments and how many may be empty in both sets.
+
+    Of H + 1 + spare segments, spare + 1 agree in similar sets. A few more may be empty than chance makes likely; where
+    that would take as many as H, the sets are so small that they use their prefixes instead (0 segments).
+    """
     top = [0]
     while top[-1] <= n.max(initial=1):
         top.append(max(top[-1] + 1, top[-1] * 100 // percent))
-    top += [max(t + 1, t * 100 // percent) for t in top[-1:]]
-    most = np.array(top, np.int64)
-    differ = 2 * most * (100 - percent) // (100 + percent)
-    return np.searchsorted(most, n), np.where(differ > 0, differ + 2, 0)
-
-
-def segment_keys(doc: np.ndarray, h: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) for every segment that the rows use; doc and h are their distinct shingles."""
-    kind, segments = schemes(n, percent)
+    top.append(max(top[-1] + 1, top[-1] * 100 // percent))
+    segments, spares = [0], [0]
+    for most in top[1:]:
+        differ, spare = 2 * most * (100 - percent) // (100 + percent), 1
+        for _ in range(20):
+            empty = (differ + 1 + spare) * np.exp(-most * (percent / 100) ** 2 / (differ + 1 + spare))
+            spare = max(spare, int(empty + 3 * np.sqrt(empty) + 1))
+        segments.append(differ + 1 + spare if spare < differ else 0)
+        spares.append(spare)
+    return np.searchsorted(top, n), np.array(segments), np.array(spares)
+
+
+def segment_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) for every segment or prefix shingle that the rows use; doc, h, size: their distinct shingles and lengths."""
+    kind, segments, spares = schemes(n, percent)
     rows, keys = [], []
     place, value = text.mix(h ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32), text.mix(h + np.uint64(0x9E3779B97F4A7C15))
+    named = lambda scheme, number: text.mix(scheme.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + number.astype(np.uint64))
+    small = segments[kind[doc]] == 0
+    order = np.flatnonzero(small)[np.lexsort((h[small], -size[small], doc[small]))]
+    at = np.bincount(doc[order], minlength=len(n))
+    chosen = order[np.arange(len(order)) - (np.cumsum(at) - at)[doc[order]] < (n - -(-n * percent // 100) + 1)[doc[order]]]
     for scheme in (kind, kind + 1):
+        short = chosen[segments[scheme[doc[chosen]]] == 0]
+        rows.append(doc[short])
+        keys.append(text.mix(value[short] + named(scheme[doc[short]], np.full(len(short), 1 << 40))))
         many = np.where(n > 0, segments[scheme], 0)
         first = np.cumsum(many) - many
         used = many[doc] > 0
@@ -69,10 +88,9 @@ def segment_keys(doc: np.ndarray, h: np.ndarray, n: np.ndarray, percent: int) ->
         row = np.repeat(np.arange(len(n)), many)
         number = np.arange(len(row)) - first[row]
         empty = np.bincount(row[~filled], minlength=len(n))
-        use = filled | (empty[row] > 1)
-        named = text.mix(scheme[row].astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + number.astype(np.uint64))
+        use = filled | (empty[row] > spares[scheme[row]])
         rows.append(row[use])
-        keys.append(text.mix(total + named)[use])
+        keys.append(text.mix(total + named(scheme[row], number))[use])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -112,13 +130,18 @@ def sets(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFr
             has_id = b.column(0).is_valid().to_numpy(zero_copy_only=False)
             for first, data, offsets in text.runs(b.column(1)):
                 rows = len(offsets) - 1
-                doc, h = text.distinct(*text.shingles(text.words(data, offsets, fold=True), k))
+                w = text.words(data, offsets, fold=True)
+                doc, h = text.shingles(w, k)
+                length = text.lengths(w, k)
+                order = np.lexsort((h, doc))
+                order = order[np.append(True, (doc[order][1:] != doc[order][:-1]) | (h[order][1:] != h[order][:-1]))[: len(order)]]
+                doc, h, length = doc[order], h[order], length[order]
                 n = np.bincount(doc, minlength=rows)
                 start = np.cumsum(n) - n
                 total = [np.append(np.zeros(1, np.uint64), np.cumsum(text.mix(h ^ np.uint64(salt)))) for salt in (0, 0x5851F42D4C957F2D)]
                 s1, s2 = ((t[start + n] - t[start]).view(np.int64) for t in total)
                 yield common.batch(schema, [0] * rows, b.column(0).slice(first, rows), [None] * rows, n, s1, s2, *[[None] * rows] * 2)
-                row, key = segment_keys(doc, h, n, percent)
+                row, key = segment_keys(doc, h, length, n, percent)
                 real = has_id[first + row]
                 keys.append(key[real])
                 ids.append(known[first + row[real]])

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_byte_level_bpe
+from .langid import op6_language_id
 from .lattice import op1_embedding_near_dedup
 from .minhash import op8_document_fingerprints
 from .ngram_join import op5_ngram_jaccard_join
 from .packing import op10_best_fit_packing
 from .secrets import op7_secret_scans
 from .substring import op3_substring_dedup
+from .toxicity import op4_toxicity
 from .warc import op9_warc
 
 #: The text of the first 50 words on, in DuckDB's SQL: every window with the smallest id that has it.
@@ -63,6 +65,6 @@ FROM k
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_embedding_near_dedup, op2_byte_level_bpe, op3_substring_dedup, op5_ngram_jaccard_join, op7_secret_scans, op8_document_fingerprints, op9_warc, op10_best_fit_packing)
+    f.__name__: f for f in (op1_embedding_near_dedup, op2_byte_level_bpe, op3_substring_dedup, op4_toxicity, op5_ngram_jaccard_join, op6_language_id, op7_secret_scans, op8_document_fingerprints, op9_warc, op10_best_fit_packing)
 }
 ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op9_warc": OP9_SQL}

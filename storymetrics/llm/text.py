@@ -125,6 +125,17 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return doc, h
 
 
+def lengths(w: Words, k: int) -> np.ndarray:
+    """The bytes in the words of each shingle, in the order of shingles()."""
+    total = np.append(0, np.cumsum(w.end - w.start))
+    n = max(0, len(w.hash) - k + 1)
+    at = np.flatnonzero(w.doc[:n] == w.doc[k - 1 :]) if n else np.zeros(0, np.int64)
+    counts = np.diff(w.first)
+    short = np.flatnonzero((counts > 0) & (counts < k))
+    size = np.concatenate([total[at + k] - total[at], total[w.first[short + 1]] - total[w.first[short]]])
+    return size[np.argsort(np.concatenate([w.doc[at], short]), kind="stable")]
+
+
 def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct (row, hash) pairs, sorted."""
     order = np.lexsort((h, doc))
