@@ -284,7 +284,7 @@ def links(documents: DataFrame, block: DataFrame, k: int, percent: int) -> DataF
                 cuts = np.searchsorted(doc, np.arange(rows + 1)).tolist()
                 yield common.batch(schema, *(b.column(c).slice(first, rows) for c in ("block", "shards", "doc_id")), [h[i:j].tobytes() for i, j in zip(cuts, cuts[1:])])
 
-    chosen = common.texts(documents).join(member, "doc_id").select("block", "shards", "doc_id", "text").mapInArrow(gather, "block long, shards int, doc_id long, shingles binary")
+    chosen = common.texts(documents).join(member.hint("merge"), "doc_id").select("block", "shards", "doc_id", "text").mapInArrow(gather, "block long, shards int, doc_id long, shingles binary")
     chosen = chosen.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.col("shards")).cast("int"))
     tasks = chosen.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     tasks = tasks.select("block", F.least("shard", "other").alias("a"), F.greatest("shard", "other").alias("b"), "shard", "doc_id", "shingles")
