@@ -6,7 +6,9 @@ empty (sets with more than e empty segments use those as well; e is chosen so th
 classes a factor 1 / t apart, and a document uses the segments of its class and of the next, so that similar documents
 use the same number. A segment holds several shingles, which documents share for no other reason than being copies in
 part, however large the corpus. Sets too small for segments use their prefixes, n - ceil(t n) + 1 shingles, the longest
-(rarest) first. Documents that share a key, directly or over others, are one block; equal sets have one representative.
+(rarest) first. Below a similarity of SEGMENT_PERCENT segments would hold too few shingles; there all sets use their
+prefixes, ordered by how many sets have a shingle in the same of COUNTERS counters (a table of fixed size, counted over
+all documents), so that passages which many documents share come last. Documents that share a key, directly or over others, are one block; equal sets have one representative.
 
 Inside a block every representative looks for its partners over the inverted lists of its shingles: the longest lists
 are set aside, the short ones are merged by heap, and documents that can still reach the required overlap T are looked
@@ -37,6 +39,8 @@ WORDS, PERCENT = 3, 90
 SHARD = 512
 #: Cost of a step of a merge against a look-up, as DivideSkip weighs them.
 MERGE_COST = 0.0085
+#: From this similarity on, segments hold enough shingles; below it, prefixes ordered by this many counters are used.
+SEGMENT_PERCENT, COUNTERS = 90, 1 << 24
 #: Keys that a task sorts at a time; bytes of input for each bucket of keys.
 HELD_KEYS, BUCKET_BYTES = 1 << 21, 8_000_000
 #: Rows of kind 0: a document (a: doc_id) with its set's size and hash; 1: a link (a, b) to make one block; 2: packed keys.
@@ -64,6 +68,39 @@ def schemes(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.searchsorted(top, n), np.array(segments), np.array(spares)
 
 
+def shingle_counts(documents: DataFrame, k: int) -> np.ndarray:
+    """For each of COUNTERS counters (by a shingle's hash) how many documents' sets have a shingle in it, 255 at most."""
+    chunks, kind = 64, "chunk int, counts binary"
+    schema = common.arrow_schema(kind)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.uint32)
+        for b in batches:
+            for _, data, offsets in text.runs(b.column(1)):
+                _, h = text.distinct(*text.shingles(text.words(data, offsets, fold=True), k))
+                np.add.at(total, counter(h), np.uint32(1))
+        yield common.batch(schema, range(chunks), [zstandard.compress(np.minimum(x, 255).astype(np.uint8).tobytes(), 1) for x in np.split(total, chunks)])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zstandard.decompress(x.as_py()), np.uint8).astype(np.uint32) for x in group["counts"])
+        return pa.Table.from_batches([common.batch(schema, [group["chunk"][0].as_py()], [np.minimum(total, 255).astype(np.uint8).tobytes()])])
+
+    rows = common.texts(documents).mapInArrow(count, kind).groupBy("chunk").applyInArrow(add, kind).collect()  # COUNTERS bytes in all
+    found = {r["chunk"]: np.frombuffer(r["counts"], np.uint8) for r in rows}
+    return np.concatenate([found.get(i, np.zeros(COUNTERS // chunks, np.uint8)) for i in range(chunks)])
+
+
+def counter(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64)
+
+
+def prefix_keys(doc: np.ndarray, h: np.ndarray, n: np.ndarray, percent: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) for the shingles in the rows' prefixes, the rarest (by the counters) first."""
+    order = np.lexsort((h, counts[counter(h)], doc))
+    chosen = order[np.arange(len(order)) - (np.cumsum(n) - n)[doc[order]] < (n - -(-n * percent // 100) + 1)[doc[order]]]
+    return doc[chosen], text.mix(h[chosen])
+
+
 def segment_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) for every segment or prefix shingle that the rows use; doc, h, size: their distinct shingles and lengths."""
     kind, segments, spares = schemes(n, percent)
@@ -108,6 +145,7 @@ def star(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def sets(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows that SETS tells of: a task combines what it holds before anything is shuffled."""
     schema, buckets = common.arrow_schema(SETS), common.dealt(common.size_hint(documents), BUCKET_BYTES, 24, 4096)
+    counts = documents.sparkSession.sparkContext.broadcast(shingle_counts(documents, k)) if percent < SEGMENT_PERCENT else None
 
     def sent(keys: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         pairs, key, low = star(np.concatenate(keys), np.concatenate(ids))
@@ -141,7 +179,7 @@ def sets(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFr
                 total = [np.append(np.zeros(1, np.uint64), np.cumsum(text.mix(h ^ np.uint64(salt)))) for salt in (0, 0x5851F42D4C957F2D)]
                 s1, s2 = ((t[start + n] - t[start]).view(np.int64) for t in total)
                 yield common.batch(schema, [0] * rows, b.column(0).slice(first, rows), [None] * rows, n, s1, s2, *[[None] * rows] * 2)
-                row, key = segment_keys(doc, h, length, n, percent)
+                row, key = prefix_keys(doc, h, n, percent, counts.value) if counts else segment_keys(doc, h, length, n, percent)
                 real = has_id[first + row]
                 keys.append(key[real])
                 ids.append(known[first + row[real]])
