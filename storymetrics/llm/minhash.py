@@ -87,7 +87,7 @@ def near_duplicates(documents: DataFrame, k: int = WORDS, percent: int = PERCENT
     held = common.saved(fingerprints(documents, k), "fingerprints")
     keys = held.where(F.col("doc_id").isNotNull()).select(F.explode("keys").alias("key"), "doc_id")
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key", "a")
-    block = common.components(keys.join(shared, "key").select("a", F.col("doc_id").alias("b")).distinct(), "blocks")
+    block = common.components(keys.join(shared, "key").select("a", F.col("doc_id").alias("b")).distinct(), "blocks").withColumn("n", F.lit(1))
     found = common.components(common.saved(ngram_join.links(documents, block, k, percent), "links"), "near")
     return held.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "fingerprint", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -14,7 +14,7 @@ Inside a block every representative looks for its partners over the inverted lis
 are set aside, the short ones are merged by heap, and documents that can still reach the required overlap T are looked
 up in the long lists by binary search. Partners that are connected already are not looked up again, and only the links
 that connect something are returned, so no group yields its pairs. A block of more than SHARD members is searched shard
-against shard, in as many tasks as there are pairs of shards.
+against shard, in a task for each pair of shards whose classes of sizes (a factor 1 / t) are equal or neighbours.
 
 Defined results: documents without words have an empty set, link with nothing and are their own component; equal rows
 are in one class; a null doc_id takes part in no link and has no component of its own; an empty table gives an empty
@@ -308,11 +308,17 @@ def search(ids: np.ndarray, members: list[np.ndarray], shard: np.ndarray, a: int
 def links(documents: DataFrame, block: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): links that connect the documents whose sets of k-word shingles are `percent` alike.
 
-    block: (node, component) for the doc_ids that take part; similar ones must be in one component.
+    block: (node, component, n) with the sizes of the sets for the doc_ids that take part; similar ones must be in one component.
     """
-    shards = block.groupBy("component").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
-    member = block.join(shards, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("block"), "shards")
-    schema = common.arrow_schema("block long, shards int, doc_id long, shingles binary")
+    whole = block.groupBy("component").agg(F.count("*").alias("all"))
+    kind = F.when(F.col("all") <= SHARD, F.lit(0)).otherwise(F.floor(F.log(F.greatest("n", F.lit(1))) / (F.log(F.lit(100.0 / percent)) * 1.000001))).cast("int")
+    sized = block.join(whole, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("block"), kind.alias("kind"))
+    shards = sized.groupBy("block", "kind").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
+    beside = lambda d, name: shards.select("block", (F.col("kind") + d).alias("kind"), F.col("shards").alias(name))
+    member = sized.join(shards, ["block", "kind"]).join(beside(1, "below"), ["block", "kind"], "left").join(beside(-1, "above"), ["block", "kind"], "left")
+    about = ("block", "kind", "shards", "below", "above", "doc_id")
+    gathered = "block long, kind int, shards int, below int, above int, doc_id long, shingles binary"
+    schema = common.arrow_schema(gathered)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -320,23 +326,29 @@ def links(documents: DataFrame, block: DataFrame, k: int, percent: int) -> DataF
                 rows = len(offsets) - 1
                 doc, h = text.distinct(*text.shingles(text.words(data, offsets, fold=True), k))
                 cuts = np.searchsorted(doc, np.arange(rows + 1)).tolist()
-                yield common.batch(schema, *(b.column(c).slice(first, rows) for c in ("block", "shards", "doc_id")), [h[i:j].tobytes() for i, j in zip(cuts, cuts[1:])])
-
-    chosen = common.texts(documents).join(member.hint("merge"), "doc_id").select("block", "shards", "doc_id", "text").mapInArrow(gather, "block long, shards int, doc_id long, shingles binary")
-    chosen = chosen.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.col("shards")).cast("int"))
-    tasks = chosen.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    tasks = tasks.select("block", F.least("shard", "other").alias("a"), F.greatest("shard", "other").alias("b"), "shard", "doc_id", "shingles")
+                yield common.batch(schema, *(b.column(c).slice(first, rows) for c in about), [h[i:j].tobytes() for i, j in zip(cuts, cuts[1:])])
+
+    chosen = common.texts(documents).join(member.hint("merge"), "doc_id").select(*about, "text").mapInArrow(gather, gathered)
+    # a member meets the shards of its own class of sizes and of the two beside it; side tells which of a task's two it is in
+    own = F.pmod(F.xxhash64("doc_id"), F.col("shards")).cast("int")
+    met = lambda d, n: F.transform(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.expr("cast(array() as array<int>)")), lambda i: F.struct((F.col("kind") + d).alias("kind"), i.alias("shard")))
+    tasks = chosen.withColumn("own", own).withColumn("met", F.explode(F.concat(met(0, "shards"), met(-1, "below"), met(1, "above"))))
+    mine, other = F.struct("kind", F.col("own").alias("shard")), F.col("met")
+    tasks = tasks.select("block", F.least(mine, other).alias("x"), F.greatest(mine, other).alias("y"), (mine > other).cast("int").alias("side"), "doc_id", "shingles")
+    tasks = tasks.select("block", *(F.col(f"{p}.{f}").alias(f"{p}_{f}") for p in "xy" for f in ("kind", "shard")), "side", "doc_id", "shingles")
+    task = ["block", "x_kind", "x_shard", "y_kind", "y_shard"]
     out = common.arrow_schema("a long, b long")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in common.groups(batches, ["block", "a", "b"]):
+        for group in common.groups(batches, task):
             ids, at = np.unique(group["doc_id"].to_numpy(), return_index=True)
             shingles = [np.frombuffer(x.as_py(), np.uint64) for x in group["shingles"].take(pa.array(at))]
-            found = list(search(ids, shingles, group["shard"].to_numpy()[at], group["a"][0].as_py(), group["b"][0].as_py(), percent))
+            alone = all(group[f"x_{f}"][0] == group[f"y_{f}"][0] for f in ("kind", "shard"))
+            found = list(search(ids, shingles, group["side"].to_numpy()[at], 0, 0 if alone else 1, percent))
             if found:
                 yield common.batch(out, *zip(*found))
 
-    return tasks.repartition("block", "a", "b").sortWithinPartitions("block", "a", "b").mapInArrow(find, "a long, b long")
+    return tasks.repartition(*task).sortWithinPartitions(*task).mapInArrow(find, "a long, b long")
 
 
 def join(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -347,7 +359,7 @@ def join(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFr
     member = common.saved(sized.join(same, ["n", "s1", "s2"], "left").select("doc_id", "n", "rep"), "classes")
     far = made.where("kind = 2").select(F.col("a").alias("bucket"), "keys", "ids").groupBy("bucket").applyInArrow(meeting, "a long, b long")
     block = common.components(made.where("kind = 1").select("a", "b").union(far), "blocks")
-    block = block.join(member.where("doc_id = rep").select(F.col("doc_id").alias("node")).distinct(), "node")
+    block = block.join(member.where("doc_id = rep").select(F.col("doc_id").alias("node"), "n").distinct(), "node")
     found = common.components(common.saved(links(documents, block, k, percent), "links"), "linked").withColumnRenamed("node", "rep")
     component = F.coalesce("component", "rep", "doc_id").alias("component_id")
     return member.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), component)
@@ -356,7 +368,7 @@ def join(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFr
 def representatives(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents that stay when one of each group (that with the smallest doc_id) does; rows with a null doc_id stay."""
     gone = join(documents, k, percent).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(documents.columns)
+    return documents.join(gone.hint("merge"), "doc_id", "left_anti").select(documents.columns)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
