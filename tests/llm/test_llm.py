@@ -1,0 +1,225 @@
+"""The operators against brute force on small tables with nulls, empty and long texts, ties, repeated rows and extra columns."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import public_tokenizers as P
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from storymetrics.llm import bpe, common, langid, lattice, minhash, ngram_join, packing, secrets, substring, text, toxicity, warc
+
+BASE = " ".join(f"w{i * 7919 % 1000}" for i in range(120))
+TEXTS = [BASE, BASE, BASE + " tail", BASE.replace("w919", "changed"), None, "", "one", "one two", "One  two", " \t\n ", "é " * 300, BASE * 8, "token='abcdefgh1234' x", "日本語 text ’quoted’ 123"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block int, n int, part int"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "s", 0, 1, 2, 3) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame(rows + [(None, BASE, None, None, None, None, None, None), rows[0]], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows_of(docs):
+    return [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+
+
+def words(t):
+    return t.encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))).split()
+
+
+def test_bpe(docs, empty):
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks(path), special_tokens={})
+    want = sorted((repr(d), np.array(own.encode_ordinary(t), "<u4").tobytes(), t.encode()) for d, t in rows_of(docs))
+    assert sorted((repr(r["doc_id"]), bytes(r["ids"]), bytes(r["decoded"])) for r in bpe.encode(docs, path, block_chars=500).collect()) == want
+    assert bpe.encode(empty, path).count() == 0
+
+
+def test_substring(docs, empty):
+    rows = rows_of(docs)
+    key = lambda d: (d is None, d or 0)
+    first = {}
+    for d, t in sorted(rows, key=lambda r: key(r[0])):
+        w = t.encode().split()
+        for i in range(len(w) - 49):
+            first.setdefault(tuple(w[i : i + 50]), d)
+    want = []
+    for d, t in rows:
+        w = t.encode().split()
+        gone = set()
+        for i in range(len(w) - 49):
+            if key(first[tuple(w[i : i + 50])]) < key(d):
+                gone.update(range(i, i + 50))
+        want.append((repr(d), len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode()))
+    assert sorted((repr(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in substring.dedup(docs).collect()) == sorted(want)
+    assert substring.dedup(empty).count() == 0
+
+
+@pytest.mark.parametrize("k, percent, shard", [(3, 90, 512), (5, 80, 512), (3, 90, 1), (5, 80, 1)])
+def test_ngram_join(docs, empty, monkeypatch, k, percent, shard):
+    monkeypatch.setattr(ngram_join, "SHARD", shard)
+    sets = {d: frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1)) if w) for d, t in rows_of(docs) if d is not None for w in [words(t)]}
+    up = {d: d for d in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    up[a] = up[b] = min(up[a], up[b])
+    got = ngram_join.join(docs, k, percent).where("doc_id IS NOT NULL").distinct().collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {d: (len(s), up[d]) for d, s in sets.items()}
+    assert ngram_join.join(empty, k, percent).count() == 0
+
+
+def test_divide_skip_equals_counting():
+    r = np.random.default_rng(1)
+    members = [np.unique(r.integers(0, 60, 40)).astype(np.uint64) for _ in range(40)]
+    index = ngram_join.Index(members)
+    for needed in (5, 15, 25):
+        for m in members:
+            doc, count = ngram_join.occurring(index, m, needed, 1, lambda d: np.ones(len(d), bool))
+            want = {i: len(np.intersect1d(m, x)) for i, x in enumerate(members)}
+            assert dict(zip(doc.tolist(), count.tolist())) == {i: n for i, n in want.items() if n >= needed}
+
+
+def test_secrets(spark, empty):
+    cases = ["password=short", "x password: 'abcdef' é AKIA" + "B" * 16, "0123456789abcdef01234567", "key 9fX2kQ7LmZ4rT8vB1nW6yC3d end", "menteauouquedellementauxanoi", "commit 9f86d081884c7d659a2feaa0", None, ""]
+    got = secrets.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).orderBy("doc_id")
+    shown = [r[0] for r in got.select(secrets.shown(F.concat("base", "added"))).collect()]
+    assert shown[:3] == ["", "assign:2:20,access:24:44", "hex:0:24"] and shown[3].startswith("entropy:4:") and shown[4] == "" and shown[6:] == ["", ""]
+    masked = secrets.redact(spark.createDataFrame([(1, cases[1])], "doc_id long, text string")).first()["text"]
+    assert masked == "x [SECRET] é [SECRET]" and secrets.scan(empty).count() == 0
+
+
+def test_minhash(docs, empty):
+    rows = sorted({d: t for d, t in rows_of(docs) if d is not None}.items(), reverse=True)
+    got = {r["doc_id"]: r for r in minhash.edited_pairs(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).collect()}
+    for i, (d, t) in enumerate(rows):
+        other, cut = rows[(i + 1) % len(rows)][1], len(t) // 3
+        assert got[d]["edited_sha256"] == hashlib.sha256((t[: len(t) - cut] + other[:cut]).encode()).hexdigest() and got[d]["n_chars"] == len(t)
+    assert got[0]["fingerprint"] == got[1]["fingerprint"] and got[1]["near_next"] == 1.0
+    near = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs.where("doc_id IS NOT NULL")).collect()}
+    assert near[1] == near[2] == 0 and near[7] == 7
+    assert minhash.edited_pairs(empty).count() == 0
+
+
+def test_lattice(spark):
+    r = np.random.default_rng(3)
+    centre = r.normal(size=(6, 64))
+    x = [(c + 0.06 * r.normal(size=64)).astype(np.float32).tolist() for c in centre for _ in range(12)]
+    rows = [(i, v, i % 2) for i, v in enumerate(x)] + [(100, x[0], 0), (101, None, 0), (102, [0.0] * 64, 0), (103, [float("nan")] * 64, 0), (104, x[0], None), (105, [None] * 64, 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r for r in lattice.link(vectors).collect()}
+    good = [(i, np.array(v, np.float64) / np.linalg.norm(v), k) for i, v, k in rows if i <= 100]
+    want = {i: sum(j != i and k == m and v @ u >= 0.98 for j, u, m in good) for i, v, k in good}
+    assert sum(want.values()) > 50 and {i: got[i]["n_links"] for i in want} == want
+    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in (101, 102, 103, 104, 105)) and got[100]["component_id"] == got[0]["component_id"] == 0
+    assert lattice.link(vectors.limit(0)).count() == 0
+
+
+def test_lattice_points_are_nearest():
+    x = np.random.default_rng(5).normal(size=(300, 8))
+    p = lattice.decode(x)
+    assert len(lattice.shortest()) == 240
+    assert (((x - p) ** 2).sum(1)[:, None] <= ((x[:, None] - p[:, None] - lattice.shortest()) ** 2).sum(2) + 1e-9).all()
+
+
+def test_packing(docs, empty):
+    path = P.path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    got = packing.pack(docs, path, capacity=64).collect()
+    want = Counter()
+    for d, t in rows_of(docs):
+        ids = np.array([*own.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        for k, (s, n) in enumerate(packing.cut(len(ids), 64)):
+            want[d, k, s, n, zlib.crc32(ids[s : s + n].tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in got)
+    assert all(o == (0 if not i or places[i - 1][0] != s else sum(places[i - 1][1:])) and o + n <= 64 for i, (s, o, n) in enumerate(places))
+    assert packing.pack(empty, path).count() == 0
+
+
+def test_plan_places_every_piece():
+    r = np.random.default_rng(2)
+    histogram = {int(s): int(n) for s, n in zip(range(1, 101), r.integers(0, 200, 100))}
+    plan = packing.plan(histogram, 100)
+    placed = Counter()
+    for config, many in plan:
+        assert sum(config) <= 100
+        placed.update({s: n * many for s, n in Counter(config).items()})
+    assert placed == Counter({s: n for s, n in histogram.items() if n})
+    assert sum(n for _, n in plan) <= 1.02 * sum(s * n for s, n in histogram.items()) / 100 + 2
+
+
+def test_warc(spark):
+    big = "<html>" + "x" * 1000
+    rows = [(1, "http://www.a.com/x#f", big, 0), (2, "http://a.com/x", big, 0), (3, "https://b.org", "small", 0), (4, None, None, 0), (5, "http://a.com/WARC/1.1\r\n", "WARC/1.1\r\n\r\n", 0), (6, "http://b.org/", "small", 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
+    path = common.place(spark, "warc-test")
+    warc.write(pages, path)
+    got = {r["page_id"]: r for r in warc.history(warc.read(spark, path)).collect()}
+    assert {i: (r["record_type"], r["refers_to"]) for i, r in got.items()} == {1: ("revisit", 2), 2: ("response", None), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None)}
+    assert all(got[i]["payload_digest"] == hashlib.sha1((h or "").encode()).hexdigest() and got[i]["payload_bytes"] == len((h or "").encode()) for i, _, h, _ in rows)
+    order = sorted(rows, key=lambda r: (warc.url_key((r[1] or "").replace("\r\n", "")), r[0]))
+    assert [got[r[0]]["position"] for r in order] == list(range(6))
+
+
+def test_loser_tree():
+    r = np.random.default_rng(1)
+    for k in (1, 2, 3, 7):
+        runs = [sorted(((str(a), "t", int(a)) for a in r.integers(0, 50, n)), key=warc.order) for n in r.integers(0, 9, k)]
+        assert list(warc.loser_tree(runs)) == sorted((x for run in runs for x in run), key=warc.order)
+
+
+def test_toxicity_gradient_and_learning(spark):
+    texts = [f"common words here number {i} {'awful' if i % 2 else 'kind'} again" for i in range(120)]
+    y = np.arange(120) % 2
+    network = toxicity.train(texts, y.astype(float), 0.5)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, ""])], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, network).collect()}
+    assert all((got[i] >= 0.5) == bool(y[i]) for i in range(120)) and got[120] == got[121] == 0.5
+    data = np.frombuffer(texts[1].encode(), np.uint8)
+    w = text.words(data, np.array([0, len(data)]), fold=True)
+    e, at = toxicity.encoded(data, w, network.vocabulary)
+    for k in network.p:
+        network.p[k] = network.p[k].astype(np.float64)
+    place = np.repeat(at[:, None], 2, axis=1)
+    gradient = network.gradient(e, place, np.array([len(at), len(at)]), np.array([1.0, 0.0]))
+    loss = lambda: np.mean([np.logaddexp(0, z) - t * z for z, t in zip(network.pooled(network.states(network.gates(network.inputs(e)), place, np.full(2, len(at))), np.full(2, len(at)))[0], (1.0, 0.0))])
+    step = 1e-2
+    network.p["out"][0] += step
+    high = loss()
+    network.p["out"][0] -= 2 * step
+    assert abs((high - loss()) / (2 * step) - gradient["out"][0]) < 1e-2
+
+
+def test_language(spark):
+    rows = [(i, t, lang, "s") for i, (t, lang) in enumerate([("the cat and the dog with this", "en"), ("der hund und die katze mit der", "de")] * 10)] + [(90, None, "en", "s"), (91, "123 456", "de", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r["doc_id"]: r["language"] for r in langid.identify(langid.document_evidence(docs), langid.fit(docs), "doc_id").collect()}
+    assert all(found[i] == lang for i, _, lang, _ in rows[:20])
+    assert {r["doc_id"] for r in langid.accepted(docs).collect()} == set(range(20))
+
+
+def test_pipeline_stage_columns(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.saved(stage(spark, docs, "/root/testdata/sf0.001"), name)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").select("doc_id").distinct().count() == docs.count() > 100
