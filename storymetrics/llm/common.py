@@ -148,8 +148,15 @@ def apply(df: DataFrame, function: Callable, schema: str) -> DataFrame:
 
 
 def size_hint(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes of df, from file sizes; used only to choose how many buckets work is dealt to."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's estimate of the bytes of df, from file sizes; used only to choose how many buckets work is dealt to.
+
+    Where Catalyst has no file sizes to go by (it then assumes exabytes, or multiplies the sides of joins), texts are measured.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < 1 << 50:
+        return size
+    each = F.octet_length("text") if "text" in df.columns else F.lit(1000)
+    return int(df.agg(F.coalesce(F.sum(each.cast("long")), F.lit(0))).first()[0])
 
 
 def dealt(size: int, each: int, least: int = 24, most: int = 65536) -> int:

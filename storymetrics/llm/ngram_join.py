@@ -244,7 +244,7 @@ def merged(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]
 def occurring(index: Index, shingles: np.ndarray, needed: int, least: int, wanted) -> tuple[np.ndarray, np.ndarray]:
     """The documents that `wanted` leaves and that share `needed` or more of the shingles, and how many (DivideSkip)."""
     lists = index.lists(shingles, least)
-    if len(lists) < needed:
+    if len(lists) < max(needed, 1):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     longest = len(lists[-1])
     aside = min(needed - 1, int(needed / (MERGE_COST * np.log2(max(2, longest)) + 1)))
