@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = suite.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
-    wanted = con.execute(f"SELECT {', '.join(columns)} FROM ({suite.SQL[name]})").fetchall()
+    wanted = con.execute(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({suite.SQL[name]})").fetchall()
     rows = [tuple(map(value, r)) for r in got.select(*columns).collect()]
     assert sorted(map(repr, rows)) == sorted(repr(tuple(map(value, r))) for r in wanted)
 
