@@ -19,7 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, text
@@ -50,13 +50,28 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row[:-2][use], ((code[use] * np.uint32(2_654_435_761)) >> np.uint32(17)).astype(np.int64)
 
 
+def lowest(rows: DataFrame, n: int) -> list[Row]:
+    """The SAMPLE texts (of n rows) with the smallest hashes.
+
+    A bound that about 4 SAMPLE rows pass comes first, since every task would send SAMPLE texts to the driver otherwise;
+    where copies let fewer than SAMPLE pass, the rows are taken without the bound.
+    """
+    key = F.xxhash64("text")
+    first = lambda of: of.select("text").orderBy(key, "text").limit(SAMPLE).collect()
+    if n <= 4 * SAMPLE:
+        return first(rows)
+    found = first(rows.where(key < (4 * SAMPLE * 2**64) // n - 2**63))
+    return found if len(found) == SAMPLE else first(rows)
+
+
 def fit(labelled: DataFrame) -> Model:
     """labelled: text and lang; the sample is chosen by a hash of the text."""
     usable = labelled.where(F.col("lang").isNotNull() & (F.length("text").between(1, SAMPLE_CHARS)))
-    languages = sorted(r["lang"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect())
+    rows_of = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
+    languages = sorted(rows_of)
     log_p = np.zeros((BUCKETS, len(languages)))
     for k, lang in enumerate(languages):
-        rows = usable.where(F.col("lang") == lang).select("text").orderBy(F.xxhash64("text"), "text").limit(SAMPLE).collect()
+        rows = lowest(usable.where(F.col("lang") == lang), rows_of[lang])
         count = np.full(BUCKETS, SMOOTHING)
         for _, data, offsets in text.runs(pa.array([r["text"] for r in rows], pa.large_string())):
             count += np.bincount(trigrams(data, offsets)[1], minlength=BUCKETS)

@@ -207,6 +207,15 @@ def test_toxicity_gradient_and_learning(spark):
     assert abs((high - loss()) / (2 * step) - gradient["out"][0]) < 1e-2
 
 
+def test_language_sample(spark, monkeypatch):
+    """The bound changes nothing: different texts, and copies that it keeps out or lets through as one."""
+    monkeypatch.setattr(langid, "SAMPLE", 5)
+    for texts in ([f"text {i}" for i in range(200)], ["copy"] * 100, ["other copy"] * 100, ["copy"] * 90 + [f"text {i}" for i in range(10)], []):
+        rows = spark.createDataFrame([(t,) for t in texts], "text string")
+        plain = rows.orderBy(F.xxhash64("text"), "text").limit(5).collect()
+        assert langid.lowest(rows, len(texts)) == plain
+
+
 def test_language(spark):
     rows = [(i, t, lang, "s") for i, (t, lang) in enumerate([("the cat and the dog with this", "en"), ("der hund und die katze mit der", "de")] * 10)] + [(90, None, "en", "s"), (91, "123 456", "de", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
