@@ -9,6 +9,10 @@ part, however large the corpus. Sets too small for segments use their prefixes,
 (rarest) first. Below a similarity of SEGMENT_PERCENT segments would hold too few shingles; there all sets use their
 prefixes, ordered by how many sets have a shingle in the same of COUNTERS counters (a table of fixed size, counted over
 all documents), so that passages which many documents share come last. Documents that share a key, directly or over others, are one block; equal sets have one representative.
+Counters are shared by more shingles the larger the corpus is, and so chain strangers to large blocks. Therefore the
+members of these blocks are dealt anew by their exact prefixes: the shingles of the members are counted block by block
+in a shuffle, those that several members have go back to their documents, and only documents that share enough shingles
+for the similarity keep prefix keys. What those keys connect are the blocks that are searched.
 
 Inside a block every representative looks for its partners over the inverted lists of its shingles: the longest lists
 are set aside, the short ones are merged by heap, and documents that can still reach the required overlap T are looked
@@ -142,6 +146,25 @@ def star(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return np.unique(np.stack([low[apart], ids[apart]]), axis=1), keys[new], ids[new]
 
 
+def by_key(keys: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, packed keys, packed ids) for sorted keys, whose ranges are the buckets; 48 bits of a key are kept."""
+    cuts = np.searchsorted(keys, (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
+    for number, (key_part, id_part) in enumerate(zip(np.split(keys, cuts), np.split(ids, cuts))):
+        if len(key_part):
+            steps = np.diff(key_part >> np.uint64(16), prepend=np.uint64(0))
+            yield number, zstandard.compress(planes(steps), 1), zstandard.compress(planes(id_part), 1)
+
+
+def by_id(ids: np.ndarray, buckets: int, *values: np.ndarray) -> Iterator[tuple[int, bytes, ...]]:
+    """(bucket, packed ids, packed values ...), dealt by a hash of the id."""
+    bucket = (text.mix(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else bucket
+    for i, j in zip(first, np.append(first[1:], len(bucket))):
+        yield int(bucket[i]), *(zstandard.compress(planes(v[order[i:j]]), 1) for v in (ids, *values))
+
+
 def sets(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows that SETS tells of: a task combines what it holds before anything is shuffled."""
     schema, buckets = common.arrow_schema(SETS), common.dealt(common.size_hint(documents), BUCKET_BYTES, 24, 4096)
@@ -152,12 +175,7 @@ def sets(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFr
         n = pairs.shape[1]
         none = [None] * n
         yield common.batch(schema, [1] * n, pairs[0], pairs[1], *[none] * 5)
-        cuts = np.searchsorted(key, (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
-        rows = []
-        for number, (key_part, id_part) in enumerate(zip(np.split(key, cuts), np.split(low, cuts))):
-            if len(key_part):
-                steps = np.diff(key_part >> np.uint64(16), prepend=np.uint64(0))
-                rows.append((2, number, None, None, None, None, zstandard.compress(planes(steps), 1), zstandard.compress(planes(id_part), 1)))
+        rows = [(2, number, None, None, None, None, *packed) for number, *packed in by_key(key, low, buckets)]
         if rows:
             yield common.batch(schema, *zip(*rows))
 
@@ -210,6 +228,83 @@ def meeting(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
+def narrowed(members: DataFrame, block: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links that connect, inside each block, all documents whose sets can be `percent` alike, by exact prefixes.
+
+    members: doc_id, block, text; block: (node, component, n). Keys are hashes of block and shingle; where two meet, they
+    count as one key for every document, so that no link is lost.
+    """
+    buckets = common.dealt(common.size_hint(members), BUCKET_BYTES, 24, 4096)
+    keyed, dealt = "bucket int, keys binary, ids binary", "bucket int, ids binary, keys binary, counts binary"
+    key_schema, id_schema = common.arrow_schema(keyed), common.arrow_schema(dealt)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent() -> Iterator[pa.RecordBatch]:
+            key, owner = np.concatenate(keys), np.concatenate(ids)
+            order = np.argsort(key)
+            yield common.batch(key_schema, *zip(*by_key(key[order], owner[order], buckets)))
+
+        keys, ids, held = [], [], 0
+        for b in batches:
+            known, of = b.column(0).to_numpy(), text.mix(b.column(1).to_numpy().astype(np.uint64))
+            for first, data, offsets in text.runs(b.column(2)):
+                doc, h = text.distinct(*text.shingles(text.words(data, offsets, fold=True), k))
+                if len(doc):
+                    keys.append(text.mix(h ^ of[first + doc]))
+                    ids.append(known[first + doc])
+                    held += len(doc)
+                if held >= HELD_KEYS:
+                    yield from sent()
+                    keys, ids, held = [], [], 0
+        if held:
+            yield from sent()
+
+    def shared(group: pa.Table) -> pa.Table:
+        """The keys that several documents have, and how many have them (255 at most), for the documents' buckets."""
+        keys = np.concatenate([np.cumsum(unplaned(x.as_py())) for x in group["keys"]])
+        ids = np.concatenate([unplaned(x.as_py()).view(np.int64) for x in group["ids"]])
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        once = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))
+        keys, ids = keys[once], ids[once]
+        _, at, count = np.unique(keys, return_inverse=True, return_counts=True)
+        several = count[at] > 1
+        rows = list(by_id(ids[several], buckets, keys[several], np.minimum(count[at][several], 255)))
+        return pa.Table.from_batches([common.batch(id_schema, *(zip(*rows) if rows else [[]] * 4))])
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(bucket, ids, None, n) for bucket, ids, n in by_id(b.column(0).to_numpy(), buckets, b.column(1).to_numpy())]
+            if rows:
+                yield common.batch(id_schema, *zip(*rows))
+
+    def prefixes(group: pa.Table) -> pa.Table:
+        """The keys in the documents' prefixes; keys that only one document has come first in them and are left out."""
+        is_size = group["keys"].is_null().to_numpy()
+
+        def column(name: str, of: np.ndarray) -> np.ndarray:
+            return np.concatenate([np.zeros(0, np.uint64), *(unplaned(x.as_py()) for x in group[name].filter(pa.array(of)))])
+
+        known, first = np.unique(column("ids", is_size), return_index=True)
+        n = column("counts", is_size)[first].astype(np.int64)
+        ids, keys, counts = (column(c, ~is_size) for c in ("ids", "keys", "counts"))
+        doc = np.searchsorted(known, ids)
+        several = np.bincount(doc, minlength=len(known))
+        least = -(-n * percent // 100)
+        order = np.lexsort((keys, counts, doc))
+        doc = doc[order]
+        place = np.arange(len(doc)) - (np.cumsum(several) - several)[doc] + np.maximum(n - several, 0)[doc]
+        use = (several >= least)[doc] & (place < (n - least + 1)[doc])
+        keys, ids = keys[order][use] << np.uint64(16), ids[order][use]
+        order = np.argsort(keys)
+        rows = list(by_key(keys[order], ids[order], buckets))
+        return pa.Table.from_batches([common.batch(key_schema, *(zip(*rows) if rows else [[]] * 3))])
+
+    returned = members.select("doc_id", "block", "text").mapInArrow(spread, keyed).groupBy("bucket").applyInArrow(shared, dealt)
+    all_sizes = block.select("node", F.col("n").cast("long")).mapInArrow(sizes, dealt)
+    return returned.unionByName(all_sizes).groupBy("bucket").applyInArrow(prefixes, keyed).groupBy("bucket").applyInArrow(meeting, "a long, b long")
+
+
 class Index:
     """Inverted lists over documents (numbers in order), by shingle."""
 
@@ -360,6 +455,11 @@ def join(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFr
     far = made.where("kind = 2").select(F.col("a").alias("bucket"), "keys", "ids").groupBy("bucket").applyInArrow(meeting, "a long, b long")
     block = common.components(made.where("kind = 1").select("a", "b").union(far), "blocks")
     block = block.join(member.where("doc_id = rep").select(F.col("doc_id").alias("node"), "n").distinct(), "node")
+    if percent < SEGMENT_PERCENT:
+        of = block.select(F.col("node").alias("doc_id"), F.col("component").alias("block")).distinct()
+        documents = common.saved(common.texts(documents).join(of.hint("merge"), "doc_id").select("doc_id", "block", "text"), "members")
+        narrow = common.components(narrowed(documents, block, k, percent), "narrowed")
+        block = narrow.join(block.select("node", "n"), "node")
     found = common.components(common.saved(links(documents, block, k, percent), "links"), "linked").withColumnRenamed("node", "rep")
     component = F.coalesce("component", "rep", "doc_id").alias("component_id")
     return member.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), component)

@@ -83,6 +83,23 @@ def test_ngram_join(docs, empty, monkeypatch, k, percent, shard):
     assert ngram_join.join(empty, k, percent).count() == 0
 
 
+def test_exact_prefixes_split_a_block(spark):
+    """Strangers and near copies in one block, each with a passage that all share: similar ones stay connected, strangers part."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    texts = {i: " ".join([passage, *(f"d{i // 3}x{j}" for j in range(200)), *["tail"] * (i % 3)]) for i in range(24)} | {24: passage, 25: ""}
+    members = spark.createDataFrame([(i, 0, t) for i, t in texts.items()] + [(0, 0, texts[0])], "doc_id long, block long, text string")
+    found = {i: {tuple(t.split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))} for i, t in texts.items() if t}
+    block = spark.createDataFrame([(i, 0, len(x)) for i, x in found.items()], "node long, component long, n int")
+    label = {i: {i} for i in texts}
+    for a, b in ngram_join.narrowed(members, block, 5, 80).collect():
+        both = label[a] | label[b]
+        label.update(dict.fromkeys(both, both))
+    for a in found:
+        for b in found:
+            assert (b in label[a]) == (100 * len(found[a] & found[b]) >= 80 * len(found[a] | found[b])), (a, b)
+    assert ngram_join.narrowed(members.limit(0), block.limit(0), 5, 80).count() == 0
+
+
 def test_divide_skip_equals_counting():
     r = np.random.default_rng(1)
     members = [np.unique(r.integers(0, 60, 40)).astype(np.uint64) for _ in range(40)]
