@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import FRACTIONS, METRIC_NAMES
+from ..schemas import FRACTIONS, METADATA, METRIC_NAMES
 
 FENCE, JSON_FENCE = "```", "```json"
 
@@ -51,6 +51,12 @@ def truth(value: Column) -> tuple[Column, Column]:
     return out, out.isNotNull()
 
 
+def wording(value: Column) -> tuple[Column, Column]:
+    """(value, valid) of a text, given as text only."""
+    k = kind(value)
+    return F.when(k == "STRING", bare(value)), k.isNull() | k.isin("VOID", "STRING")
+
+
 def parse(replies: DataFrame) -> DataFrame:
     """One row per frame of (job_id, batch_id, reply): pos, raw, the validated fields and is_valid.
 
@@ -58,22 +64,29 @@ def parse(replies: DataFrame) -> DataFrame:
     and null values, so it can be quarantined.
     """
     rows = replies.select("job_id", "batch_id", F.posexplode(F.from_json(unfenced(F.col("reply")), "array<string>")).alias("pos", "raw"))
-    fields = F.from_json("raw", "struct<frame_index:string,is_duplicate:string,duplicate_of_frame:string,metrics:string,metadata:string>")
     # raw member texts, so that the type of every value can be told
     member = lambda text, name: F.try_variant_get(F.try_parse_json(text), f"$.{name}", "variant")
     raw = lambda text, name: F.to_json(member(text, name))
-    rows = rows.withColumn("fields", fields)
-    top = {n: raw(F.col("raw"), n) for n in ("frame_index", "is_duplicate", "duplicate_of_frame")}
+    top = {n: raw(F.col("raw"), n) for n in ("frame_index", "is_duplicate", "duplicate_of_frame", "actual_frame")}
     index, index_ok = whole(top["frame_index"])
     copy, copy_ok = truth(top["is_duplicate"])
     of, of_ok = whole(top["duplicate_of_frame"])
-    metrics = F.to_json(member(F.col("raw"), "metrics"))
-    values, checks = [], [index_ok & index.isNotNull() & (index >= 0), copy_ok, of_ok, F.coalesce(kind(metrics).isin("VOID", "NESTED"), F.lit(True))]
+    frame, frame_ok = wording(top["actual_frame"])
+    metrics, metadata = raw(F.col("raw"), "metrics"), raw(F.col("raw"), "metadata")
+    values, checks = [], [index_ok & index.isNotNull() & (index >= 0), copy_ok, of_ok, frame_ok, F.coalesce(kind(metrics).isin("VOID", "NESTED"), F.lit(True))]
     for n in METRIC_NAMES:
         value, ok = (fraction if n in FRACTIONS else whole)(raw(metrics, n))
         values.append(value.alias(n))
         checks.append(ok)
+    told = []
+    for n in METADATA.names:
+        value, ok = wording(raw(metadata, n))
+        told.append(value.alias(n))
+        checks.append(ok)
+    is_object = F.substring(F.ltrim(metadata), 1, 1) == "{"
+    checks.append(F.coalesce(is_object | (kind(metadata) == "VOID"), F.lit(True)))
     valid = F.coalesce(F.forall(F.array(*checks), lambda x: F.coalesce(x, F.lit(False))), F.lit(False))
-    out = rows.select("job_id", "batch_id", "pos", "raw", valid.alias("is_valid"), index.alias("frame_index"), copy.alias("is_duplicate"), of.alias("duplicate_of_frame"), F.struct(*values).alias("metrics"))
+    fields = [index.alias("frame_index"), copy.alias("is_duplicate"), of.alias("duplicate_of_frame"), F.struct(*values).alias("metrics"), F.when(is_object, F.struct(*told)).alias("metadata"), frame.alias("actual_frame")]
+    out = rows.select("job_id", "batch_id", "pos", "raw", valid.alias("is_valid"), *fields)
     held = lambda c: F.when(F.col("is_valid"), F.col(c)).alias(c)
-    return out.select("job_id", "batch_id", "pos", "raw", "is_valid", *(held(c) for c in ("frame_index", "is_duplicate", "duplicate_of_frame", "metrics")))
+    return out.select("job_id", "batch_id", "pos", "raw", "is_valid", *(held(c) for c in out.columns[5:]))

@@ -37,9 +37,10 @@ def counts(frames: DataFrame, *keys: str) -> DataFrame:
 
 
 def named(frames: DataFrame, batches: DataFrame) -> DataFrame:
-    """The frames of replies with the name of the frame they tell of, if there is one."""
-    names = batches.select("job_id", "batch_id", "frame_index", F.col("filename").alias("actual_frame"))
-    return frames.join(names, ["job_id", "batch_id", "frame_index"], "left")
+    """The frames of replies with the name of the frame they tell of, if there is one, else the name they gave themselves."""
+    names = batches.select("job_id", "batch_id", "frame_index", F.col("filename").alias("_name"))
+    given = F.col("actual_frame") if "actual_frame" in frames.columns else F.lit(None).cast("string")
+    return frames.join(names, ["job_id", "batch_id", "frame_index"], "left").withColumn("actual_frame", F.coalesce("_name", given)).drop("_name")
 
 
 def luminance(pixels: np.ndarray) -> float:

@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import METRIC_NAMES
+from ..functions.names import iso
+from ..schemas import METRIC_NAMES, SUMMARY
 
 
 def summarize(observations: DataFrame, keys: list[str], value: str, order: Column) -> DataFrame:
@@ -28,9 +29,9 @@ def summary(frames: DataFrame) -> DataFrame:
 
 
 def counters(frames: DataFrame) -> DataFrame:
-    """How many frames of each job were answered, and how many of them are unique, duplicates and invalid."""
-    copy = F.coalesce(F.col("is_duplicate"), F.lit(False))
-    return frames.groupBy("job_id").agg(F.count("*").alias("answered_frames"), F.count_if(~copy).alias("unique_frames"), F.count_if(copy).alias("duplicate_frames"), F.count_if(~F.col("is_valid")).alias("invalid_frames"))
+    """How many frames of each job were answered, and how many of them are unique, duplicates and invalid (neither of both)."""
+    copy, valid = F.coalesce(F.col("is_duplicate"), F.lit(False)), F.col("is_valid")
+    return frames.groupBy("job_id").agg(F.count("*").alias("answered_frames"), F.count_if(valid & ~copy).alias("unique_frames"), F.count_if(valid & copy).alias("duplicate_frames"), F.count_if(~valid).alias("invalid_frames"))
 
 
 def document(frames: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -40,6 +41,33 @@ def document(frames: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return frames.groupBy(*keys).agg(rows.alias("frames"), F.count("*").alias("total_frames")).select(*keys, F.to_json(F.struct("total_frames", "frames"), {"ignoreNullFields": "false"}).alias("document"))
 
 
+def final_document(frames: DataFrame, counted: DataFrame, at: Column) -> DataFrame:
+    """(job_id, document): the final JSON document of each counted job, of its valid frames in the order of arrival.
+
+    counted: counters() and total_frames. The summary maps each metric that has values to max, min, avg and last.
+    """
+    held = frames.where("is_valid").select("job_id", F.struct("batch_id", "pos", "frame_index", "is_duplicate", "duplicate_of_frame", "metrics", "metadata", "actual_frame").alias("frame"))
+    every = held.groupBy("job_id").agg(F.array_sort(F.collect_list("frame")).alias("all_frames_data"))
+    place = F.array_position(F.array(*map(F.lit, METRIC_NAMES)), F.col("metric"))
+    entry = F.struct(place.alias("place"), F.col("metric").alias("key"), F.struct("max", "min", "avg", "last").alias("value"))
+    sums = summary(frames).groupBy("job_id").agg(F.array_sort(F.collect_list(entry)).alias("_sums"))
+    rows = counted.join(every, "job_id", "left").join(sums, "job_id", "left")
+    data = F.coalesce("all_frames_data", F.array().cast(every.schema["all_frames_data"].dataType))
+    unique_data = F.filter(data, lambda x: ~F.coalesce(x["is_duplicate"], F.lit(False)))
+    sums_map = F.map_from_entries(F.transform("_sums", lambda x: F.struct(x["key"], x["value"])))
+    whole = F.struct(
+        iso(at).alias("extraction_date"), "total_frames", "unique_frames", "duplicate_frames", "invalid_frames",
+        data.alias("all_frames_data"), unique_data.alias("unique_metrics"), F.coalesce(sums_map, F.create_map().cast(SUMMARY)).alias("summary"),
+    )
+    return rows.select("job_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("document"))
+
+
+def stored_summaries(job_metrics: DataFrame) -> DataFrame:
+    """(job_id, metric, max, min, avg, last) from the stored documents."""
+    found = F.from_json("metrics_json", f"struct<summary:{SUMMARY}>")["summary"]
+    return job_metrics.select("job_id", F.explode(found).alias("metric", "_v")).select("job_id", "metric", "_v.*")
+
+
 def pivoted(summaries: DataFrame, key: str, metric: str, value: str, names: list[str]) -> DataFrame:
     """A column for each named metric; the names are given, so no job looks for them."""
     return summaries.groupBy(key).agg(*(F.max(F.when(F.col(metric) == n, F.col(value))).alias(n) for n in names))

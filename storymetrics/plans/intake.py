@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, replies
 from ..operators import metrics
+from ..operators.frames import named
 from ..sources.store import Store
 
 
@@ -17,12 +18,23 @@ def validate(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.drop("_day", "reason", "ext"), rows.where("reason IS NOT NULL").drop("_day", "ext", "file_type")
 
 
-def run_replies(store: Store, answered: DataFrame, at: Column) -> DataFrame:
-    """Parses the replies of jobs, stores each job's document and counters, completes the jobs; returns the counters."""
-    frames = replies.parse(answered)
+def run_replies(store: Store, answered: DataFrame, at: Column, batches: DataFrame | None = None) -> DataFrame:
+    """Parses the replies of jobs, stores each job's final document, counters and invalid frames, completes the jobs; returns the counters.
+
+    batches: the frames that were sent (job_id, batch_id, frame_index, filename); they name the frames of the replies, and
+    the document's total_frames counts them. Without them it counts the frames that were answered.
+    """
+    store.put("frames", replies.parse(answered))  # as a table: the plan of the parsing is large, and all that is stored comes from it
+    frames = store.table("frames")
     counted = metrics.counters(frames)
-    stored = metrics.document(frames.drop("raw"), ["job_id"], ["batch_id", "pos"]).join(counted, "job_id")
+    total = counted.withColumn("total_frames", F.col("answered_frames"))
+    if batches is not None:
+        frames = named(frames, batches)
+        sent = batches.groupBy("job_id").agg(F.count("*").alias("_sent"))
+        total = counted.join(sent, "job_id", "left").withColumn("total_frames", F.coalesce("_sent", "answered_frames")).drop("_sent")
+    stored = metrics.final_document(frames, total, at).join(counted, "job_id")
     new = stored.select("job_id", F.col("answered_frames").cast("int").alias("total_frames"), F.lit(None).cast("int").alias("good_frames"), F.lit(None).cast("int").alias("bad_frames"), F.lit(None).cast("int").alias("processing_time_seconds"), F.col("document").alias("metrics_json"), at.cast("timestamp_ntz").alias("created_at"))
+    store.quarantine(answered, frames.where("NOT is_valid").withColumn("created_at", at.cast("timestamp_ntz")))
     store.upsert_metrics(new)
     jobs = store.table("jobs")
     from ..operators.jobs import set_status

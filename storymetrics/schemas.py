@@ -16,3 +16,5 @@ JOB_METRICS = "job_id string, total_frames int, good_frames int, bad_frames int,
 USERS = "id bigint, username string, password_hash string, created_at timestamp_ntz"
 METRICS = T.StructType([T.StructField(n, T.DoubleType() if n in FRACTIONS else T.LongType()) for n in METRIC_NAMES])
 METADATA = T.StructType([T.StructField(n, T.StringType()) for n in ("language", "date_range", "content_type")])
+QUARANTINE = "job_id string, batch_id bigint, pos int, raw string, created_at timestamp_ntz"
+SUMMARY = "map<string,struct<max:double,min:double,avg:double,last:double>>"

@@ -12,7 +12,7 @@ from ..operators import jobs as ops
 class Store:
     def __init__(self, spark: SparkSession, root: str, salt: str):
         self.spark, self.root, self.salt = spark, root.rstrip("/"), salt
-        for name, ddl in (("jobs", schemas.JOBS), ("job_metrics", schemas.JOB_METRICS), ("users", schemas.USERS)):
+        for name, ddl in (("jobs", schemas.JOBS), ("job_metrics", schemas.JOB_METRICS), ("users", schemas.USERS), ("quarantine", schemas.QUARANTINE)):
             if self.version(name) is None:
                 self.put(name, spark.createDataFrame([], T.StructType.fromDDL(ddl)))
 
@@ -55,6 +55,12 @@ class Store:
         self.put("job_metrics", ops.upsert(self.table("job_metrics"), known, "job_id", "created_at"))
         return n
 
+    def quarantine(self, answered: DataFrame, invalid: DataFrame) -> None:
+        """The invalid frames of the answered jobs replace what was held of these jobs; those of unknown jobs are refused."""
+        held, jobs = self.table("quarantine"), self.table("jobs")
+        new = ops.with_parent(invalid.select(held.columns), jobs, "job_id", "id")
+        self.put("quarantine", held.join(answered.select("job_id"), "job_id", "left_anti").select(held.columns).unionByName(new))
+
     def job(self, job_id: str) -> DataFrame:
         return self._joined(self.table("jobs").where(F.col("id") == job_id))
 

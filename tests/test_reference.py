@@ -131,3 +131,26 @@ def test_last_wins_and_copies(spark):
     rows = spark.createDataFrame([("f", 1, "x"), ("f", 2, "x"), ("g", 1, "y")], "n string, i int, t string")
     assert sorted((r["n"], r["i"]) for r in jobs.last_wins(rows, ["n"], ["i"]).collect()) == [("f", 2), ("g", 1)]
     assert sorted((r["i"], r["duplicate_of_frame"]) for r in frames.copies(rows, ["n"], F.col("t"), "i").collect()) == [(1, None), (1, None), (2, 1)]
+
+
+def test_run_replies_stores_the_final_document(spark, tmp_path):
+    import json
+
+    store = Store(spark, f"file://{tmp_path}", "s")
+    store.add_jobs(spark.createDataFrame([("a", "x")], "id string, company string").withColumn("created_at", at()))
+    first = '[{"frame_index":0,"metrics":{"views":9},"metadata":{"language":"fa","content_type":"story"}},{"frame_index":1,"is_duplicate":true,"metrics":{"views":50}},{"frame_index":2,"metrics":{"views":"many"}}]'
+    second = '[{"frame_index":0,"metrics":{"views":4}},{"frame_index":7,"metadata":null,"actual_frame":"own"},{"frame_index":1,"metadata":{"language":5}},{"frame_index":1,"metadata":[]}]'
+    answered = spark.createDataFrame([("a", 0, first), ("a", 1, second), ("orphan", 0, '[{"frame_index":-1}]')], "job_id string, batch_id long, reply string")
+    sent = spark.createDataFrame([("a", 0, i, f"f{i}.jpg") for i in range(3)] + [("a", 1, 0, "f3.jpg"), ("a", 1, 1, "f4.jpg")], "job_id string, batch_id long, frame_index long, filename string")
+    for _ in range(2):
+        intake.run_replies(store, answered, at(), sent)
+    found = json.loads(store.job("a").first()["metrics_json"])
+    assert [found[k] for k in ("extraction_date", "total_frames", "unique_frames", "duplicate_frames", "invalid_frames")] == ["2024-01-02T03:04:05.000000", 5, 3, 1, 3]
+    assert [f["actual_frame"] for f in found["all_frames_data"]] == ["f0.jpg", "f1.jpg", "f3.jpg", "own"]
+    assert [f["actual_frame"] for f in found["unique_metrics"]] == ["f0.jpg", "f3.jpg", "own"]
+    assert [f["metadata"] for f in found["unique_metrics"]] == [{"language": "fa", "date_range": None, "content_type": "story"}, None, None]
+    assert found["summary"] == {"views": {"max": 9.0, "min": 4.0, "avg": 6.5, "last": 4.0}}
+    held = store.table("quarantine").orderBy("batch_id", "pos").collect()
+    assert [(r["job_id"], r["batch_id"], r["pos"]) for r in held] == [("a", 0, 2), ("a", 1, 2), ("a", 1, 3)] and "many" in held[0]["raw"]
+    rows = metrics.export_rows(store.table("jobs"), store.table("job_metrics"), metrics.stored_summaries(store.table("job_metrics"))).first()
+    assert (rows["views"], rows["likes"]) == ("9.0", "")
