@@ -1,7 +1,7 @@
 """Secret scans in DataFrame functions only: fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
 The patterns give the base spans. The entropy method adds spans: a run of characters of one class (hexadecimal, upper
-case with digits, base 64) of at least WINDOW characters is a candidate; a window of WINDOW characters moves over it
+case with digits, lower case with digits, base 64) of at least WINDOW characters is a candidate; a window of WINDOW characters moves over it
 with incremental counts (one character enters, one leaves, and the sum of n log2 n follows), and overlapping windows at
 or above the class's threshold merge to a span. Candidates that an allow-list explains (words without digits, UUIDs,
 placeholders, checksums named as such) are suppressed, and spans inside a base span are not repeated.
@@ -25,8 +25,9 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
 LEAST_VALUE = 6
 #: Characters of a window; class of characters, least entropy of a window in bits, what else a candidate must hold.
+#: Of random windows 3 % over 36 characters lie below 3.5 bits and 0.5 % over 64 characters below 3.6.
 WINDOW = 20
-CLASSES = (("[0-9a-f]", 3.0, "[0-9]"), ("[A-Z0-9]", 3.5, "[0-9]"), ("[A-Za-z0-9+/_=-]", 3.9, "[0-9]"))
+CLASSES = (("[0-9a-f]", 3.0, "[0-9]"), ("[A-Z0-9]", 3.5, "[0-9]"), ("[a-z0-9]", 3.5, "[0-9]"), ("[A-Za-z0-9+/_=-]", 3.6, "[0-9]"))
 #: Candidates that are no secrets, and what stands before one that is none.
 ALLOWED = r"(?i)example|sample|placeholder|changeme|xxxx|01234567|12345678|abcdefgh|^[0-9_=-]+$|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 ALLOWED_BEFORE = r"(?i)(?:sha-?(?:1|256|384|512)|md5|checksum|digest|commit|etag)[^A-Za-z0-9]{0,3}$"

@@ -120,6 +120,14 @@ def test_secrets(spark, empty):
     assert masked == "x [SECRET]' é [SECRET]" and secrets.scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("alphabet, least", [("abcdefghijklmnopqrstuvwxyz0123456789", 0.93), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 0.93)])
+def test_random_tokens_are_secrets(spark, alphabet, least):
+    r = np.random.default_rng(9)
+    tokens = ["".join(r.choice(list(alphabet), 20)) for _ in range(300)]
+    found = secrets.scan(spark.createDataFrame([(i, f"key {t} end") for i, t in enumerate(tokens)], "doc_id long, text string"))
+    assert found.where(F.size(F.concat("base", "added")) > 0).count() >= least * len(tokens)
+
+
 def test_minhash(docs, empty):
     rows = sorted({d: t for d, t in rows_of(docs) if d is not None}.items(), reverse=True)
     got = {r["doc_id"]: r for r in minhash.edited_pairs(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).collect()}
