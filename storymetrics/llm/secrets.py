@@ -129,7 +129,7 @@ def scan(documents: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     maybe = text.rlike(rf"{ACCESS}|{HEX}|[A-Za-z0-9+/_=-]{{{WINDOW}}}|{ASSIGN}")
     out = common.texts(documents, *more).withColumn("base", F.when(maybe, base(text)).otherwise(none))
     out = out.withColumn("found", F.when(maybe, entropy_spans(text)).otherwise(none))
-    apart = F.filter("found", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    apart = F.filter("found", lambda x: ~F.exists("base", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])))
     return out.withColumn("added", apart).drop("found")
 
 
