@@ -52,7 +52,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("secret_scans", secret_scans),
     ("best_fit_packing", best_fit_packing),
 ]
-#: SQL can't express the packing; the tests hold each stage against a brute-force version.
+#: SQL can't express the packing. The tests hold the operators against brute force; of the stages they check columns, and
+#: that the packing places every document, while representatives(), accepted(), redact() and run() have no such version.
 ORACLE_SQL = None
 
 
