@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
+_written: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
+    """The folder that driver and executors share; one of our own only in local mode, where the session names none (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -35,6 +38,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder: its lineage is cut, and it outlives any executor."""
     path = place(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,13 +50,33 @@ def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
     return df.sparkSession.table(known)
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table made by saved(), once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if scratch(spark).split(":", 1)[-1].lstrip("/") in path.toString():
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that saved() made, and nothing outside the shared folder."""
+    if path in _written:
+        _written.remove(path)
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by saved(), once nothing reads them any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            folder = file.rsplit("/", 1)[0].rsplit("/", 1)[-1]
+            for path in [p for p in _written if p.rsplit("/", 1)[-1] == folder]:
+                delete(df.sparkSession, path)
+
+
+def alone(df: DataFrame, name: str, since: int) -> DataFrame:
+    """saved(df), after which all tables that saved() made from number `since` (of written()) on are deleted."""
+    out = saved(df, name)
+    for path in _written[since:-1]:
+        delete(df.sparkSession, path)
+    return out
+
+
+def written() -> int:
+    return len(_written)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,27 +144,58 @@ def hashed(column: str | F.Column, n: int) -> F.Column:
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) of one orientation that connect the same nodes: each task keeps a spanning forest of what it reads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, at = np.unique(np.concatenate([b.column(0).to_numpy(), b.column(1).to_numpy()]), return_inverse=True)
+            x, y = at[: b.num_rows], at[b.num_rows :]
+            label = np.arange(len(ids))
+            while True:  # labels go down to the smallest number of the neighbourhood, and then to its label
+                low = label.copy()
+                np.minimum.at(low, x, label[y])
+                np.minimum.at(low, y, label[x])
+                low = low[low]
+                if (low == label).all():
+                    break
+                label = low
+            other = np.flatnonzero(label != np.arange(len(ids)))
+            yield batch(schema, ids[label[other]], ids[other])
+
+    schema = arrow_schema("a long, b long")
+    return edges.mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component): the smallest node reachable over the undirected edges (a, b); nodes without edges are absent.
 
-    Labels start as the smallest neighbour and are lowered by neighbours and by the label's own label (pointer
-    jumping), so that a chain of n nodes takes about log n rounds. Each round is a written table; minima are combined
-    before they are shuffled, and the joins can split a hub. Nothing but one count a round comes to the driver.
+    Contraction: in each round every node takes the label of its lowest neighbour or of itself, edges are rewritten to
+    labels, and loops and repeats go. "Lowest" is by id in the first round, in which stars shrink to a point, and by a
+    hash that changes with the round afterwards, so that also chains shrink by a part each time and the rounds are
+    about log n. Edges never become more. Nothing but one count a round comes to the driver.
     """
-    pairs = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    both = saved(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
-    label = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), name)
-    while True:
-        near = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        lower = label.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        jump = label.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        after = saved(lower.join(jump, "component").select("node", "old", F.least("component", "up").alias("component")), name)
-        dropped(label)
-        label = after.select("node", "component")
-        if not after.where("component <> old").limit(1).count():
-            dropped(both)
-            return label
-        # the next round reads `after`, whose files go when it is replaced
+    ends = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
+    left = saved(forest(ends).distinct(), name)
+    label = saved(left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct().select("node", F.col("node").alias("root")), name)
+    turn = 0
+    while left.limit(1).count():
+        rank = (lambda c: F.col(c)) if not turn else (lambda c: F.xxhash64(c, F.lit(turn)))  # noqa: B023
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy("a").agg(F.min(F.struct(rank("b").alias("rank"), F.col("b").alias("id"))).alias("near"))
+        mine = F.struct(rank("a").alias("rank"), F.col("a").alias("id"))
+        pick = saved(near.select(F.col("a").alias("old"), F.least(mine, F.col("near"))["id"].alias("new")), name)
+        after = label.join(pick, label["root"] == pick["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
+        after = saved(after, name)
+        one = left.join(pick, left["a"] == pick["old"]).select(F.col("new").alias("a"), "b")
+        two = one.join(pick, one["b"] == pick["old"]).select("a", F.col("new").alias("b"))
+        rest = saved(forest(two.where("a <> b")).distinct(), name)
+        dropped(label, left, pick)
+        label, left, turn = after, rest, turn + 1
+    least = label.groupBy("root").agg(F.min("node").alias("component"))
+    out = saved(label.join(least, "root").select("node", "component"), name)
+    dropped(label, left)
+    return out
 
 
 def apply(df: DataFrame, function: Callable, schema: str) -> DataFrame:

@@ -1,28 +1,28 @@
 """N-gram Jaccard join: T-occurrence search with DivideSkip inside blocks of documents that can be alike.
 
-Two sets with Jaccard similarity t differ in at most H = (1 - t) / (1 + t) (|x| + |y|) shingles. Where a hash deals the
-shingles to H + 1 + e segments, e + 1 segments of similar sets agree, so they share the hash of a segment that isn't
-empty (sets with more than e empty segments use those as well; e is chosen so that hardly any do). Sizes are dealt to
-classes a factor 1 / t apart, and a document uses the segments of its class and of the next, so that similar documents
-use the same number. A segment holds several shingles, which documents share for no other reason than being copies in
-part, however large the corpus. Sets too small for segments use their prefixes, n - ceil(t n) + 1 shingles, the longest
-(rarest) first. Below a similarity of SEGMENT_PERCENT segments would hold too few shingles; there all sets use their
-prefixes, ordered by how many sets have a shingle in the same of COUNTERS counters (a table of fixed size, counted over
-all documents), so that passages which many documents share come last. Documents that share a key, directly or over others, are one block; equal sets have one representative.
-Counters are shared by more shingles the larger the corpus is, and so chain strangers to large blocks. Therefore the
-members of these blocks are dealt anew by their exact prefixes: the shingles of the members are counted block by block
-in a shuffle, those that several members have go back to their documents, and only documents that share enough shingles
-for the similarity keep prefix keys. What those keys connect are the blocks that are searched.
-
-Inside a block every representative looks for its partners over the inverted lists of its shingles: the longest lists
-are set aside, the short ones are merged by heap, and documents that can still reach the required overlap T are looked
-up in the long lists by binary search. Partners that are connected already are not looked up again, and only the links
-that connect something are returned, so no group yields its pairs. A block of more than SHARD members is searched shard
-against shard, in a task for each pair of shards whose classes of sizes (a factor 1 / t) are equal or neighbours.
+Candidates come from two exact prefix filters. Sets with Jaccard similarity t share at least T(n) = ceil(t n) shingles,
+n being the size of either, so of all but c(n) = n - T(n) + 1 of each set, in any order that all sets follow, they share
+c or more: the 2 c(n) - 1 shingles that come first in the order of a hash hold c shared ones, c that of the smaller set.
+Only these shingles are exchanged. Documents are dealt to blocks by a hash of doc_id; a block sends its distinct keys
+with how many of its documents have them, by ranges of keys, and learns how many documents have each key in all, so that
+a shingle of a third of all documents costs one entry a block. A document with fewer than c(T(n)) keys that others have
+has no partner; of the others, the keys are put in order again, the rarest first, and those that can hold the first
+shared one are kept. Nothing depends on how common a passage is, on sampling or on tables of fixed size. Equal sets have
+one representative throughout. Documents that share a kept key, directly or over others, are one group.
+
+Inside a group every member looks for its partners over the inverted lists of its shingles: the longest lists are set
+aside, the short ones are merged by heap, and documents that can still reach the required overlap T are looked up in the
+long lists by binary search. Partners that are connected already are not looked up again, and only the links that
+connect something are returned, so no group yields its pairs. A group of more than SHARD members is searched in rounds:
+members are dealt to shards at random, each shard is searched, and one representative of each component goes on to the
+next round. What is left then are pairs of different components, and for those all members outside the group's largest
+component are the queries against all members that share a key with other components, shard against shard. A group of
+near copies costs little more than a copy of its members; a group of q members that are like none of the others costs
+q / SHARD copies of the group.
 
 Defined results: documents without words have an empty set, link with nothing and are their own component; equal rows
-are in one class; a null doc_id takes part in no link and has no component of its own; an empty table gives an empty
-result; extra columns are left out.
+are in one class; rows with one doc_id are one node, linked if any of them is; a null doc_id takes part in no link and
+has no component of its own; an empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -34,181 +34,53 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, text
 
 WORDS, PERCENT = 3, 90
 SHARD = 512
+#: Rounds of representatives in groups of more than SHARD members before the rest is searched shard against shard.
+ROUNDS = 4
 #: Cost of a step of a merge against a look-up, as DivideSkip weighs them.
 MERGE_COST = 0.0085
-#: From this similarity on, segments hold enough shingles; below it, prefixes ordered by this many counters are used.
-SEGMENT_PERCENT, COUNTERS = 90, 1 << 24
-#: Keys that a task sorts at a time; bytes of input for each bucket of keys.
-HELD_KEYS, BUCKET_BYTES = 1 << 21, 8_000_000
-#: Rows of kind 0: a document (a: doc_id) with its set's size and hash; 1: a link (a, b) to make one block; 2: packed keys.
-SETS = "kind int, a long, b long, n long, s1 long, s2 long, keys binary, ids binary"
+#: Entries that are merged by heap; more of them by a sort.
+HEAP = 4096
+#: Bytes of input for each block of documents and each range of keys.
+BLOCK_BYTES, RANGE_BYTES = 4_000_000, 16_000_000
+#: Documents to leave out that are broadcast (8 bytes each); more of them are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+SIZED = "doc_id long, n long, s1 long, s2 long"
+SENT = "block int, part int, keys binary, counts binary"
+ANSWER = "block int, keys binary, counts binary"
+CHOSEN = "doc_id long, n long, keys array<long>, shingles binary"
+MEMBERS = "block long, doc_id long, shingles binary"
+KEY_SALT, ORDER_SALT = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x5851F42D4C957F2D)
 
 
-def schemes(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The class of each size, and for each class the number of segments and how many may be empty in both sets.
+def least(n: np.ndarray, percent: int) -> np.ndarray:
+    """T(n): the least overlap of a set of n with any partner."""
+    return -(-n * percent // 100)
 
-    Of H + 1 + spare segments, spare + 1 agree in similar sets. A few more may be empty than chance makes likely; where
-    that would take as many as H, the sets are so small that they use their prefixes instead (0 segments).
-    """
-    top = [0]
-    while top[-1] <= n.max(initial=1):
-        top.append(max(top[-1] + 1, top[-1] * 100 // percent))
-    top.append(max(top[-1] + 1, top[-1] * 100 // percent))
-    segments, spares = [0], [0]
-    for most in top[1:]:
-        differ, spare = 2 * most * (100 - percent) // (100 + percent), 1
-        for _ in range(20):
-            empty = (differ + 1 + spare) * np.exp(-most * (percent / 100) ** 2 / (differ + 1 + spare))
-            spare = max(spare, int(empty + 3 * np.sqrt(empty) + 1))
-        segments.append(differ + 1 + spare if spare < differ else 0)
-        spares.append(spare)
-    return np.searchsorted(top, n), np.array(segments), np.array(spares)
-
-
-def shingle_counts(documents: DataFrame, k: int) -> np.ndarray:
-    """For each of COUNTERS counters (by a shingle's hash) how many documents' sets have a shingle in it, 255 at most."""
-    chunks, kind = 64, "chunk int, counts binary"
-    schema = common.arrow_schema(kind)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.uint32)
-        for b in batches:
-            for _, data, offsets in text.runs(b.column(1)):
-                _, h = text.distinct(*text.shingles(text.words(data, offsets, fold=True), k))
-                np.add.at(total, counter(h), np.uint32(1))
-        yield common.batch(schema, range(chunks), [zstandard.compress(np.minimum(x, 255).astype(np.uint8).tobytes(), 1) for x in np.split(total, chunks)])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zstandard.decompress(x.as_py()), np.uint8).astype(np.uint32) for x in group["counts"])
-        return pa.Table.from_batches([common.batch(schema, [group["chunk"][0].as_py()], [np.minimum(total, 255).astype(np.uint8).tobytes()])])
-
-    rows = common.texts(documents).mapInArrow(count, kind).groupBy("chunk").applyInArrow(add, kind).collect()  # COUNTERS bytes in all
-    found = {r["chunk"]: np.frombuffer(r["counts"], np.uint8) for r in rows}
-    return np.concatenate([found.get(i, np.zeros(COUNTERS // chunks, np.uint8)) for i in range(chunks)])
-
-
-def counter(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(40)).astype(np.int64)
-
-
-def prefix_keys(doc: np.ndarray, h: np.ndarray, n: np.ndarray, percent: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) for the shingles in the rows' prefixes, the rarest (by the counters) first."""
-    order = np.lexsort((h, counts[counter(h)], doc))
-    chosen = order[np.arange(len(order)) - (np.cumsum(n) - n)[doc[order]] < (n - -(-n * percent // 100) + 1)[doc[order]]]
-    return doc[chosen], text.mix(h[chosen])
-
-
-def segment_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) for every segment or prefix shingle that the rows use; doc, h, size: their distinct shingles and lengths."""
-    kind, segments, spares = schemes(n, percent)
-    rows, keys = [], []
-    place, value = text.mix(h ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32), text.mix(h + np.uint64(0x9E3779B97F4A7C15))
-    named = lambda scheme, number: text.mix(scheme.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + number.astype(np.uint64))
-    small = segments[kind[doc]] == 0
-    order = np.flatnonzero(small)[np.lexsort((h[small], -size[small], doc[small]))]
-    at = np.bincount(doc[order], minlength=len(n))
-    chosen = order[np.arange(len(order)) - (np.cumsum(at) - at)[doc[order]] < (n - -(-n * percent // 100) + 1)[doc[order]]]
-    for scheme in (kind, kind + 1):
-        short = chosen[segments[scheme[doc[chosen]]] == 0]
-        rows.append(doc[short])
-        keys.append(text.mix(value[short] + named(scheme[doc[short]], np.full(len(short), 1 << 40))))
-        many = np.where(n > 0, segments[scheme], 0)
-        first = np.cumsum(many) - many
-        used = many[doc] > 0
-        at = first[doc[used]] + ((place[used] * many[doc[used]].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        total, filled = np.zeros(many.sum(), np.uint64), np.zeros(many.sum(), bool)
-        np.add.at(total, at, value[used])
-        filled[at] = True
-        row = np.repeat(np.arange(len(n)), many)
-        number = np.arange(len(row)) - first[row]
-        empty = np.bincount(row[~filled], minlength=len(n))
-        use = filled | (empty[row] > spares[scheme[row]])
-        rows.append(row[use])
-        keys.append(text.mix(total + named(scheme[row], number))[use])
-    return np.concatenate(rows), np.concatenate(keys)
-
-
-def star(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct (smallest id, other id) pairs of equal keys, and the keys, sorted, with their smallest ids."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    low = ids[new][np.cumsum(new) - 1] if len(ids) else ids
-    apart = low != ids
-    return np.unique(np.stack([low[apart], ids[apart]]), axis=1), keys[new], ids[new]
-
-
-def by_key(keys: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(bucket, packed keys, packed ids) for sorted keys, whose ranges are the buckets; 48 bits of a key are kept."""
-    cuts = np.searchsorted(keys, (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
-    for number, (key_part, id_part) in enumerate(zip(np.split(keys, cuts), np.split(ids, cuts))):
-        if len(key_part):
-            steps = np.diff(key_part >> np.uint64(16), prepend=np.uint64(0))
-            yield number, zstandard.compress(planes(steps), 1), zstandard.compress(planes(id_part), 1)
-
-
-def by_id(ids: np.ndarray, buckets: int, *values: np.ndarray) -> Iterator[tuple[int, bytes, ...]]:
-    """(bucket, packed ids, packed values ...), dealt by a hash of the id."""
-    bucket = (text.mix(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else bucket
-    for i, j in zip(first, np.append(first[1:], len(bucket))):
-        yield int(bucket[i]), *(zstandard.compress(planes(v[order[i:j]]), 1) for v in (ids, *values))
-
-
-def sets(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows that SETS tells of: a task combines what it holds before anything is shuffled."""
-    schema, buckets = common.arrow_schema(SETS), common.dealt(common.size_hint(documents), BUCKET_BYTES, 24, 4096)
-    counts = documents.sparkSession.sparkContext.broadcast(shingle_counts(documents, k)) if percent < SEGMENT_PERCENT else None
-
-    def sent(keys: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        pairs, key, low = star(np.concatenate(keys), np.concatenate(ids))
-        n = pairs.shape[1]
-        none = [None] * n
-        yield common.batch(schema, [1] * n, pairs[0], pairs[1], *[none] * 5)
-        rows = [(2, number, None, None, None, None, *packed) for number, *packed in by_key(key, low, buckets)]
-        if rows:
-            yield common.batch(schema, *zip(*rows))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, held = [], [], 0
-        for b in batches:
-            known = b.column(0).fill_null(0).to_numpy()
-            has_id = b.column(0).is_valid().to_numpy(zero_copy_only=False)
-            for first, data, offsets in text.runs(b.column(1)):
-                rows = len(offsets) - 1
-                w = text.words(data, offsets, fold=True)
-                doc, h = text.shingles(w, k)
-                length = text.lengths(w, k)
-                order = np.lexsort((h, doc))
-                order = order[np.append(True, (doc[order][1:] != doc[order][:-1]) | (h[order][1:] != h[order][:-1]))[: len(order)]]
-                doc, h, length = doc[order], h[order], length[order]
-                n = np.bincount(doc, minlength=rows)
-                start = np.cumsum(n) - n
-                total = [np.append(np.zeros(1, np.uint64), np.cumsum(text.mix(h ^ np.uint64(salt)))) for salt in (0, 0x5851F42D4C957F2D)]
-                s1, s2 = ((t[start + n] - t[start]).view(np.int64) for t in total)
-                yield common.batch(schema, [0] * rows, b.column(0).slice(first, rows), [None] * rows, n, s1, s2, *[[None] * rows] * 2)
-                row, key = prefix_keys(doc, h, n, percent, counts.value) if counts else segment_keys(doc, h, length, n, percent)
-                real = has_id[first + row]
-                keys.append(key[real])
-                ids.append(known[first + row[real]])
-                held += len(keys[-1])
-                if held >= HELD_KEYS:
-                    yield from sent(keys, ids)
-                    keys, ids, held = [], [], 0
-        if held:
-            yield from sent(keys, ids)
-
-    return common.texts(documents).mapInArrow(run, SETS)
+def spare(n: np.ndarray, percent: int) -> np.ndarray:
+    """c(n) = n - T(n) + 1."""
+    return n - least(n, percent) + 1
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle) of the distinct shingles, the rows in order and each one's shingles by a hash, and the sets' sizes."""
+    doc, h = text.shingles(text.words(data, offsets, fold=True), k)
+    doc, h = text.distinct(doc, text.mix(h ^ ORDER_SALT))
+    return doc, h, np.bincount(doc, minlength=len(offsets) - 1)
+
+
+def prefixes(doc: np.ndarray, h: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) for the first 2 c(n) - 1 shingles of each row; keys keep 56 bits."""
+    place = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
+    first = place < (2 * spare(n, percent) - 1)[doc]
+    return doc[first], text.mix(h[first] ^ KEY_SALT) >> np.uint64(8)
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -220,89 +92,109 @@ def unplaned(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-def meeting(group: pa.Table) -> pa.Table:
-    """The links of a bucket of keys: each id to the smallest with the same key."""
-    keys = np.concatenate([np.cumsum(unplaned(x.as_py())) for x in group["keys"]])
-    ids = np.concatenate([unplaned(x.as_py()).view(np.int64) for x in group["ids"]])
-    pairs = star(keys, ids)[0]
-    return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+def packed(keys: np.ndarray, values: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted keys and a number for each."""
+    return zstandard.compress(planes(np.diff(keys, prepend=np.uint64(0))), 1), zstandard.compress(planes(values), 1)
 
 
-def narrowed(members: DataFrame, block: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): links that connect, inside each block, all documents whose sets can be `percent` alike, by exact prefixes.
+def unpacked(keys: bytes, values: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(unplaned(keys), dtype=np.uint64), unplaned(values).view(np.int64)
 
-    members: doc_id, block, text; block: (node, component, n). Keys are hashes of block and shingle; where two meet, they
-    count as one key for every document, so that no link is lost.
-    """
-    buckets = common.dealt(common.size_hint(members), BUCKET_BYTES, 24, 4096)
-    keyed, dealt = "bucket int, keys binary, ids binary", "bucket int, ids binary, keys binary, counts binary"
-    key_schema, id_schema = common.arrow_schema(keyed), common.arrow_schema(dealt)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sent() -> Iterator[pa.RecordBatch]:
-            key, owner = np.concatenate(keys), np.concatenate(ids)
-            order = np.argsort(key)
-            yield common.batch(key_schema, *zip(*by_key(key[order], owner[order], buckets)))
+def counted(group: pa.Table) -> pa.Table:
+    """For each block of a range of keys: its keys that several documents have, and how many do."""
+    blocks = group["block"].to_numpy()
+    parts = [unpacked(k.as_py(), c.as_py()) for k, c in zip(group["keys"], group["counts"])]
+    keys, counts = (np.concatenate(x) for x in zip(*parts))
+    _, at = np.unique(keys, return_inverse=True)
+    total = np.bincount(at, counts).astype(np.int64)
+    rows, first = [], 0
+    for block, (mine, _) in zip(blocks.tolist(), parts):
+        all_of = total[at[first : first + len(mine)]]
+        first += len(mine)
+        if (all_of > 1).any():
+            rows.append((block, *packed(mine[all_of > 1], all_of[all_of > 1])))
+    return pa.Table.from_batches([common.batch(common.arrow_schema(ANSWER), *(zip(*rows) if rows else [[]] * 3))])
 
-        keys, ids, held = [], [], 0
-        for b in batches:
-            known, of = b.column(0).to_numpy(), text.mix(b.column(1).to_numpy().astype(np.uint64))
-            for first, data, offsets in text.runs(b.column(2)):
-                doc, h = text.distinct(*text.shingles(text.words(data, offsets, fold=True), k))
-                if len(doc):
-                    keys.append(text.mix(h ^ of[first + doc]))
-                    ids.append(known[first + doc])
-                    held += len(doc)
-                if held >= HELD_KEYS:
-                    yield from sent()
-                    keys, ids, held = [], [], 0
-        if held:
-            yield from sent()
-
-    def shared(group: pa.Table) -> pa.Table:
-        """The keys that several documents have, and how many have them (255 at most), for the documents' buckets."""
-        keys = np.concatenate([np.cumsum(unplaned(x.as_py())) for x in group["keys"]])
-        ids = np.concatenate([unplaned(x.as_py()).view(np.int64) for x in group["ids"]])
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        once = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))
-        keys, ids = keys[once], ids[once]
-        _, at, count = np.unique(keys, return_inverse=True, return_counts=True)
-        several = count[at] > 1
-        rows = list(by_id(ids[several], buckets, keys[several], np.minimum(count[at][several], 255)))
-        return pa.Table.from_batches([common.batch(id_schema, *(zip(*rows) if rows else [[]] * 4))])
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def sizes(documents: DataFrame, k: int) -> DataFrame:
+    """doc_id and the size and 128-bit hash of the set of each row."""
+    schema = common.arrow_schema(SIZED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(bucket, ids, None, n) for bucket, ids, n in by_id(b.column(0).to_numpy(), buckets, b.column(1).to_numpy())]
-            if rows:
-                yield common.batch(id_schema, *zip(*rows))
-
-    def prefixes(group: pa.Table) -> pa.Table:
-        """The keys in the documents' prefixes; keys that only one document has come first in them and are left out."""
-        is_size = group["keys"].is_null().to_numpy()
-
-        def column(name: str, of: np.ndarray) -> np.ndarray:
-            return np.concatenate([np.zeros(0, np.uint64), *(unplaned(x.as_py()) for x in group[name].filter(pa.array(of)))])
-
-        known, first = np.unique(column("ids", is_size), return_index=True)
-        n = column("counts", is_size)[first].astype(np.int64)
-        ids, keys, counts = (column(c, ~is_size) for c in ("ids", "keys", "counts"))
-        doc = np.searchsorted(known, ids)
-        several = np.bincount(doc, minlength=len(known))
-        least = -(-n * percent // 100)
-        order = np.lexsort((keys, counts, doc))
-        doc = doc[order]
-        place = np.arange(len(doc)) - (np.cumsum(several) - several)[doc] + np.maximum(n - several, 0)[doc]
-        use = (several >= least)[doc] & (place < (n - least + 1)[doc])
-        keys, ids = keys[order][use] << np.uint64(16), ids[order][use]
-        order = np.argsort(keys)
-        rows = list(by_key(keys[order], ids[order], buckets))
-        return pa.Table.from_batches([common.batch(key_schema, *(zip(*rows) if rows else [[]] * 3))])
-
-    returned = members.select("doc_id", "block", "text").mapInArrow(spread, keyed).groupBy("bucket").applyInArrow(shared, dealt)
-    all_sizes = block.select("node", F.col("n").cast("long")).mapInArrow(sizes, dealt)
-    return returned.unionByName(all_sizes).groupBy("bucket").applyInArrow(prefixes, keyed).groupBy("bucket").applyInArrow(meeting, "a long, b long")
+            for first, data, offsets in text.runs(b.column(1)):
+                _, h, n = shingle_sets(data, offsets, k)
+                start = np.cumsum(n) - n
+                total = [np.append(np.zeros(1, np.uint64), np.cumsum(text.mix(h ^ salt))) for salt in (KEY_SALT, ORDER_SALT)]
+                yield common.batch(schema, b.column(0).slice(first, len(n)), n, *((t[start + n] - t[start]).view(np.int64) for t in total))
+
+    return common.texts(documents).mapInArrow(run, SIZED)
+
+
+def classes(documents: DataFrame, k: int) -> DataFrame:
+    """doc_id, n and rep: the smallest doc_id with the same set (null for empty sets)."""
+    sized = common.saved(sizes(documents, k), "sizes")
+    same = sized.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    out = common.saved(sized.join(same, ["n", "s1", "s2"], "left").select("doc_id", "n", "rep"), "classes")
+    common.dropped(sized)
+    return out
+
+
+def candidates(documents: DataFrame, classed: DataFrame, k: int, percent: int) -> DataFrame:
+    """The representatives that can have partners, with the keys by which they meet them and their whole sets."""
+    hint = common.size_hint(documents)
+    n_blocks, ranges = common.dealt(hint, BLOCK_BYTES, 48, 1 << 22), common.dealt(hint, RANGE_BYTES, 24, 1 << 16)
+    block = common.hashed("doc_id", n_blocks)
+    by_block = common.texts(documents).where("doc_id IS NOT NULL").withColumn("block", block).groupBy("block")
+    rep = classed.where("doc_id = rep").select(block.alias("block"), "doc_id").groupBy("block").agg(F.collect_set("doc_id").alias("reps"))
+    sent_schema, chosen_schema = common.arrow_schema(SENT), common.arrow_schema(CHOSEN)
+
+    def runs(group: pa.Table, answers: pa.Table) -> Iterator[tuple]:
+        """doc_ids, sets and prefixes of the representatives of a block, run by run."""
+        known = [x.values.to_numpy(zero_copy_only=False) for x in answers["reps"] if x.is_valid]
+        if not group.num_rows or not known:
+            return
+        group = group.filter(pa.array(np.isin(group["doc_id"].to_numpy(), known[0])))
+        ids = group["doc_id"].to_numpy()
+        for first, data, offsets in text.runs(group["text"]):
+            doc, h, n = shingle_sets(data, offsets, k)
+            yield ids[first : first + len(n)], doc, h, n, *prefixes(doc, h, n, percent)
+
+    def spread(group: pa.Table, answers: pa.Table) -> pa.Table:
+        found = [key for *_, key in runs(group, answers)]
+        keys, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+        cuts = np.searchsorted(keys, (np.arange(1, ranges, dtype=np.float64) * (2.0**56 / ranges)).astype(np.uint64))
+        rows = [(group["block"][0].as_py(), i, *packed(a, c)) for i, (a, c) in enumerate(zip(np.split(keys, cuts), np.split(count, cuts))) if len(a)]
+        return pa.Table.from_batches([common.batch(sent_schema, *(zip(*rows) if rows else [[]] * 4))])
+
+    def choose(group: pa.Table, answers: pa.Table) -> pa.Table:
+        shared = [unpacked(a.as_py(), c.as_py()) for a, c in zip(answers["keys"], answers["counts"]) if a.is_valid]
+        if not shared:
+            return chosen_schema.empty_table()
+        known, total = (np.concatenate(x) for x in zip(*shared))
+        order = np.argsort(known)
+        known, total, out = known[order], total[order], []
+        for ids, doc, h, n, row, key in runs(group, answers):
+            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            hit = known[at] == key
+            row, key, count = row[hit], key[hit], total[at[hit]]
+            several, prefix, need = np.bincount(row, minlength=len(n)), 2 * spare(n, percent) - 1, spare(least(n, percent), percent)
+            order = np.lexsort((key, count, row))
+            row, key = row[order], key[order]
+            place = np.arange(len(row)) - (np.cumsum(several) - several)[row] + (prefix - several)[row]
+            kept = (several >= need)[row] & (place < (prefix - need + 1)[row])
+            row, key = row[kept], key[kept]
+            mine = np.unique(row)
+            cuts, ends = np.searchsorted(row, mine), np.searchsorted(row, mine, "right")
+            first, last = np.searchsorted(doc, mine), np.searchsorted(doc, mine, "right")
+            out += [(int(ids[m]), int(n[m]), key[i:j].astype(np.int64), h[p:q].tobytes()) for m, i, j, p, q in zip(mine.tolist(), cuts, ends, first, last)]
+        return pa.Table.from_batches([common.batch(chosen_schema, *(zip(*out) if out else [[]] * 4))])
+
+    reps = rep.select("block", *(F.lit(None).cast("binary").alias(c) for c in ("keys", "counts")), "reps")
+    sent = by_block.cogroup(reps.groupBy("block")).applyInArrow(spread, SENT)
+    back = sent.groupBy("part").applyInArrow(counted, ANSWER).withColumn("reps", F.lit(None).cast("array<long>"))
+    return by_block.cogroup(back.unionByName(reps).groupBy("block")).applyInArrow(choose, CHOSEN)
 
 
 class Index:
@@ -327,8 +219,8 @@ class Index:
 
 
 def merged(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The documents that stand in `least` of the lists or more, and in how many: a heap merge, vectorised for many entries."""
-    if sum(map(len, lists)) > 256:
+    """The documents that stand in `least` of the lists or more, and in how many: a heap merge, by a sort beyond HEAP entries."""
+    if sum(map(len, lists)) > HEAP:
         doc, count = np.unique(np.concatenate(lists), return_counts=True)
     else:
         found = [(d, sum(1 for _ in same)) for d, same in groupby(heapq.merge(*(x.tolist() for x in lists)))]
@@ -381,94 +273,143 @@ class Forest:
         return x != y
 
 
-def search(ids: np.ndarray, members: list[np.ndarray], shard: np.ndarray, a: int, b: int, percent: int) -> Iterator[tuple[int, int]]:
-    """Links (pairs of ids) that connect all similar pairs between shards a and b (a = b: inside it)."""
-    held = np.flatnonzero(shard == b) if a != b else np.arange(len(ids))
-    if not len(held) or not len(ids):
-        return
-    index, forest = Index([members[i] for i in held]), Forest(len(ids))
-    for x in np.flatnonzero(shard == a).tolist():
+def search(ids: np.ndarray, members: list[np.ndarray], component: np.ndarray, data: np.ndarray, query: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links (pairs of ids) that connect all similar pairs of a query and a datum (row numbers, in order) in different components."""
+    index, forest = Index([members[i] for i in data]), Forest(len(ids))
+    _, first, same = np.unique(component, return_index=True, return_inverse=True)
+    forest.up = first[same]
+    alone = np.array_equal(data, query)
+    for x in query.tolist():
         n = len(members[x])
         mine = forest.root(x)
 
         def wanted(doc: np.ndarray) -> np.ndarray:
-            return (held[doc] < x if a == b else np.ones(len(doc), bool)) & (forest.roots(held[doc]) != mine)
+            return (data[doc] < x if alone else np.ones(len(doc), bool)) & (forest.roots(data[doc]) != mine)
 
-        doc, count = occurring(index, members[x], -(-n * percent // 100), 2 if a == b else 1, wanted)
-        for y in held[doc[100 * count >= percent * (n + index.size[doc] - count)]].tolist():
+        doc, count = occurring(index, members[x], int(least(n, percent)), 2 if alone else 1, wanted)
+        for y in data[doc[100 * count >= percent * (n + index.size[doc] - count)]].tolist():
             if forest.union(x, y):
                 yield int(ids[x]), int(ids[y])
 
 
-def links(documents: DataFrame, block: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): links that connect the documents whose sets of k-word shingles are `percent` alike.
-
-    block: (node, component, n) with the sizes of the sets for the doc_ids that take part; similar ones must be in one component.
-    """
-    whole = block.groupBy("component").agg(F.count("*").alias("all"))
-    kind = F.when(F.col("all") <= SHARD, F.lit(0)).otherwise(F.floor(F.log(F.greatest("n", F.lit(1))) / (F.log(F.lit(100.0 / percent)) * 1.000001))).cast("int")
-    sized = block.join(whole, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("block"), kind.alias("kind"))
-    shards = sized.groupBy("block", "kind").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
-    beside = lambda d, name: shards.select("block", (F.col("kind") + d).alias("kind"), F.col("shards").alias(name))
-    member = sized.join(shards, ["block", "kind"]).join(beside(1, "below"), ["block", "kind"], "left").join(beside(-1, "above"), ["block", "kind"], "left")
-    about = ("block", "kind", "shards", "below", "above", "doc_id")
-    gathered = "block long, kind int, shards int, below int, above int, doc_id long, shingles binary"
-    schema = common.arrow_schema(gathered)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, data, offsets in text.runs(b.column("text")):
-                rows = len(offsets) - 1
-                doc, h = text.distinct(*text.shingles(text.words(data, offsets, fold=True), k))
-                cuts = np.searchsorted(doc, np.arange(rows + 1)).tolist()
-                yield common.batch(schema, *(b.column(c).slice(first, rows) for c in about), [h[i:j].tobytes() for i, j in zip(cuts, cuts[1:])])
-
-    chosen = common.texts(documents).join(member.hint("merge"), "doc_id").select(*about, "text").mapInArrow(gather, gathered)
-    # a member meets the shards of its own class of sizes and of the two beside it; side tells which of a task's two it is in
-    own = F.pmod(F.xxhash64("doc_id"), F.col("shards")).cast("int")
-    met = lambda d, n: F.transform(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.expr("cast(array() as array<int>)")), lambda i: F.struct((F.col("kind") + d).alias("kind"), i.alias("shard")))
-    tasks = chosen.withColumn("own", own).withColumn("met", F.explode(F.concat(met(0, "shards"), met(-1, "below"), met(1, "above"))))
-    mine, other = F.struct("kind", F.col("own").alias("shard")), F.col("met")
-    tasks = tasks.select("block", F.least(mine, other).alias("x"), F.greatest(mine, other).alias("y"), (mine > other).cast("int").alias("side"), "doc_id", "shingles")
-    tasks = tasks.select("block", *(F.col(f"{p}.{f}").alias(f"{p}_{f}") for p in "xy" for f in ("kind", "shard")), "side", "doc_id", "shingles")
-    task = ["block", "x_kind", "x_shard", "y_kind", "y_shard"]
-    out = common.arrow_schema("a long, b long")
+def searched(tasks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between the data and the queries of each task (block, i, j); rows: role 0 data, 1 query, 2 both."""
+    schema, task = common.arrow_schema("a long, b long"), ["block", "i", "j"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in common.groups(batches, task):
-            ids, at = np.unique(group["doc_id"].to_numpy(), return_index=True)
-            shingles = [np.frombuffer(x.as_py(), np.uint64) for x in group["shingles"].take(pa.array(at))]
-            alone = all(group[f"x_{f}"][0] == group[f"y_{f}"][0] for f in ("kind", "shard"))
-            found = list(search(ids, shingles, group["side"].to_numpy()[at], 0, 0 if alone else 1, percent))
+            role = group["role"].to_numpy()
+            data, query = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
+            if group.num_rows < 2 or not len(data) or not len(query):
+                continue
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in group["shingles"]]
+            found = list(search(group["doc_id"].to_numpy(), sets, group["component"].to_numpy(), data, query, percent))
             if found:
-                yield common.batch(out, *zip(*found))
+                yield common.batch(schema, *zip(*found))
+
+    rows = tasks.select(*task, "role", "doc_id", "component", "shingles")
+    return rows.repartition(*task).sortWithinPartitions(*task).mapInArrow(find, "a long, b long")
+
+
+def shards(n: Column) -> Column:
+    return F.ceil(n / SHARD).cast("int")
+
+
+def shard(n: str, salt: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)).cast("int")
+
+
+def inside(members: DataFrame, salt: int) -> DataFrame:
+    """Tasks that compare the members (block, doc_id, component, shingles) of each block with those of their own shard."""
+    many = members.groupBy("block").agg(shards(F.count("*")).alias("shards"))
+    i = shard("shards", salt)
+    return members.join(many, "block").select("block", i.alias("i"), i.alias("j"), F.lit(2).alias("role"), "doc_id", "component", "shingles")
+
+
+def across(members: DataFrame) -> DataFrame:
+    """Tasks that compare, in each block, the members outside the largest component with all members, shard against shard."""
+    sized = members.groupBy("block", "component").agg(F.count("*").alias("n"))
+    of = sized.groupBy("block").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("q")).where("q > 0")
+    rows = members.join(of.select("block", "largest", shards(F.col("n")).alias("n"), shards(F.col("q")).alias("q")), "block")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    data = rows.select("block", shard("n", 7).alias("i"), each("q").alias("j"), F.lit(0).alias("role"), "doc_id", "component", "shingles")
+    query = rows.where("component <> largest").select("block", each("n").alias("i"), shard("q", 8).alias("j"), F.lit(1).alias("role"), "doc_id", "component", "shingles")
+    return data.union(query)
+
+
+def sided(table: DataFrame) -> DataFrame:
+    """A written table as the smaller side of a join: it is broadcast only up to BROADCAST_ROWS rows."""
+    few = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return table.hint("broadcast" if few else "merge")
 
-    return tasks.repartition(*task).sortWithinPartitions(*task).mapInArrow(find, "a long, b long")
+
+def members(documents: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+    """block, doc_id and shingles of the documents in the written table `chosen` (doc_id, block)."""
+    schema = common.arrow_schema(MEMBERS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, data, offsets in text.runs(b.column(2)):
+                doc, h, n = shingle_sets(data, offsets, k)
+                cuts = np.append(0, np.cumsum(n)).tolist()
+                yield common.batch(schema, *(b.column(c).slice(first, len(n)) for c in (0, 1)), [h[i:j].tobytes() for i, j in zip(cuts, cuts[1:])])
+
+    return common.texts(documents).join(sided(chosen), "doc_id").select("block", "doc_id", "text").mapInArrow(run, MEMBERS)
+
+
+def links(members: DataFrame, percent: int, keys: DataFrame | None = None) -> DataFrame:
+    """(a, b): links that connect the documents whose sets are `percent` alike.
+
+    members: block, doc_id, shingles; documents that are to be compared are in one block. keys: (key, doc_id), if those
+    share a key as well.
+    """
+    members = members.withColumn("component", F.col("doc_id"))
+    large = members.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("block")
+    large = common.saved(members.join(large, "block").select(members.columns), "large")
+    found = common.saved(searched(inside(members, 0), percent), "links")
+    if not large.limit(1).count():
+        return found
+
+    def labelled() -> DataFrame:
+        of = common.components(found.join(large.select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi"), "large")
+        both = large.drop("component").join(of.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        return common.saved(both.withColumn("component", F.coalesce("component", "doc_id")), "labelled")
+
+    now = labelled()
+    for turn in range(1, ROUNDS + 1):
+        reps = now.where("doc_id = component")
+        found = common.saved(found.union(searched(inside(reps, turn), percent)), "links")
+        done = not reps.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).limit(1).count()
+        now = labelled()
+        if done:
+            break
+    if keys is not None:
+        apart = keys.join(now.select("block", "doc_id", "component").distinct(), "doc_id")
+        mixed = apart.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        now = now.join(apart.join(mixed.select("key", "block"), ["key", "block"]).select("doc_id").distinct(), "doc_id", "left_semi")
+    return common.saved(found.union(searched(across(now), percent)), "links")
 
 
 def join(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id."""
-    made = common.saved(sets(documents, k, percent), "sets")
-    sized = made.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "s1", "s2")
-    same = sized.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    member = common.saved(sized.join(same, ["n", "s1", "s2"], "left").select("doc_id", "n", "rep"), "classes")
-    far = made.where("kind = 2").select(F.col("a").alias("bucket"), "keys", "ids").groupBy("bucket").applyInArrow(meeting, "a long, b long")
-    block = common.components(made.where("kind = 1").select("a", "b").union(far), "blocks")
-    block = block.join(member.where("doc_id = rep").select(F.col("doc_id").alias("node"), "n").distinct(), "node")
-    if percent < SEGMENT_PERCENT:
-        of = block.select(F.col("node").alias("doc_id"), F.col("component").alias("block")).distinct()
-        documents = common.saved(common.texts(documents).join(of.hint("merge"), "doc_id").select("doc_id", "block", "text"), "members")
-        narrow = common.components(narrowed(documents, block, k, percent), "narrowed")
-        block = narrow.join(block.select("node", "n"), "node")
-    found = common.components(common.saved(links(documents, block, k, percent), "links"), "linked").withColumnRenamed("node", "rep")
+    member = classes(documents, k)
+    since = common.written()
+    chosen = common.saved(candidates(documents, member, k, percent), "candidates")
+    keys = chosen.select(F.explode("keys").alias("key"), "doc_id")
+    shared = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    keys = common.saved(keys.join(shared, "key").select("key", "doc_id", "low"), "keys")
+    group = common.components(keys.select(F.col("low").alias("a"), F.col("doc_id").alias("b")), "groups")
+    members = chosen.join(group, chosen["doc_id"] == group["node"]).select(F.col("component").alias("block"), "doc_id", "shingles")
+    found = common.alone(common.components(links(members, percent, keys), "linked").withColumnRenamed("node", "rep"), "found", since)
     component = F.coalesce("component", "rep", "doc_id").alias("component_id")
     return member.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), component)
 
 
 def representatives(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents that stay when one of each group (that with the smallest doc_id) does; rows with a null doc_id stay."""
-    gone = join(documents, k, percent).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return documents.join(gone.hint("merge"), "doc_id", "left_anti").select(documents.columns)
+    found = join(documents, k, percent)
+    gone = common.saved(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
+    return documents.join(sided(gone), "doc_id", "left_anti").select(documents.columns)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
