@@ -2,9 +2,9 @@
 
 Tokenising is one narrow pass. All that meets on the driver is the histogram of piece lengths, which has at most
 `capacity` entries whatever the corpus: a configuration (a multiset of lengths that fits one sequence) gets a
-fractional multiplicity from a covering linear program, solved by multiplicative weights whose pricing problem is an
-unbounded knapsack over `capacity` cells, and is rounded down; what the rounding leaves is placed by best fit. The
-plan is a list of runs (length, first rank, how many, first sequence, offset), a few thousand rows at most; each piece
+fractional multiplicity from a covering linear program, which starts from the configurations of best fit and is improved
+by multiplicative weights whose pricing problem is an unbounded knapsack over `capacity` cells; the multiplicities are
+rounded, and what the rounding leaves is placed by best fit. The plan is a list of runs (length, first rank, how many, first sequence, offset), a few thousand rows at most; each piece
 finds its place by its rank among the pieces of its length.
 
 Defined results: a null text is empty; an empty text is one piece holding the end id; equal rows are packed
@@ -28,8 +28,11 @@ from pyspark.sql import functions as F
 from . import common
 
 CAPACITY, END_ID = 1024, 2
-#: Rounds of multiplicative weights, and how strongly a covered length loses weight.
-ROUNDS, RATE = 400, 0.5
+#: Rounds of multiplicative weights; how much of a length's rest a round may cover; how strongly a covered length loses
+#: weight; how much more a longer piece is worth for its size; the share of the length (or of the bound) that counts as none.
+ROUNDS, RATE, SLOPE, FULLER, SETTLED = 120, 0.5, 0.3, 0.1, 1e-4
+#: How often, and for which share of the full configurations, the program looks for a cheaper cover.
+TRIALS, SHARE = 4, 0.2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -86,52 +89,94 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: in
     return common.texts(documents).mapInArrow(run, PIECES)
 
 
-def knapsack(value: np.ndarray, capacity: int) -> list[int]:
-    """The lengths (with repeats) of a most valuable configuration; value[s]: of one piece of length s, 0 if there is none."""
+def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to the capacity the most valuable configuration's value and the length that it takes first (0: none).
+
+    value[s]: of one piece of length s, 0 if there is none.
+    """
+    sizes = np.flatnonzero(value[: capacity + 1] > 0)
+    gains, reach = value[sizes], np.searchsorted(sizes, np.arange(capacity + 1), "right")
     best, taken = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    v = value[1:]
     for c in range(1, capacity + 1):
-        gain = v[:c] + best[c - 1 :: -1][:c]
-        k = int(gain.argmax())
-        if gain[k] > best[c - 1] + 1e-15:
-            best[c], taken[c] = gain[k], k + 1
+        best[c], k = best[c - 1], reach[c]
+        if k:
+            gain = gains[:k] + best[c - sizes[:k]]
+            i = int(gain.argmax())
+            if gain[i] > best[c] + 1e-15:
+                best[c], taken[c] = gain[i], sizes[i]
+    return best, taken
+
+
+def filled(taken: np.ndarray, first: int, capacity: int) -> Counter:
+    """The configuration that holds one piece of length `first` and the most valuable rest."""
+    out, room = Counter({first: 1}), capacity - first
+    while room > 0:
+        if taken[room]:
+            out[int(taken[room])] += 1
+            room -= int(taken[room])
         else:
-            best[c] = best[c - 1]
-    out, c = [], capacity
-    while c > 0:
-        if taken[c]:
-            out.append(int(taken[c]))
-            c -= int(taken[c])
-        else:
-            c -= 1
+            room -= 1
     return out
 
 
-def fractional(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> dict[tuple[int, ...], float]:
-    """Multiplicities of configurations that cover the histogram: multiplicative weights on the lengths' duals.
+def covered(demand: np.ndarray, capacity: int) -> dict[tuple[int, ...], float]:
+    """Multiplicities of configurations that cover demand[s] pieces of each length s, by multiplicative weights.
 
-    A round prices the lengths by weight / demand, takes the most valuable configuration and adds as much of it as
-    covers its scarcest length by `rate`; covered lengths lose weight exponentially. The sum is scaled to a cover.
+    A length's price is its size times a weight that falls exponentially with the share of its demand that is covered.
+    One knapsack table prices, for every length, the best configuration that holds it; from the most valuable on, each is
+    taken as often as leaves (1 - RATE) of what every length in it needed when the round began. The little that is left
+    after ROUNDS is covered by configurations of one length.
     """
-    sizes = np.array(sorted(histogram))
-    demand = np.array([histogram[s] for s in sizes], float)
-    at = {s: i for i, s in enumerate(sizes.tolist())}
-    covered, total = np.zeros(len(sizes)), defaultdict(float)
-    for _ in range(rounds):
-        weight = np.exp(-(covered - covered.min()) / rate)
-        value = np.zeros(capacity + 1)
-        value[sizes] = weight / demand
-        value[sizes] += sizes * (value[sizes].sum() * 1e-9 / capacity)  # ties: the fuller configuration
-        config = tuple(knapsack(value, capacity))
-        if not config:
+    size, left, out = np.arange(capacity + 1), demand.copy(), defaultdict(float)
+    for _ in range(ROUNDS):
+        if left @ size <= SETTLED * (demand @ size):
             break
-        uses = Counter(config)
-        amount = min(demand[at[s]] / n for s, n in uses.items()) * rate
-        total[config] += amount
-        for s, n in uses.items():
-            covered[at[s]] += n * amount / demand[at[s]]
-    scale = max(covered.min(), 1e-9)
-    return {c: x / scale for c, x in total.items()}
+        live = left > 1e-9 * demand
+        value = np.where(live, size * (1 + FULLER * size / capacity) * np.exp(SLOPE * (left / np.maximum(demand, 1e-300) - 1)), 0.0)
+        best, taken = knapsack(value, capacity)
+        floor = (1 - RATE) * left
+        lengths = np.flatnonzero(live)
+        for s in lengths[np.argsort(-(value[lengths] + best[capacity - lengths]), kind="stable")].tolist():
+            config = filled(taken, s, capacity)
+            which, uses = np.array(list(config)), np.array(list(config.values()))
+            amount = ((left[which] - floor[which]) / uses).min()
+            if amount > 0:
+                out[tuple(sorted(config.elements()))] += amount
+                left[which] -= uses * amount
+    for s in np.flatnonzero(left > 0).tolist():
+        out[(s,) * (capacity // s)] += left[s] / (capacity // s)
+    return out
+
+
+def fractional(histogram: dict[int, int], capacity: int) -> tuple[dict[tuple[int, ...], float], float]:
+    """A near-optimal solution of the configuration program, and the dual bound below every solution.
+
+    Prices of size / capacity give no configuration more than 1, so they are dual feasible: the bound is the total length
+    over the capacity. The program starts from the columns of best fit, and SHARE of all full configurations and all of
+    those with room to spare are covered anew by multiplicative weights; a cheaper cover is kept, else the share halves.
+    """
+    bound = sum(s * n for s, n in histogram.items()) / capacity
+    now: dict[tuple[int, ...], float] = defaultdict(float)
+    for config, n in best_fit(histogram, capacity):
+        now[tuple(sorted(config))] += n
+    share = SHARE
+    for _ in range(TRIALS):
+        if sum(now.values()) <= (1 + SETTLED) * bound:
+            break
+        kept, demand = defaultdict(float), np.zeros(capacity + 1)
+        for config, x in now.items():
+            free = x * (share if sum(config) == capacity else 1.0)
+            kept[config] += x - free
+            for s in config:
+                demand[s] += free
+        anew = covered(demand, capacity)
+        if sum(kept.values()) + sum(anew.values()) < sum(now.values()):
+            for config, x in anew.items():
+                kept[config] += x
+            now = {c: x for c, x in kept.items() if x > 0}
+        else:
+            share /= 2
+    return dict(now), bound
 
 
 def best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -152,25 +197,36 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...],
     return [x for group in bins.values() for x in group if x[0]]
 
 
+def rounded(solution: dict[tuple[int, ...], float], histogram: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """Configurations with whole multiplicities, and the pieces that they leave.
+
+    Multiplicities are rounded down; then full configurations, the largest fraction first, are taken once where they still fit.
+    """
+    rest, out = Counter(histogram), Counter()
+    up = [(c, 1) for c, x in sorted(solution.items(), key=lambda c: (-(c[1] % 1), c[0])) if sum(c) >= capacity - 1 and x % 1 > 1e-6]
+    down = [(c, int(x + 1e-9)) for c, x in sorted(solution.items(), key=lambda c: (-c[1], c[0]))]
+    for config, most in down + up:
+        uses = Counter(config)
+        n = min(most, *(rest[s] // k for s, k in uses.items()))
+        if n > 0:
+            out[config] += n
+            rest.subtract({s: k * n for s, k in uses.items()})
+    return list(out.items()), {s: n for s, n in rest.items() if n > 0}
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Configurations with whole multiplicities that place exactly the pieces of the histogram.
 
-    The rounded program is taken unless best fit alone needs fewer sequences, as it can for a few hundred pieces.
+    They come from the rounded program, and its rest from best fit. For some hundred pieces rounding can cost more than
+    the program gains over best fit; the plan with fewer sequences is taken.
     """
     left = {s: n for s, n in histogram.items() if n and s < capacity}
     full = [((capacity,), histogram[capacity])] if histogram.get(capacity) else []
     if not left:
         return full
-    alone = best_fit(left, capacity)
-    rest, out = Counter(left), []
-    for config, x in sorted(fractional(left, capacity).items(), key=lambda c: (-c[1], c[0])):
-        use = min(int(x), *(rest[s] // n for s, n in Counter(config).items()))
-        if use > 0:
-            out.append((config, use))
-            rest.subtract({s: n * use for s, n in Counter(config).items()})
-    out += best_fit({s: n for s, n in rest.items() if n > 0}, capacity)
-    best = min(out, alone, key=lambda p: sum(n for _, n in p))
-    return full + best
+    out, rest = rounded(fractional(left, capacity)[0], left, capacity)
+    out += best_fit(rest, capacity)
+    return full + min(out, best_fit(left, capacity), key=lambda p: sum(n for _, n in p))
 
 
 def places(configs: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
