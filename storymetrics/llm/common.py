@@ -144,24 +144,48 @@ def hashed(column: str | F.Column, n: int) -> F.Column:
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
 
-def forest(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) of one orientation that connect the same nodes: each task keeps a spanning forest of what it reads."""
+#: Edges that a task reads before it keeps a forest of them, and up to which one task finishes the components (16 bytes each).
+FOREST_EDGES, FEW_EDGES = 1 << 19, 1 << 20
+
+
+def lowest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (x, y), and the smallest node of each one's component."""
+    ids, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y, label = at[: len(x)], at[len(x) :], np.arange(len(ids))
+    while True:  # every tree hangs itself under the lowest root that an edge leads to; then all nodes point at their roots
+        low = label.copy()
+        a, b = label[x], label[y]
+        np.minimum.at(low, a, b)
+        np.minimum.at(low, b, a)
+        while (low[low] != low).any():
+            low = low[low]
+        if (low == label).all():
+            return ids, ids[label]
+        label = low
+
+
+def forest(edges: DataFrame, whole: bool = False) -> DataFrame:
+    """(a, b): edges that connect the same nodes, of every FOREST_EDGES that a task reads; a is the smallest of a tree.
+
+    whole: of all that a task reads together, with (a, a) for each tree as well.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def kept() -> pa.RecordBatch:
+            nodes, low = lowest(*(np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1)))
+            use = slice(None) if whole else nodes != low
+            return batch(schema, low[use], nodes[use])
+
         for b in batches:
-            ids, at = np.unique(np.concatenate([b.column(0).to_numpy(), b.column(1).to_numpy()]), return_inverse=True)
-            x, y = at[: b.num_rows], at[b.num_rows :]
-            label = np.arange(len(ids))
-            while True:  # labels go down to the smallest number of the neighbourhood, and then to its label
-                low = label.copy()
-                np.minimum.at(low, x, label[y])
-                np.minimum.at(low, y, label[x])
-                low = low[low]
-                if (low == label).all():
-                    break
-                label = low
-            other = np.flatnonzero(label != np.arange(len(ids)))
-            yield batch(schema, ids[label[other]], ids[other])
+            held.append(b)
+            n += b.num_rows
+            if n >= FOREST_EDGES and not whole:
+                yield kept()
+                held, n = [], 0
+        if n:
+            yield kept()
 
     schema = arrow_schema("a long, b long")
     return edges.mapInArrow(run, "a long, b long")
@@ -173,28 +197,33 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Contraction: in each round every node takes the label of its lowest neighbour or of itself, edges are rewritten to
     labels, and loops and repeats go. "Lowest" is by id in the first round, in which stars shrink to a point, and by a
     hash that changes with the round afterwards, so that also chains shrink by a part each time and the rounds are
-    about log n. Edges never become more. Nothing but one count a round comes to the driver.
+    about log n. Edges never become more. Once FEW_EDGES or fewer are left, one task finishes them. Nothing but one
+    count a round comes to the driver.
     """
     ends = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    left = saved(forest(ends).distinct(), name)
-    label = saved(left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct().select("node", F.col("node").alias("root")), name)
-    turn = 0
-    while left.limit(1).count():
+    left, label, turn = saved(forest(ends), name), None, 0
+    while left.count() > FEW_EDGES:
+        if label is None:
+            label = saved(left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct().select("node", F.col("node").alias("root")), name)
         rank = (lambda c: F.col(c)) if not turn else (lambda c: F.xxhash64(c, F.lit(turn)))  # noqa: B023
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min(F.struct(rank("b").alias("rank"), F.col("b").alias("id"))).alias("near"))
         mine = F.struct(rank("a").alias("rank"), F.col("a").alias("id"))
         pick = saved(near.select(F.col("a").alias("old"), F.least(mine, F.col("near"))["id"].alias("new")), name)
-        after = label.join(pick, label["root"] == pick["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
-        after = saved(after, name)
+        after = saved(label.join(pick, label["root"] == pick["old"], "left").select("node", F.coalesce("new", "root").alias("root")), name)
         one = left.join(pick, left["a"] == pick["old"]).select(F.col("new").alias("a"), "b")
         two = one.join(pick, one["b"] == pick["old"]).select("a", F.col("new").alias("b"))
-        rest = saved(forest(two.where("a <> b")).distinct(), name)
+        rest = saved(forest(two.where("a <> b").distinct()), name)
         dropped(label, left, pick)
         label, left, turn = after, rest, turn + 1
-    least = label.groupBy("root").agg(F.min("node").alias("component"))
-    out = saved(label.join(least, "root").select("node", "component"), name)
-    dropped(label, left)
+    last = saved(forest(left.coalesce(1), whole=True).select(F.col("b").alias("node"), F.col("a").alias("component")), name)
+    dropped(left)
+    if label is None:
+        return last
+    rooted = label.join(last, label["root"] == last["node"], "left").select(label["node"], F.coalesce("component", "root").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("node").alias("component"))
+    out = saved(rooted.join(least, "root").select("node", "component"), name)
+    dropped(label, last)
     return out
 
 

@@ -110,7 +110,9 @@ def test_ngram_join_of_chains_and_passages(spark, monkeypatch, k, percent, shard
         assert {r["doc_id"] for r in ngram_join.representatives(docs, k, percent).collect()} == {d for d in up if up[d] == d}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_EDGES", few)
     r = np.random.default_rng(2)
     edges = [(i, i + 1) for i in range(200)] + [(500 - i, 499 - i) for i in range(150)] + [(1000, i) for i in range(1001, 1200)] + [(7, 7)] + [tuple(map(int, r.integers(2000, 2300, 2))) for _ in range(200)]
     up = {x: x for e in edges for x in e if e[0] != e[1]}
