@@ -15,78 +15,63 @@ def unfenced(reply: Column) -> Column:
     return F.btrim(body, F.lit(" \t\r\n"))
 
 
-def kind(value: Column) -> Column:
-    """JSON type of a raw value: null (absent), VOID, BOOLEAN, STRING, NUMBER or NESTED."""
-    first = F.substring(F.ltrim(value), 1, 1)
-    return F.when(value.isNull(), None).when(value == "null", "VOID").when(value.isin("true", "false"), "BOOLEAN").when(first == '"', "STRING").when(first.isin("{", "["), "NESTED").otherwise("NUMBER")
+#: What each field of a frame must become, by its path; fields of a kind are coerced by the same rule.
+FIELDS = {
+    "frame_index": "whole", "is_duplicate": "truth", "duplicate_of_frame": "whole", "actual_frame": "wording",
+    **{f"metrics.{n}": "fraction" if n in FRACTIONS else "whole" for n in METRIC_NAMES},
+    **{f"metadata.{n}": "wording" for n in METADATA.names},
+}
 
 
-def bare(value: Column) -> Column:
-    """The characters of a raw JSON string (escapes resolved), or the raw text of another value."""
-    return F.when(kind(value) == "STRING", F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")).otherwise(value)
+def coerced(kind: Column, text: Column, target: Column) -> Column:
+    """(whole, fraction, truth, wording, valid) of a JSON value of type `kind` (null: absent) with the given text.
 
-
-def whole(value: Column) -> tuple[Column, Column]:
-    """(value, valid) of a whole number given as number, text or truth value."""
-    k, text = kind(value), bare(value)
-    number = F.when(text.try_cast("double") == F.floor(text.try_cast("double")), text.try_cast("decimal(38,9)").try_cast("bigint"))
+    A whole number may be given as number, text or truth value, a fraction too; absent and null are null. A truth value
+    may be a word or 0 or 1; absent is false and null is invalid. Wording is text only.
+    """
+    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    truth, string, absent = kind == "BOOLEAN", kind == "STRING", kind.isNull() | (kind == "VOID")
     written = F.when(text.rlike(r"^\s*[+-]?[0-9]+(_[0-9]+)*(\.0+)?\s*$"), F.replace(F.regexp_replace(F.btrim(text), r"\.0+$", ""), F.lit("_"), F.lit("")).try_cast("bigint"))
-    out = F.when(k == "BOOLEAN", (text == "true").cast("bigint")).when(k == "STRING", written).when(k == "NUMBER", number)
-    return out, k.isNull() | (k == "VOID") | out.isNotNull()
-
-
-def fraction(value: Column) -> tuple[Column, Column]:
-    k, text = kind(value), bare(value)
-    written = F.regexp_replace(F.btrim(text), r"(?<=[0-9])_(?=[0-9])", "").try_cast("double")
-    out = F.when(k == "BOOLEAN", (text == "true").cast("double")).when(k == "STRING", written).when(k == "NUMBER", text.try_cast("double"))
-    return out, k.isNull() | (k == "VOID") | out.isNotNull()
-
-
-def truth(value: Column) -> tuple[Column, Column]:
-    """(value, valid) of a truth value; absent is false, null is invalid."""
-    k, text = kind(value), F.lower(bare(value))
-    number = F.when(text.try_cast("double") == 1, True).when(text.try_cast("double") == 0, False)
-    written = F.when(text.isin("true", "yes", "on", "t", "y", "1"), True).when(text.isin("false", "no", "off", "f", "n", "0"), False)
-    out = F.when(k == "BOOLEAN", text == "true").when(k == "STRING", written).when(k == "NUMBER", number).when(k.isNull(), False)
-    return out, out.isNotNull()
-
-
-def wording(value: Column) -> tuple[Column, Column]:
-    """(value, valid) of a text, given as text only."""
-    k = kind(value)
-    return F.when(k == "STRING", bare(value)), k.isNull() | k.isin("VOID", "STRING")
+    exact = F.when(text.try_cast("double") == F.floor(text.try_cast("double")), text.try_cast("decimal(38,9)").try_cast("bigint"))
+    whole = F.when(truth, (text == "true").cast("bigint")).when(string, written).when(number, exact)
+    plain = F.regexp_replace(F.btrim(text), r"(?<=[0-9])_(?=[0-9])", "").try_cast("double")
+    fraction = F.when(truth, (text == "true").cast("double")).when(string, plain).when(number, text.try_cast("double"))
+    word = F.lower(text)
+    said = F.when(word.isin("true", "yes", "on", "t", "y", "1"), True).when(word.isin("false", "no", "off", "f", "n", "0"), False)
+    counted = F.when(text.try_cast("double") == 1, True).when(text.try_cast("double") == 0, False)
+    flag = F.when(kind.isNull(), False).when(truth, text == "true").when(string, said).when(number, counted)
+    of = lambda name, value: F.when(target == name, value).alias(name)
+    valid = F.when(target == "whole", absent | whole.isNotNull()).when(target == "fraction", absent | fraction.isNotNull()).when(target == "truth", flag.isNotNull()).otherwise(absent | string)
+    return F.struct(of("whole", whole), of("fraction", fraction), of("truth", flag), of("wording", F.when(string, text)), valid.alias("valid"))
 
 
 def parse(replies: DataFrame) -> DataFrame:
     """One row per frame of (job_id, batch_id, reply): pos, raw, the validated fields and is_valid.
 
     A reply that is no JSON array gives no rows. One invalid field makes the whole frame invalid; it keeps its raw text
-    and null values, so it can be quarantined.
+    and null values, so it can be quarantined. Each frame is parsed once for its types and once for its texts, and its
+    fields are coerced in one pass over an array.
     """
     rows = replies.select("job_id", "batch_id", F.posexplode(F.from_json(unfenced(F.col("reply")), "array<string>")).alias("pos", "raw"))
-    # raw member texts, so that the type of every value can be told
-    member = lambda text, name: F.try_variant_get(F.try_parse_json(text), f"$.{name}", "variant")
-    raw = lambda text, name: F.to_json(member(text, name))
-    top = {n: raw(F.col("raw"), n) for n in ("frame_index", "is_duplicate", "duplicate_of_frame", "actual_frame")}
-    index, index_ok = whole(top["frame_index"])
-    copy, copy_ok = truth(top["is_duplicate"])
-    of, of_ok = whole(top["duplicate_of_frame"])
-    frame, frame_ok = wording(top["actual_frame"])
-    metrics, metadata = raw(F.col("raw"), "metrics"), raw(F.col("raw"), "metadata")
-    values, checks = [], [index_ok & index.isNotNull() & (index >= 0), copy_ok, of_ok, frame_ok, F.coalesce(kind(metrics).isin("VOID", "NESTED"), F.lit(True))]
-    for n in METRIC_NAMES:
-        value, ok = (fraction if n in FRACTIONS else whole)(raw(metrics, n))
-        values.append(value.alias(n))
-        checks.append(ok)
-    told = []
-    for n in METADATA.names:
-        value, ok = wording(raw(metadata, n))
-        told.append(value.alias(n))
-        checks.append(ok)
-    is_object = F.substring(F.ltrim(metadata), 1, 1) == "{"
-    checks.append(F.coalesce(is_object | (kind(metadata) == "VOID"), F.lit(True)))
-    valid = F.coalesce(F.forall(F.array(*checks), lambda x: F.coalesce(x, F.lit(False))), F.lit(False))
-    fields = [index.alias("frame_index"), copy.alias("is_duplicate"), of.alias("duplicate_of_frame"), F.struct(*values).alias("metrics"), F.when(is_object, F.struct(*told)).alias("metadata"), frame.alias("actual_frame")]
-    out = rows.select("job_id", "batch_id", "pos", "raw", valid.alias("is_valid"), *fields)
-    held = lambda c: F.when(F.col("is_valid"), F.col(c)).alias(c)
-    return out.select("job_id", "batch_id", "pos", "raw", "is_valid", *(held(c) for c in out.columns[5:]))
+    texts = lambda c: F.from_json(c, "map<string,string>")
+    rows = rows.select("*", F.try_parse_json("raw").alias("_v"), texts(F.col("raw")).alias("_top"))
+    rows = rows.select("*", texts(F.col("_top")["metrics"]).alias("_metrics"), texts(F.col("_top")["metadata"]).alias("_metadata"))
+    type_of = lambda path: F.schema_of_variant(F.try_variant_get("_v", f"$.{path}", "variant"))
+
+    def field(path: str, target: str) -> Column:
+        *outer, name = path.split(".")
+        return F.struct(type_of(path).alias("kind"), F.col(f"_{outer[0] if outer else 'top'}")[name].alias("text"), F.lit(target).alias("target"))
+
+    found = F.transform(F.array(*(field(*f) for f in FIELDS.items())), lambda x: coerced(x["kind"], x["text"], x["target"]))
+    rows = rows.select("job_id", "batch_id", "pos", "raw", found.alias("_fields"), *(type_of(n).alias(f"_{n}") for n in ("metrics", "metadata")))
+    place = {path: i for i, path in enumerate(FIELDS)}
+    value = lambda path: F.get("_fields", F.lit(place[path]))[FIELDS[path]].alias(path.split(".")[-1])
+    of = lambda group: F.struct(*(value(path) for path in FIELDS if path.startswith(f"{group}.")))
+    nested = lambda n: F.coalesce(F.col(f"_{n}").startswith("OBJECT") | (F.col(f"_{n}") == "VOID"), F.lit(True))
+    valid = F.forall("_fields", lambda x: F.coalesce(x["valid"], F.lit(False))) & nested("metrics") & nested("metadata") & F.coalesce(value("frame_index") >= 0, F.lit(False))
+    rows = rows.select("*", valid.alias("is_valid"))
+    told = F.when(F.col("_metadata").startswith("OBJECT"), of("metadata")).alias("metadata")
+    fields = [value("frame_index"), value("is_duplicate"), value("duplicate_of_frame"), of("metrics").alias("metrics"), told, value("actual_frame")]
+    name = ("frame_index", "is_duplicate", "duplicate_of_frame", "metrics", "metadata", "actual_frame")
+    row = F.struct("is_valid", *(F.when(F.col("is_valid"), f).alias(n) for f, n in zip(fields, name)))
+    return rows.select("job_id", "batch_id", "pos", "raw", F.inline(F.array(row)))  # a generator: no filter on the fields repeats the parsing below it

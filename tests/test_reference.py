@@ -58,6 +58,46 @@ def test_replies_are_validated_leniently(spark):
     assert (got[1]["is_duplicate"], got[1]["duplicate_of_frame"]) == (True, 0)
 
 
+#: JSON tokens with what they must become as whole number, fraction and truth value (BAD: the frame is invalid).
+BAD = object()
+TOKENS = [
+    ("null", None, None, BAD), ("true", 1, 1.0, True), ("false", 0, 0.0, False), ("0", 0, 0.0, False), ("1", 1, 1.0, True), ("2", 2, 2.0, BAD),
+    ("-3", -3, -3.0, BAD), ("12.0", 12, 12.0, BAD), ("12.5", BAD, 12.5, BAD), ("1.0", 1, 1.0, True), ("1e2", 100, 100.0, BAD), ("0.0", 0, 0.0, False),
+    ("9007199254740993", 9007199254740993, 9007199254740992.0, BAD), ("9223372036854775807", 2**63 - 1, float(2**63 - 1), BAD), ("9223372036854775808", BAD, float(2**63), BAD),
+    ('"1234"', 1234, 1234.0, BAD), ('" 12 "', 12, 12.0, BAD), ('"12.0"', 12, 12.0, BAD), ('"12.5"', BAD, 12.5, BAD), ('"1_000"', 1000, 1000.0, BAD), ('"1__0"', BAD, BAD, BAD),
+    ('"1,234"', BAD, BAD, BAD), ('"1e2"', BAD, 100.0, BAD), ('"+5"', 5, 5.0, BAD), ('"-5"', -5, -5.0, BAD), ('"55%"', BAD, BAD, BAD), ('""', BAD, BAD, BAD), ('" "', BAD, BAD, BAD),
+    ('".5"', BAD, 0.5, BAD), ('"5."', BAD, 5.0, BAD), ('"inf"', BAD, float("inf"), BAD), ('"Infinity"', BAD, float("inf"), BAD), ('"abc"', BAD, BAD, BAD), ('"\\u06f1"', BAD, BAD, BAD),
+    ('"true"', BAD, BAD, True), ('"false"', BAD, BAD, False), ('"yes"', BAD, BAD, True), ('"NO"', BAD, BAD, False), ('"on"', BAD, BAD, True), ('"off"', BAD, BAD, False), ('"t"', BAD, BAD, True),
+    ('"f"', BAD, BAD, False), ('"Y"', BAD, BAD, True), ('"n"', BAD, BAD, False), ('"1"', 1, 1.0, True), ('"0"', 0, 0.0, False), ('" true "', BAD, BAD, BAD), ("[]", BAD, BAD, BAD), ("[1]", BAD, BAD, BAD),
+    ("{}", BAD, BAD, BAD), ('{"a":1}', BAD, BAD, BAD),
+]
+
+
+def test_tokens_of_every_type(spark):
+    frames_of = {"whole": lambda t: f'{{"frame_index":0,"metrics":{{"views":{t}}}}}', "fraction": lambda t: f'{{"frame_index":0,"metrics":{{"followers":{t}}}}}', "truth": lambda t: f'{{"frame_index":0,"is_duplicate":{t}}}'}
+    rows = [(kind, i, f"[{make(token[0])}]") for kind, make in frames_of.items() for i, token in enumerate(TOKENS)]
+    got = {(r["job_id"], r["batch_id"]): r for r in replies.parse(spark.createDataFrame(rows, "job_id string, batch_id long, reply string")).collect()}
+    for place, (kind, take) in enumerate((("whole", lambda r: r["metrics"]["views"]), ("fraction", lambda r: r["metrics"]["followers"]), ("truth", lambda r: r["is_duplicate"])), 1):
+        for i, token in enumerate(TOKENS):
+            r = got[kind, i]
+            assert (take(r) if r["is_valid"] else BAD) == token[place], (kind, token)
+
+
+def test_every_field_is_validated(spark):
+    valid = ['"metadata":null', '"metadata":{"language":"fa","date_range":null}', '"actual_frame":"x"', '"actual_frame":null', '"metrics":null', '"metrics":{}', '"unknown":[1]', '"metrics":{"saves":"x"}', '"duplicate_of_frame":null']
+    invalid = ['"metadata":{"language":5}', '"metadata":"x"', '"metadata":[]', '"actual_frame":7', '"metrics":[1]', '"metrics":"x"', '"metrics":5', '"duplicate_of_frame":"x"', '"metrics":{"likes":{}}']
+    rows = [("v", i, f'[{{"frame_index":"3",{x}}}]') for i, x in enumerate(valid)] + [("i", i, f'[{{"frame_index":3,{x}}}]') for i, x in enumerate(invalid)]
+    rows += [("i", 90 + i, f"[{x}]") for i, x in enumerate(('{"metrics":{}}', '{"frame_index":null}', "5", '"text"', "[]", "null"))]
+    for r in replies.parse(spark.createDataFrame(rows, "job_id string, batch_id long, reply string")).collect():
+        assert r["is_valid"] == (r["job_id"] == "v"), r
+        assert r["frame_index"] == (3 if r["is_valid"] else None) and (r["is_valid"] or r["metrics"] is None)
+
+
+def test_frames_are_parsed_once(spark):
+    plan = suite.QUERIES["response_roundtrip"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("variant_get") < 50 and len(plan) < 100_000
+
+
 def test_last_is_by_arrival_and_nulls_are_skipped(spark):
     rows = spark.createDataFrame([("m", 5.0, 1), ("m", 2.0, 2), ("m", None, 3), ("m", float("nan"), 4)], "k string, v double, at int")
     assert metrics.summarize(rows, ["k"], "v", F.col("at")).collect()[0][1:] == (5.0, 2.0, 3.5, 2.0)
