@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
 _written: list[str] = []
+#: Rows of ids (8 or 16 bytes each) up to which a side of a join is broadcast.
+BROADCAST_ROWS = 2_000_000
 
 
 def scratch(spark: SparkSession) -> str:
@@ -43,11 +45,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
-    """df as a written table in n buckets of the key: grouping it by the key needs no shuffle."""
+    """df as a written table in n buckets of the key: grouping it by the key needs no shuffle. No name stays in the catalogue."""
     path = place(df.sparkSession, name)
     known = path.rsplit("/", 1)[-1].replace("-", "_")
     df.write.option("path", path).option("compression", "zstd").bucketBy(n, key).saveAsTable(known, format="parquet")
-    return df.sparkSession.table(known)
+    out = df.sparkSession.table(known)
+    out.schema  # noqa: B018 - resolves the table, after which the files are read by their paths
+    df.sparkSession.sql(f"DROP TABLE {known}")
+    return out
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -76,9 +81,20 @@ def alone(df: DataFrame, name: str, since: int) -> DataFrame:
 
 
 def written() -> int:
+    """How many tables that saved() made are there."""
     return len(_written)
 
 
+def written_since(n: int) -> list[str]:
+    return _written[n:]
+
+
+def sided(table: DataFrame) -> DataFrame:
+    """A written table of ids as the smaller side of a join: it is broadcast only up to BROADCAST_ROWS rows."""
+    few = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return table.hint("broadcast" if few else "merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -206,5 +206,5 @@ def edited_pairs(documents: DataFrame, k: int = WORDS) -> DataFrame:
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = common.table(spark, sf_dir, "documents")
     near = near_duplicates(documents)
-    found = edited_pairs(documents).join(ngram_join.sided(near), "doc_id", "left")
+    found = edited_pairs(documents).join(common.sided(near), "doc_id", "left")
     return found.withColumn("component_id", F.coalesce("component_id", "doc_id"))

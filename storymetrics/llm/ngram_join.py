@@ -1,14 +1,15 @@
 """N-gram Jaccard join: T-occurrence search with DivideSkip inside blocks of documents that can be alike.
 
-Candidates come from two exact prefix filters. Sets with Jaccard similarity t share at least T(n) = ceil(t n) shingles,
-n being the size of either, so of all but c(n) = n - T(n) + 1 of each set, in any order that all sets follow, they share
-c or more: the 2 c(n) - 1 shingles that come first in the order of a hash hold c shared ones, c that of the smaller set.
-Only these shingles are exchanged. Documents are dealt to blocks by a hash of doc_id; a block sends its distinct keys
-with how many of its documents have them, by ranges of keys, and learns how many documents have each key in all, so that
-a shingle of a third of all documents costs one entry a block. A document with fewer than c(T(n)) keys that others have
-has no partner; of the others, the keys are put in order again, the rarest first, and those that can hold the first
-shared one are kept. Nothing depends on how common a passage is, on sampling or on tables of fixed size. Equal sets have
-one representative throughout. Documents that share a kept key, directly or over others, are one group.
+Candidates come from exact prefix filters. Sets with Jaccard similarity t share at least T(n) = ceil(t n) shingles, n
+being the size of either, so of all but c(n) = n - T(n) + 1 of each set, in any order that all sets follow, they share
+some: the 2 c(n) - 1 shingles that come first in the order of a hash hold c shared ones, c that of the smaller set. First
+only these shingles are exchanged. Documents are dealt to blocks by a hash of doc_id; a block sends its distinct keys with
+how many of its documents have them, by ranges of keys, and learns how many documents have each key in all, so that a
+shingle of a third of all documents costs one entry a block. A document with fewer than c(T(n)) keys that others have has
+no partner. The whole sets of the others are exchanged in the same way: those that share T(n) shingles or more keep the
+keys that can be the first shared one, the rarest first. Nothing depends on how common a passage is, on sampling or on
+tables of fixed size. Equal sets have one representative throughout. Documents that share a kept key, directly or over
+others, are one group.
 
 Inside a group every member looks for its partners over the inverted lists of its shingles: the longest lists are set
 aside, the short ones are merged by heap, and documents that can still reach the required overlap T are looked up in the
@@ -28,13 +29,13 @@ has no component of its own; an empty table gives an empty result; extra columns
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, text
@@ -49,12 +50,10 @@ MERGE_COST = 0.0085
 HEAP = 4096
 #: Bytes of input for each block of documents and each range of keys.
 BLOCK_BYTES, RANGE_BYTES = 4_000_000, 16_000_000
-#: Documents to leave out that are broadcast (8 bytes each); more of them are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
 SIZED = "doc_id long, n long, s1 long, s2 long"
 SENT = "block int, part int, keys binary, counts binary"
 ANSWER = "block int, keys binary, counts binary"
-CHOSEN = "doc_id long, n long, keys array<long>, shingles binary"
+CHOSEN = "doc_id long, keys array<long>, shingles binary"
 MEMBERS = "block long, doc_id long, shingles binary"
 KEY_SALT, ORDER_SALT = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x5851F42D4C957F2D)
 
@@ -76,11 +75,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return doc, h, np.bincount(doc, minlength=len(offsets) - 1)
 
 
-def prefixes(doc: np.ndarray, h: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) for the first 2 c(n) - 1 shingles of each row; keys keep 56 bits."""
-    place = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
-    first = place < (2 * spare(n, percent) - 1)[doc]
-    return doc[first], text.mix(h[first] ^ KEY_SALT) >> np.uint64(8)
+def key_of(h: np.ndarray) -> np.ndarray:
+    """What is exchanged for a shingle: 56 bits."""
+    return text.mix(h ^ KEY_SALT) >> np.uint64(8)
+
+
+def bounds(n: np.ndarray, percent: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """How many of a set's first shingles are exchanged, and how many of these it shares with any partner at least."""
+    return (n, least(n, percent)) if whole else (2 * spare(n, percent) - 1, spare(least(n, percent), percent))
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -141,28 +143,23 @@ def classes(documents: DataFrame, k: int) -> DataFrame:
     return out
 
 
-def candidates(documents: DataFrame, classed: DataFrame, k: int, percent: int) -> DataFrame:
-    """The representatives that can have partners, with the keys by which they meet them and their whole sets."""
-    hint = common.size_hint(documents)
-    n_blocks, ranges = common.dealt(hint, BLOCK_BYTES, 48, 1 << 22), common.dealt(hint, RANGE_BYTES, 24, 1 << 16)
-    block = common.hashed("doc_id", n_blocks)
-    by_block = common.texts(documents).where("doc_id IS NOT NULL").withColumn("block", block).groupBy("block")
-    rep = classed.where("doc_id = rep").select(block.alias("block"), "doc_id").groupBy("block").agg(F.collect_set("doc_id").alias("reps"))
+Runs = Callable[[pa.Table, pa.Table | None], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+
+
+def filtered(by_block: GroupedData, side: DataFrame, runs: Runs, ranges: int, percent: int, whole: bool) -> DataFrame:
+    """The documents that share enough of their first shingles with others, with keys (whole sets only) and shingles.
+
+    runs(group, answers): doc_ids, rows, shingles and sizes of the sets of a block; side: block and what else runs needs.
+    Keys: of the shared shingles in the set, the rarest first, those that can be the first that a partner shares.
+    """
     sent_schema, chosen_schema = common.arrow_schema(SENT), common.arrow_schema(CHOSEN)
 
-    def runs(group: pa.Table, answers: pa.Table) -> Iterator[tuple]:
-        """doc_ids, sets and prefixes of the representatives of a block, run by run."""
-        known = [x.values.to_numpy(zero_copy_only=False) for x in answers["reps"] if x.is_valid]
-        if not group.num_rows or not known:
-            return
-        group = group.filter(pa.array(np.isin(group["doc_id"].to_numpy(), known[0])))
-        ids = group["doc_id"].to_numpy()
-        for first, data, offsets in text.runs(group["text"]):
-            doc, h, n = shingle_sets(data, offsets, k)
-            yield ids[first : first + len(n)], doc, h, n, *prefixes(doc, h, n, percent)
+    def prefixes(doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.arange(len(doc)) - (np.cumsum(n) - n)[doc] < bounds(n, percent, whole)[0][doc]
+        return doc[first], key_of(h[first])
 
     def spread(group: pa.Table, answers: pa.Table) -> pa.Table:
-        found = [key for *_, key in runs(group, answers)]
+        found = [prefixes(doc, h, n)[1] for _, doc, h, n in runs(group, answers)]
         keys, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
         cuts = np.searchsorted(keys, (np.arange(1, ranges, dtype=np.float64) * (2.0**56 / ranges)).astype(np.uint64))
         rows = [(group["block"][0].as_py(), i, *packed(a, c)) for i, (a, c) in enumerate(zip(np.split(keys, cuts), np.split(count, cuts))) if len(a)]
@@ -175,26 +172,57 @@ def candidates(documents: DataFrame, classed: DataFrame, k: int, percent: int) -
         known, total = (np.concatenate(x) for x in zip(*shared))
         order = np.argsort(known)
         known, total, out = known[order], total[order], []
-        for ids, doc, h, n, row, key in runs(group, answers):
+        for ids, doc, h, n in runs(group, answers):
+            row, key = prefixes(doc, h, n)
             at = np.minimum(np.searchsorted(known, key), len(known) - 1)
             hit = known[at] == key
             row, key, count = row[hit], key[hit], total[at[hit]]
-            several, prefix, need = np.bincount(row, minlength=len(n)), 2 * spare(n, percent) - 1, spare(least(n, percent), percent)
+            several, (size, need) = np.bincount(row, minlength=len(n)), bounds(n, percent, whole)
+            enough = (several >= need)[row]
+            row, key, count = row[enough], key[enough], count[enough]
             order = np.lexsort((key, count, row))
             row, key = row[order], key[order]
-            place = np.arange(len(row)) - (np.cumsum(several) - several)[row] + (prefix - several)[row]
-            kept = (several >= need)[row] & (place < (prefix - need + 1)[row])
-            row, key = row[kept], key[kept]
-            mine = np.unique(row)
-            cuts, ends = np.searchsorted(row, mine), np.searchsorted(row, mine, "right")
+            mine, start = np.unique(row, return_index=True)
+            place = np.arange(len(row)) - np.repeat(start, several[mine]) + (size - several)[row]
+            kept = place < (size - need + 1)[row]
+            ends = np.cumsum(np.bincount(row[kept], minlength=len(n)))[mine]
+            key = key[kept].astype(np.int64)
             first, last = np.searchsorted(doc, mine), np.searchsorted(doc, mine, "right")
-            out += [(int(ids[m]), int(n[m]), key[i:j].astype(np.int64), h[p:q].tobytes()) for m, i, j, p, q in zip(mine.tolist(), cuts, ends, first, last)]
-        return pa.Table.from_batches([common.batch(chosen_schema, *(zip(*out) if out else [[]] * 4))])
+            out += [(int(ids[m]), key[i:j] if whole else None, h[p:q].tobytes()) for m, i, j, p, q in zip(mine.tolist(), [0, *ends], ends, first, last)]
+        return pa.Table.from_batches([common.batch(chosen_schema, *(zip(*out) if out else [[]] * 3))])
 
-    reps = rep.select("block", *(F.lit(None).cast("binary").alias(c) for c in ("keys", "counts")), "reps")
-    sent = by_block.cogroup(reps.groupBy("block")).applyInArrow(spread, SENT)
-    back = sent.groupBy("part").applyInArrow(counted, ANSWER).withColumn("reps", F.lit(None).cast("array<long>"))
-    return by_block.cogroup(back.unionByName(reps).groupBy("block")).applyInArrow(choose, CHOSEN)
+    empty = [F.lit(None).cast("binary").alias(c) for c in ("keys", "counts")]
+    side = side.select("block", *empty, *(c for c in side.columns if c != "block"))
+    sent = by_block.cogroup(side.groupBy("block")).applyInArrow(spread, SENT)
+    back = sent.groupBy("part").applyInArrow(counted, ANSWER)
+    return by_block.cogroup(back.unionByName(side, allowMissingColumns=True).groupBy("block")).applyInArrow(choose, CHOSEN)
+
+
+def candidates(documents: DataFrame, classed: DataFrame, k: int, percent: int) -> DataFrame:
+    """The representatives that can have partners, with the keys by which they meet them and their whole sets."""
+    hint = common.size_hint(documents)
+    n_blocks, ranges = common.dealt(hint, BLOCK_BYTES, 48, 1 << 22), common.dealt(hint, RANGE_BYTES, 24, 1 << 16)
+    block = common.hashed("doc_id", n_blocks).alias("block")
+    reps = classed.where("doc_id = rep").select(block, "doc_id").groupBy("block").agg(F.collect_set("doc_id").alias("reps"))
+
+    def of_texts(group: pa.Table, answers: pa.Table) -> Iterator[tuple]:
+        known = [x.values.to_numpy(zero_copy_only=False) for x in answers["reps"] if x.is_valid]
+        if not group.num_rows or not known:
+            return
+        group = group.filter(pa.array(np.isin(group["doc_id"].to_numpy(), known[0])))
+        ids = group["doc_id"].to_numpy()
+        for first, data, offsets in text.runs(group["text"]):
+            doc, h, n = shingle_sets(data, offsets, k)
+            yield ids[first : first + len(n)], doc, h, n
+
+    def of_sets(group: pa.Table, answers: pa.Table) -> Iterator[tuple]:
+        for b in group.to_batches(max_chunksize=2000):
+            n = np.array([len(x.as_py()) // 8 for x in b.column("shingles")], np.int64)
+            yield b.column("doc_id").to_numpy(), np.repeat(np.arange(len(n)), n), np.frombuffer(b"".join(x.as_py() for x in b.column("shingles")), np.uint64), n
+
+    by_block = common.texts(documents).where("doc_id IS NOT NULL").select(block, "doc_id", "text").groupBy("block")
+    some = common.saved(filtered(by_block, reps, of_texts, ranges, percent, False).select(block, "doc_id", "shingles"), "some")
+    return filtered(some.groupBy("block"), reps.select("block"), of_sets, ranges, percent, True)
 
 
 class Index:
@@ -337,12 +365,6 @@ def across(members: DataFrame) -> DataFrame:
     return data.union(query)
 
 
-def sided(table: DataFrame) -> DataFrame:
-    """A written table as the smaller side of a join: it is broadcast only up to BROADCAST_ROWS rows."""
-    few = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return table.hint("broadcast" if few else "merge")
-
-
 def members(documents: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     """block, doc_id and shingles of the documents in the written table `chosen` (doc_id, block)."""
     schema = common.arrow_schema(MEMBERS)
@@ -354,7 +376,7 @@ def members(documents: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
                 cuts = np.append(0, np.cumsum(n)).tolist()
                 yield common.batch(schema, *(b.column(c).slice(first, len(n)) for c in (0, 1)), [h[i:j].tobytes() for i, j in zip(cuts, cuts[1:])])
 
-    return common.texts(documents).join(sided(chosen), "doc_id").select("block", "doc_id", "text").mapInArrow(run, MEMBERS)
+    return common.texts(documents).join(common.sided(chosen), "doc_id").select("block", "doc_id", "text").mapInArrow(run, MEMBERS)
 
 
 def links(members: DataFrame, percent: int, keys: DataFrame | None = None) -> DataFrame:
@@ -409,7 +431,7 @@ def representatives(documents: DataFrame, k: int = WORDS, percent: int = PERCENT
     """The documents that stay when one of each group (that with the smallest doc_id) does; rows with a null doc_id stay."""
     found = join(documents, k, percent)
     gone = common.saved(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
-    return documents.join(sided(gone), "doc_id", "left_anti").select(documents.columns)
+    return documents.join(common.sided(gone), "doc_id", "left_anti").select(documents.columns)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
