@@ -51,6 +51,11 @@ def iso(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
+def iso_short(at: Column) -> Column:
+    """ISO text, with the fraction of the second only where there is one."""
+    return F.regexp_replace(iso(at), r"\.000000$", "")
+
+
 def title(name: Column) -> Column:
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
 

@@ -22,9 +22,18 @@ def batched(frames: DataFrame, job: str, order: list[str], size: int = BATCH) ->
 
 
 def copies(frames: DataFrame, scope: list[str], content: Column, index: str) -> DataFrame:
-    """is_duplicate and duplicate_of_frame: the first frame of the scope with the same content."""
-    first = F.min(index).over(Window.partitionBy(*scope, F.sha2(content, 256)))
-    return frames.withColumn("_first", first).withColumn("is_duplicate", F.col(index) > F.col("_first")).withColumn("duplicate_of_frame", F.when(F.col("is_duplicate"), F.col("_first"))).drop("_first")
+    """is_duplicate and duplicate_of_frame: the first frame of the scope with the same content.
+
+    The first ones are found by grouping, which combines before it shuffles, and joined back, which can split a large group.
+    """
+    rows = frames.withColumn("_hash", F.sha2(content, 256))
+    key = ["_hash", *scope]
+    first = rows.groupBy(*(F.col(k).alias(f"_of_{k}") for k in key)).agg(F.min(index).alias("_first"))
+    same = F.lit(True)
+    for k in key:
+        same = same & rows[k].eqNullSafe(first[f"_of_{k}"])
+    out = rows.join(first, same, "left").withColumn("is_duplicate", F.col(index) > F.col("_first"))
+    return out.withColumn("duplicate_of_frame", F.when(F.col("is_duplicate"), F.col("_first"))).select(*frames.columns, "is_duplicate", "duplicate_of_frame")
 
 
 def labelled(confidence: Column, threshold: float = THRESHOLD) -> Column:
@@ -48,12 +57,25 @@ def luminance(pixels: np.ndarray) -> float:
     return float(np.rint(pixels[..., :3] @ np.array([0.114, 0.587, 0.299])).mean())
 
 
+def resized(pixels: np.ndarray, side: int = SIDE) -> np.ndarray:
+    """side x side by linear interpolation between pixel centres, rounded; beyond the outer centres the edge counts on."""
+
+    def along(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(side) + 0.5) * n / side - 0.5, 0, n - 1)
+        low = np.floor(at).astype(int)
+        return low, np.minimum(low + 1, n - 1), at - low
+
+    (top, bottom, down), (left, right, across) = along(pixels.shape[0]), along(pixels.shape[1])
+    p = pixels.astype(float)
+    rows = p[top] * (1 - down)[:, None, None] + p[bottom] * down[:, None, None]
+    return np.rint(rows[:, left] * (1 - across)[None, :, None] + rows[:, right] * across[None, :, None])
+
+
 def prepared(pixels: np.ndarray) -> np.ndarray:
-    """A dark picture is brightened; then SIDE x SIDE (nearest pixel), 0 to 1."""
+    """A dark picture is brightened; then SIDE x SIDE, 0 to 1."""
     if luminance(pixels) < DARK:
         pixels = np.clip(np.rint(np.abs(GAIN * pixels.astype(float) + LIFT)), 0, 255)
-    rows, cols = (np.arange(SIDE) * n // SIDE for n in pixels.shape[:2])
-    return pixels[rows][:, cols].astype(np.float32) / 255
+    return (resized(pixels) / 255).astype(np.float32)
 
 
 def contrast_scorer(pixels: np.ndarray) -> float:
@@ -62,7 +84,10 @@ def contrast_scorer(pixels: np.ndarray) -> float:
 
 
 def score(images: DataFrame, scorer: Callable[[np.ndarray], float] = contrast_scorer) -> DataFrame:
-    """path, luminance, confidence, label of the rows of Spark's image source; undecodable ones have nulls."""
+    """path, luminance, confidence, label of the rows of Spark's image source; undecodable ones have nulls.
+
+    The scorer is sent to the tasks once; one that loads a model should do so on its first call in a process.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -17,9 +17,16 @@ def page(jobs: DataFrame, created: str, key: str, status: str | None = None, lim
     return rows.orderBy(F.col(created).desc_nulls_first(), F.col(key)).offset(offset).limit(limit)
 
 
-def add(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
+def one_of(rows: DataFrame, key: str, order: list[str] | None = None, last: bool = False) -> DataFrame:
+    """The first (or last) row of each key by the given columns, ties by all columns."""
+    place = F.struct(*(order or []), *(c for c in rows.columns if c not in (order or [])))
+    pick = F.max_by if last else F.min_by
+    return rows.groupBy(F.col(key).alias("_k")).agg(pick(F.struct(*rows.columns), place).alias("_row")).select("_row.*")
+
+
+def add(existing: DataFrame, new: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
     """The new rows whose key isn't taken, neither by an existing row nor by an earlier one of the new."""
-    return new.dropDuplicates([key]).join(existing.select(key), key, "left_anti").select(new.columns)
+    return one_of(new, key, order).join(existing.select(key), key, "left_anti").select(new.columns)
 
 
 def with_parent(rows: DataFrame, parents: DataFrame, key: str, parent_key: str) -> DataFrame:
@@ -34,13 +41,17 @@ def set_status(jobs: DataFrame, chosen: Column, status: str, at: Column, error:
     return out
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: str, retained: str) -> DataFrame:
-    """New rows replace those with their key but keep the retained column of the row they replace."""
+def upsert(existing: DataFrame, new: DataFrame, key: str, retained: str, order: list[str] | None = None) -> DataFrame:
+    """New rows (of one key, the last) replace those with their key but keep the retained column of the row they replace."""
     old = existing.select(key, F.col(retained).alias("_old"))
-    latest = new.join(old, key, "left").withColumn(retained, F.coalesce("_old", retained)).select(existing.columns)
+    latest = one_of(new, key, order, last=True).join(old, key, "left").withColumn(retained, F.coalesce("_old", retained)).select(existing.columns)
     return existing.join(new.select(key), key, "left_anti").select(existing.columns).unionByName(latest)
 
 
+def by_status(jobs: DataFrame, status: str = "status") -> DataFrame:
+    return jobs.groupBy(F.col(status).alias("status")).agg(F.count("*").alias("jobs"))
+
+
 def last_wins(rows: DataFrame, name: list[str], order: list[str]) -> DataFrame:
     """The last row of each name."""
     w = Window.partitionBy(*name).orderBy(*(F.col(c).desc() for c in order))

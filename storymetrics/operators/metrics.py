@@ -3,8 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import iso
-from ..schemas import METRIC_NAMES, SUMMARY
+from ..functions.names import iso, iso_short
+from ..schemas import EXPORT, FRACTIONS, METRIC_NAMES, SUMMARY
 
 
 def summarize(observations: DataFrame, keys: list[str], value: str, order: Column) -> DataFrame:
@@ -14,9 +14,10 @@ def summarize(observations: DataFrame, keys: list[str], value: str, order: Colum
 
 
 def long(frames: DataFrame) -> DataFrame:
-    """(job_id, batch_id, pos, metric, value) of the valid frames that are no duplicates."""
-    kept = unique(frames).where("is_valid").select("job_id", "batch_id", "pos", *(F.col(f"metrics.{n}").cast("double").alias(n) for n in METRIC_NAMES))
-    return kept.unpivot(["job_id", "batch_id", "pos"], list(METRIC_NAMES), "metric", "value")
+    """(job_id, batch_id, pos, metric, value, whole) of the valid frames that are no duplicates; whole: the exact value of a count."""
+    each = (F.struct(F.lit(n).alias("metric"), F.col(f"metrics.{n}").cast("double").alias("value"), (F.lit(None) if n in FRACTIONS else F.col(f"metrics.{n}")).cast("bigint").alias("whole")) for n in METRIC_NAMES)
+    kept = unique(frames).where("is_valid").select("job_id", "batch_id", "pos", F.inline(F.array(*each)))
+    return kept.where("value IS NOT NULL")
 
 
 def unique(frames: DataFrame) -> DataFrame:
@@ -28,6 +29,15 @@ def summary(frames: DataFrame) -> DataFrame:
     return summarize(long(frames), ["job_id", "metric"], "value", F.struct("batch_id", "pos"))
 
 
+def exact_summary(frames: DataFrame) -> DataFrame:
+    """summary() with counts as whole numbers of any size: max, min and last are variants, avg is a double."""
+    place = F.struct("batch_id", "pos")
+    held = long(frames).withColumn("value", F.nanvl("value", F.lit(None).cast("double"))).where("value IS NOT NULL")
+    of = held.groupBy("job_id", "metric").agg(*(f(c).alias(f"{n}_{c}") for n, f in (("max", F.max), ("min", F.min), ("last", lambda c: F.max_by(c, place))) for c in ("value", "whole")), F.round(F.avg("value"), 6).alias("avg"))
+    exact = lambda n: F.coalesce(F.col(f"{n}_whole").cast("variant"), F.col(f"{n}_value").cast("variant")).alias(n)
+    return of.select("job_id", "metric", exact("max"), exact("min"), "avg", exact("last"))
+
+
 def counters(frames: DataFrame) -> DataFrame:
     """How many frames of each job were answered, and how many of them are unique, duplicates and invalid (neither of both)."""
     copy, valid = F.coalesce(F.col("is_duplicate"), F.lit(False)), F.col("is_valid")
@@ -48,13 +58,13 @@ def final_document(frames: DataFrame, counted: DataFrame, at: Column) -> DataFra
     """
     held = frames.where("is_valid").select("job_id", F.struct("batch_id", "pos", "frame_index", "is_duplicate", "duplicate_of_frame", "metrics", "metadata", "actual_frame").alias("frame"))
     every = held.groupBy("job_id").agg(F.array_sort(F.collect_list("frame")).alias("all_frames_data"))
-    place = F.array_position(F.array(*map(F.lit, METRIC_NAMES)), F.col("metric"))
-    entry = F.struct(place.alias("place"), F.col("metric").alias("key"), F.struct("max", "min", "avg", "last").alias("value"))
-    sums = summary(frames).groupBy("job_id").agg(F.array_sort(F.collect_list(entry)).alias("_sums"))
+    entry = F.struct(F.col("metric").alias("key"), F.struct("max", "min", "avg", "last").alias("value"))
+    sums = exact_summary(frames).groupBy("job_id").agg(F.collect_list(entry).alias("_sums"))
     rows = counted.join(every, "job_id", "left").join(sums, "job_id", "left")
     data = F.coalesce("all_frames_data", F.array().cast(every.schema["all_frames_data"].dataType))
     unique_data = F.filter(data, lambda x: ~F.coalesce(x["is_duplicate"], F.lit(False)))
-    sums_map = F.map_from_entries(F.transform("_sums", lambda x: F.struct(x["key"], x["value"])))
+    in_order = F.transform(F.array(*map(F.lit, METRIC_NAMES)), lambda n: F.get(F.filter("_sums", lambda x: x["key"] == n), F.lit(0)))
+    sums_map = F.map_from_entries(F.filter(in_order, lambda x: x.isNotNull()))
     whole = F.struct(
         iso(at).alias("extraction_date"), "total_frames", "unique_frames", "duplicate_frames", "invalid_frames",
         data.alias("all_frames_data"), unique_data.alias("unique_metrics"), F.coalesce(sums_map, F.create_map().cast(SUMMARY)).alias("summary"),
@@ -63,8 +73,8 @@ def final_document(frames: DataFrame, counted: DataFrame, at: Column) -> DataFra
 
 
 def stored_summaries(job_metrics: DataFrame) -> DataFrame:
-    """(job_id, metric, max, min, avg, last) from the stored documents."""
-    found = F.from_json("metrics_json", f"struct<summary:{SUMMARY}>")["summary"]
+    """(job_id, metric, max, min, avg, last) from the stored documents, the numbers as they are written there."""
+    found = F.from_json("metrics_json", "struct<summary:map<string,struct<max:string,min:string,avg:string,last:string>>>")["summary"]
     return job_metrics.select("job_id", F.explode(found).alias("metric", "_v")).select("job_id", "metric", "_v.*")
 
 
@@ -73,12 +83,11 @@ def pivoted(summaries: DataFrame, key: str, metric: str, value: str, names: list
     return summaries.groupBy(key).agg(*(F.max(F.when(F.col(metric) == n, F.col(value))).alias(n) for n in names))
 
 
-EXPORTED = ("id", "campaign_date", "campaign_name", "product_name", "company", "filename", "file_type", "status", "created_at", "completed_at", "total_frames", "good_frames", "bad_frames", "processing_time_seconds")
-
-
 def export_rows(jobs: DataFrame, job_metrics: DataFrame, summaries: DataFrame, limit: int = 10_000) -> DataFrame:
-    """14 job columns and the maximum of 19 metrics as text, the newest job first, blank where there is nothing."""
+    """The 33 columns of the export, the newest job first: dates as ISO text, counts as whole numbers, null where there is nothing."""
     wide = pivoted(summaries, "job_id", "metric", "max", list(METRIC_NAMES))
     rows = jobs.join(job_metrics.drop("created_at"), jobs["id"] == job_metrics["job_id"], "left").drop("job_id")
     rows = rows.join(wide, rows["id"] == wide["job_id"], "left").orderBy(F.col("created_at").desc_nulls_first(), "id").limit(limit)
-    return rows.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in (*EXPORTED, *METRIC_NAMES)))
+    shown = {n: F.col(n).try_cast("double" if n in FRACTIONS else "bigint") for n in METRIC_NAMES}
+    shown |= {n: iso_short(F.col(n)) for n in ("created_at", "completed_at")} | {"campaign_date": F.col("campaign_date").cast("string")}
+    return rows.select(*(shown.get(n, F.col(n)).alias(n) for n, _, _ in EXPORT))

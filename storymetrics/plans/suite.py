@@ -83,7 +83,7 @@ def job_page_all(t):
 
 @query("SELECT o_orderstatus AS status, count(*) AS jobs FROM orders GROUP BY o_orderstatus")
 def status_counts(t):
-    return t("orders").groupBy(c("o_orderstatus").alias("status")).agg(F.count("*").alias("jobs"))
+    return jobs.by_status(t("orders"), "o_orderstatus")
 
 
 @query("SELECT count(*) AS users FROM customer")
@@ -231,7 +231,7 @@ def response_roundtrip(t):
     one = F.to_json(F.struct(c("frame_index"), (c("event_id") % 10 == 0).alias("is_duplicate"), F.struct((c("event_id") % 97).cast("string").alias("views")).alias("metrics")))
     rows = batch.groupBy(c("user_id").alias("job_id"), "batch_id").agg(F.array_sort(F.collect_list(F.struct("frame_index", one.alias("j")))).alias("all"))
     reply = F.concat(F.lit("```json\n["), F.array_join(F.transform("all", lambda x: x["j"]), ","), F.lit("]\n```"))
-    return metrics.summary(replies.parse(rows.select("job_id", "batch_id", reply.alias("reply"))))
+    return metrics.summary(replies.parse(rows.select("job_id", "batch_id", reply.alias("reply"))))  # every frame but the copies comes back
 
 
 @query("SELECT event_id, cast(trunc(value) AS INTEGER) AS shown FROM events")

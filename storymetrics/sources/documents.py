@@ -1,12 +1,16 @@
 """JSON documents by job, and exports, through Spark's writers and Hadoop's file systems."""
 
 import io
+import math
 import zipfile
+from collections.abc import Iterable
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..schemas import EXPORT
+
 
 def put(document: DataFrame, root: str, job_id: str, name: str = "metrics") -> None:
     document.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{root}/{job_id}/{name}")
@@ -33,20 +37,53 @@ def upload(spark: SparkSession, root: str, job_id: str, local: str, name: str) -
     fs.copyFromLocalFile(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(local), p)
 
 
+#: Fixed values of the sheet: fills of the heading and of every second row.
+HEADING, STRIPE = "FF4472C4", "FFE9EBF5"
+
+
+def _column(i: int) -> str:
+    return (chr(64 + i // 26) if i >= 26 else "") + chr(65 + i % 26)
+
+
 def spreadsheet(rows: DataFrame, limit: int = 10_000, sheet: str = "Campaign Results") -> bytes:
-    """The rows as an XLSX file of one sheet with a frozen, bold header; at most `limit` rows, as the export has."""
-    cell = lambda v: f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
-    head = "<row>" + "".join(cell(c).replace("<c ", '<c s="1" ', 1) for c in rows.columns) + "</row>"
-    body = "".join("<row>" + "".join(cell("" if v is None else v) for v in r) + "</row>" for r in rows.limit(limit).toLocalIterator())
+    """The rows as an XLSX file of one sheet; at most `limit` rows, as the export has.
+
+    The heading is frozen, white and bold on blue, every second row is striped, cells have thin borders, numbers are
+    numbers and nulls are empty. Columns of the export have its headings and widths, others their names.
+    """
+    known = {name: (title, width) for name, title, width in EXPORT}
+
+    def cell(at: str, value: object, style: int) -> str:
+        if value is None:
+            return f'<c r="{at}" s="{style}"/>'
+        if isinstance(value, (int, float)) and not isinstance(value, bool) and math.isfinite(value):
+            return f'<c r="{at}" s="{style}"><v>{value}</v></c>'
+        return f'<c r="{at}" s="{style}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
+
+    def row(number: int, values: Iterable, style: int) -> str:
+        return f'<row r="{number}">' + "".join(cell(f"{_column(i)}{number}", v, style) for i, v in enumerate(values)) + "</row>"
+
+    widths = "".join(f'<col min="{i}" max="{i}" width="{known.get(c, (c, 14))[1]}" customWidth="1"/>' for i, c in enumerate(rows.columns, 1))
+    head = row(1, (known.get(c, (c, 14))[0] for c in rows.columns), 1)
+    body = "".join(row(n, r, 3 if n % 2 == 0 else 2) for n, r in enumerate(rows.limit(limit).toLocalIterator(), 2))
     main, rel, pkg = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "http://schemas.openxmlformats.org/package/2006"
     kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    fill = lambda colour: f'<fill><patternFill patternType="solid"><fgColor rgb="{colour}"/><bgColor rgb="{colour}"/></patternFill></fill>'
+    thin = "".join(f'<{side} style="thin"/>' for side in ("left", "right", "top", "bottom"))
+    styles = (
+        '<fonts count="2"><font/><font><b/><color rgb="FFFFFFFF"/></font></fonts>'
+        f'<fills count="4"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fill(HEADING)}{fill(STRIPE)}</fills>'
+        f'<borders count="2"><border/><border>{thin}</border></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="4"><xf/>'
+        '<xf fontId="1" fillId="2" borderId="1" applyFont="1" applyFill="1" applyBorder="1" applyAlignment="1"><alignment horizontal="center"/></xf>'
+        '<xf borderId="1" applyBorder="1"/><xf fillId="3" borderId="1" applyFill="1" applyBorder="1"/></cellXfs>'
+    )
     parts = {
         "[Content_Types].xml": f'<Types xmlns="{pkg}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/></Types>',
         "_rels/.rels": f'<Relationships xmlns="{pkg}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
         "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="r1"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{pkg}/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Type="{rel}/styles" Target="styles.xml"/></Relationships>',
-        "xl/styles.xml": f'<styleSheet xmlns="{main}"><fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>',
-        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews><sheetData>{head}{body}</sheetData></worksheet>',
+        "xl/styles.xml": f'<styleSheet xmlns="{main}">{styles}</styleSheet>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews><cols>{widths}</cols><sheetData>{head}{body}</sheetData></worksheet>',
     }
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:

@@ -27,30 +27,36 @@ def is_member(name: Column, suffixes: tuple[str, ...] = VIDEO) -> Column:
 
 @udtf(returnType="idx int, name string, content binary, status string, error string")
 class Members:
-    """The files of a zip archive; one that can't be read is a row with an error."""
+    """The files of a zip archive with one of the suffixes, numbered from 1; one that can't be read is a row with an error."""
 
-    def eval(self, content: bytes) -> Iterator[tuple]:
+    def eval(self, content: bytes, suffixes: list[str]) -> Iterator[tuple]:
         try:
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                for idx, info in enumerate((i for i in archive.infolist() if not i.is_dir()), 1):
+                wanted = (i for i in archive.infolist() if not i.is_dir() and i.filename.lower().endswith(tuple(suffixes)) and not i.filename.startswith("__MACOSX"))
+                for idx, info in enumerate(wanted, 1):
                     try:
                         yield idx, info.filename, archive.read(info), "success", None
                     except Exception as e:  # a damaged member is a result, not a failure
                         yield idx, info.filename, None, "error", str(e)
         except zipfile.BadZipFile as e:
-            yield 0, None, None, "error", str(e)
+            yield 1, None, None, "error", str(e)
 
 
 def expand_archives(archives: DataFrame, suffixes: tuple[str, ...] = VIDEO) -> DataFrame:
-    """(path, idx, name, content, status, error): the members of each archive that are videos, numbered from 1."""
-    spark = archives.sparkSession
-    spark.udtf.register("archive_members", Members)
-    archives.createOrReplaceTempView("_archives")
-    rows = spark.sql("SELECT path, m.* FROM _archives, LATERAL archive_members(content) m")
-    chosen = rows.where((F.col("idx") == 0) | is_member(F.col("name"), suffixes))
-    from pyspark.sql import Window
-
-    return chosen.withColumn("idx", F.row_number().over(Window.partitionBy("path").orderBy("idx")))
+    """(path, idx, name, content, status, error): the members of each archive that are videos; no other is unpacked."""
+    rows = archives.lateralJoin(Members(F.col("content").outer(), F.array(*map(F.lit, suffixes))).alias("m"))
+    return rows.select("path", *(F.col(f"m.{c}") for c in ("idx", "name", "content", "status", "error"))).where(F.col("name").isNull() | is_member(F.col("name"), suffixes))
+
+
+def organize(frames: DataFrame, root: str) -> None:
+    """Writes labelled frames (job_id, label, filename, content and what else they have) to folders by job and label."""
+    frames.where("label IS NOT NULL").write.mode("overwrite").partitionBy("job_id", "label").parquet(root)
+
+
+def good(spark: SparkSession, root: str, job_id: str) -> DataFrame:
+    """The good frames of a job that organize() wrote, by name; none if there are none."""
+    rows = spark.read.parquet(root)
+    return rows.where((F.col("job_id") == job_id) & (F.col("label") == "GOOD")).orderBy("filename")
 
 
 def roll_up(members: DataFrame) -> DataFrame:

@@ -8,11 +8,14 @@ from .. import schemas
 from ..functions import names
 from ..operators import jobs as ops
 
+#: Versions of a table that are kept.
+KEPT = 3
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str, salt: str):
         self.spark, self.root, self.salt = spark, root.rstrip("/"), salt
-        for name, ddl in (("jobs", schemas.JOBS), ("job_metrics", schemas.JOB_METRICS), ("users", schemas.USERS), ("quarantine", schemas.QUARANTINE)):
+        for name, ddl in (("jobs", schemas.JOBS), ("job_metrics", schemas.JOB_METRICS), ("users", schemas.USERS), ("quarantine", schemas.QUARANTINE), ("rejected", schemas.REJECTED)):
             if self.version(name) is None:
                 self.put(name, spark.createDataFrame([], T.StructType.fromDDL(ddl)))
 
@@ -29,17 +32,32 @@ class Store:
         return max(done, default=None)
 
     def put(self, name: str, rows: DataFrame) -> None:
-        rows.write.parquet(f"{self.root}/{name}/v={(self.version(name) or 0) + 1}")
+        """Writes the next version; KEPT versions stay, for readers that are under way."""
+        new = (self.version(name) or 0) + 1
+        rows.write.parquet(f"{self.root}/{name}/v={new}")
+        fs, base = self._fs(f"{self.root}/{name}")
+        for s in fs.listStatus(base):
+            if s.getPath().getName().startswith("v=") and int(s.getPath().getName()[2:]) <= new - KEPT:
+                fs.delete(s.getPath(), True)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}/v={self.version(name)}")
 
-    def add_jobs(self, new: DataFrame) -> int:
-        """How many were added; a taken id is refused. New jobs are being processed."""
-        jobs = self.table("jobs")
-        rows = ops.add(jobs, new, "id").withColumn("status", F.lit("processing"))
-        self.put("jobs", jobs.unionByName(rows, allowMissingColumns=True))
-        return self.table("jobs").count() - jobs.count()
+    def append(self, name: str, rows: DataFrame) -> int:
+        """Adds rows to the newest version without rewriting it; how many."""
+        path = f"{self.root}/{name}/v={self.version(name)}"
+        held = self.spark.read.parquet(path)
+        before = held.count()
+        held.limit(0).unionByName(rows, allowMissingColumns=True).select(held.columns).write.mode("append").parquet(path)
+        return self.spark.read.parquet(path).count() - before  # row counts come from the files' footers
+
+    def add_jobs(self, new: DataFrame, order: list[str] | None = None) -> int:
+        """How many were added; a taken id is refused, and of several new rows with one id the first is taken. New jobs are being processed."""
+        return self.append("jobs", ops.add(self.table("jobs"), new, "id", order).withColumn("status", F.lit("processing")))
+
+    def reject(self, rows: DataFrame) -> int:
+        """Keeps manifests that were not accepted, with the reason."""
+        return self.append("rejected", rows)
 
     def set_status(self, job_id: str, status: str, at: Column, error: str | None = None) -> int:
         jobs = self.table("jobs")
@@ -50,11 +68,18 @@ class Store:
 
     def upsert_metrics(self, new: DataFrame) -> int:
         """How many rows were written; rows of unknown jobs are refused."""
-        known = ops.with_parent(new, self.table("jobs"), "job_id", "id").dropDuplicates(["job_id"])
+        known = ops.one_of(ops.with_parent(new, self.table("jobs"), "job_id", "id"), "job_id", ["created_at"], last=True)
         n = known.count()
         self.put("job_metrics", ops.upsert(self.table("job_metrics"), known, "job_id", "created_at"))
         return n
 
+    def set_counts(self, job_id: str, total: int, good: int, bad: int, seconds: int, at: Column) -> None:
+        """The frame counters and seconds of a job, beside the document that it may have ({} if it has none)."""
+        held = self.table("job_metrics").where(F.col("job_id") == job_id).select("metrics_json")
+        row = self.spark.createDataFrame([(job_id, total, good, bad, seconds)], "job_id string, total_frames int, good_frames int, bad_frames int, processing_time_seconds int")
+        new = row.join(held, F.lit(True), "left").withColumn("metrics_json", F.coalesce("metrics_json", F.lit("{}"))).withColumn("created_at", at.cast("timestamp_ntz"))
+        self.upsert_metrics(new)
+
     def quarantine(self, answered: DataFrame, invalid: DataFrame) -> None:
         """The invalid frames of the answered jobs replace what was held of these jobs; those of unknown jobs are refused."""
         held, jobs = self.table("quarantine"), self.table("jobs")
@@ -75,7 +100,7 @@ class Store:
         if users.where(F.col("username") == name).limit(1).count():
             return False
         row = self.spark.range(1).select((F.lit(users.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]) + 1).cast("bigint").alias("id"), F.lit(name).alias("username"), names.digest(F.lit(password), self.salt).alias("password_hash"), at.cast("timestamp_ntz").alias("created_at"))
-        self.put("users", users.unionByName(row))
+        self.append("users", row)
         return True
 
     def check_user(self, name: str, password: str) -> bool:

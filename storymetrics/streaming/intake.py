@@ -10,10 +10,15 @@ MANIFEST = "filename string, campaign_date string, campaign_name string, product
 
 
 def run_stream(spark: SparkSession, landing: str, checkpoint: str, store: Store) -> None:
-    """Takes what is new in the folder (JSON lines) and stops; a rerun adds nothing, and taken ids are refused."""
+    """Takes what is new in the folder (JSON lines) and stops; a rerun adds nothing, and taken ids are refused.
+
+    Manifests that are not accepted go to the table `rejected` of the store, with the reason.
+    """
 
     def take(batch: DataFrame, _: int) -> None:
-        accepted, _rejected = validate(batch)
+        accepted, rejected = validate(batch)
+        if rejected.limit(1).count():
+            store.reject(rejected)
         store.add_jobs(accepted.withColumnRenamed("submitted_at", "created_at").withColumn("created_at", F.col("created_at").cast("timestamp_ntz")))
 
     source = spark.readStream.schema(MANIFEST).json(landing)

@@ -127,12 +127,24 @@ def test_store(spark, tmp_path):
 
 def test_export_has_33_columns(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}", "s")
-    store.add_jobs(spark.createDataFrame([("a", "x")], "id string, company string").withColumn("created_at", at()))
-    summaries = spark.createDataFrame([("a", "views", 7.0)], "job_id string, metric string, max double")
+    created = F.when(F.col("id") == "a", at()).otherwise(F.lit(dt.datetime(2024, 1, 2, 3, 4, 5, 60)).cast("timestamp_ntz"))
+    store.add_jobs(spark.createDataFrame([("a", "x & <y>"), ("b", "z")], "id string, company string").withColumn("campaign_date", F.lit(dt.date(2024, 1, 5))).withColumn("created_at", created))
+    summaries = spark.createDataFrame([("a", "views", "9007199254740993"), ("a", "followers", "55.5")], "job_id string, metric string, max string")
     rows = metrics.export_rows(store.table("jobs"), store.table("job_metrics"), summaries)
-    assert len(rows.columns) == 33 and rows.first()["views"] == "7.0" and rows.first()["likes"] == ""
+    assert len(rows.columns) == 33 and rows.columns[14:17] == ["views", "accounts_reached", "followers"]
+    b, a = rows.collect()
+    assert (a["views"], a["followers"], a["likes"], a["campaign_date"], a["created_at"], b["created_at"]) == (2**53 + 1, 55.5, None, "2024-01-05", "2024-01-02T03:04:05", "2024-01-02T03:04:05.000060")
     with zipfile.ZipFile(io.BytesIO(documents.spreadsheet(rows))) as archive:
         assert "Campaign Results" in archive.read("xl/workbook.xml").decode()
+        sheet = archive.read("xl/worksheets/sheet1.xml").decode()
+    import xml.etree.ElementTree as ET
+
+    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+    cells = {c.get("r"): c for c in ET.fromstring(sheet).iterfind(".//m:c", ns)}
+    text = lambda r: "".join(cells[r].itertext())
+    assert (text("A1"), text("O1"), text("P1"), text("AG1")) == ("Job ID", "Views (Max)", "Accounts Reached (Max)", "External Link Taps (Max)")
+    assert (text("O3"), cells["O3"].get("t"), text("Q3"), text("E3"), cells["P3"].get("t"), text("P3")) == ("9007199254740993", None, "55.5", "x & <y>", None, "")
+    assert (cells["A1"].get("s"), cells["A2"].get("s"), cells["A3"].get("s")) == ("1", "3", "2") and '<col min="1" max="1" width="36"' in sheet
 
 
 def test_archive_members(spark):
@@ -165,6 +177,7 @@ def test_stream_takes_each_manifest_once(spark, tmp_path):
     for _ in range(2):
         run_stream(spark, f"{tmp_path}/in", f"{tmp_path}/cp", store)
     assert [r["id"] for r in store.table("jobs").collect()] == ["acme_spring_20240105100000"]
+    assert [(r["filename"], r["reason"]) for r in store.table("rejected").collect()] == [("v.txt", "file type")]
 
 
 def test_last_wins_and_copies(spark):
@@ -189,8 +202,135 @@ def test_run_replies_stores_the_final_document(spark, tmp_path):
     assert [f["actual_frame"] for f in found["all_frames_data"]] == ["f0.jpg", "f1.jpg", "f3.jpg", "own"]
     assert [f["actual_frame"] for f in found["unique_metrics"]] == ["f0.jpg", "f3.jpg", "own"]
     assert [f["metadata"] for f in found["unique_metrics"]] == [{"language": "fa", "date_range": None, "content_type": "story"}, None, None]
-    assert found["summary"] == {"views": {"max": 9.0, "min": 4.0, "avg": 6.5, "last": 4.0}}
+    assert found["summary"] == {"views": {"max": 9, "min": 4, "avg": 6.5, "last": 4}} and type(found["summary"]["views"]["max"]) is int
     held = store.table("quarantine").orderBy("batch_id", "pos").collect()
     assert [(r["job_id"], r["batch_id"], r["pos"]) for r in held] == [("a", 0, 2), ("a", 1, 2), ("a", 1, 3)] and "many" in held[0]["raw"]
     rows = metrics.export_rows(store.table("jobs"), store.table("job_metrics"), metrics.stored_summaries(store.table("job_metrics"))).first()
-    assert (rows["views"], rows["likes"]) == ("9.0", "")
+    assert (rows["views"], rows["likes"]) == (9, None)
+
+
+def png(pixels):
+    """A grey PNG of a 2-d array."""
+    import struct
+    import zlib
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    h, w = pixels.shape
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + row.tobytes() for row in pixels))) + chunk(b"IEND", b"")
+
+
+def picture(kind):
+    import numpy as np
+
+    return {"dark": np.full((6, 8), 20, np.uint8), "bright": np.full((6, 8), 240, np.uint8), "sharp": (np.indices((40, 40)).sum(axis=0) // 10 % 2 * 255).astype(np.uint8)}[kind]
+
+
+def test_images_are_decoded_and_scored(spark, tmp_path):
+    for kind in ("dark", "bright", "sharp"):
+        (tmp_path / f"{kind}.png").write_bytes(png(picture(kind)))
+    (tmp_path / "broken.png").write_bytes(b"no picture")
+    got = {r["path"].rsplit("/", 1)[-1]: r for r in frames.score(media.images(spark, str(tmp_path))).collect()}
+    assert (got["dark.png"]["luminance"], got["bright.png"]["luminance"]) == (20.0, 240.0)
+    assert (got["broken.png"]["luminance"], got["broken.png"]["confidence"], got["broken.png"]["label"]) == (None, None, None)
+    assert {k: got[k]["label"] for k in ("dark.png", "sharp.png")} == {"dark.png": "BAD", "sharp.png": "GOOD"}
+    assert {r["path"].rsplit("/", 1)[-1] for r in media.files(spark, str(tmp_path), "*.png").collect()} == set(got)
+
+
+def test_pictures_are_brightened_and_resized_linearly():
+    import numpy as np
+
+    dark = np.repeat(picture("dark")[:, :, None], 3, axis=2)
+    assert np.allclose(frames.prepared(dark), 70 / 255)  # 1.5 * 20 + 40
+    ramp = np.repeat(np.array([[100, 200]], np.uint8)[:, :, None], 3, axis=2)
+    row = frames.resized(ramp, 4)[0, :, 0]
+    assert row.tolist() == [100, 125, 175, 200]
+    big = np.arange(8 * 8 * 3, dtype=np.uint8).reshape(8, 8, 3)
+    assert (frames.resized(big, 8) == big).all()
+    assert frames.resized(big, 4)[0, 0].tolist() == [np.rint(big[:2, :2, k].mean()) for k in range(3)]
+
+
+def test_documents_are_put_read_and_deleted(spark, tmp_path):
+    root, rows = f"file://{tmp_path}/docs", spark.createDataFrame([("a", None, 3)], "id string, note string, n long")
+    documents.put(rows, root, "job")
+    documents.put(rows, root, "job", "other")
+    assert documents.get(spark, root, "job", rows.schema).collect() == rows.collect()
+    (tmp_path / "x.bin").write_bytes(b"123")
+    documents.upload(spark, root, "job", str(tmp_path / "x.bin"), "x.bin")
+    assert media.files(spark, f"{root}/job", "x.bin").first()["content"] == b"123"
+    documents.delete_job(spark, root, "job")
+    assert documents.get(spark, root, "job", rows.schema).count() == 0 and documents.get(spark, root, "none", rows.schema, "other").count() == 0
+
+
+def test_frames_are_named_by_their_place_in_the_batch(spark):
+    sent = frames.batched(spark.createDataFrame([("j", f"f{i}.jpg") for i in range(5)], "job_id string, filename string"), "job_id", ["filename"], 2)
+    told = spark.createDataFrame([("j", 0, 1), ("j", 2, 0), ("j", 2, 1), ("j", 9, 0), ("j", 0, -1)], "job_id string, batch_id long, frame_index long")
+    assert {(r["batch_id"], r["frame_index"]): r["actual_frame"] for r in frames.named(told, sent).collect()} == {(0, 1): "f1.jpg", (2, 0): "f4.jpg", (2, 1): None, (9, 0): None, (0, -1): None}
+
+
+def test_first_of_new_rows_is_taken(spark):
+    held = spark.createDataFrame([("old", 0, "t")], "id string, n int, created string")
+    new = spark.createDataFrame([("a", 2, "late"), ("a", 1, "early"), ("old", 5, "late"), ("b", 7, "x"), ("b", 7, "x")], "id string, n int, created string").repartition(4)
+    assert sorted(map(tuple, jobs.add(held, new, "id", ["n"]).collect())) == [("a", 1, "early"), ("b", 7, "x")]
+    assert sorted(map(tuple, jobs.upsert(held, new, "id", "created", ["n"]).collect())) == [("a", 2, "late"), ("b", 7, "x"), ("old", 5, "t")]
+
+
+def test_provider_is_asked_until_it_answers(spark):
+    from storymetrics.plans import process
+
+    def provider(images):
+        import os
+
+        name, url = images[0]
+        mark = f"/tmp/asked-{os.getppid()}-{name}"
+        tries = int(open(mark).read()) if os.path.exists(mark) else 0
+        open(mark, "w").write(str(tries + 1))
+        assert url.startswith("data:image/jpeg;base64,")
+        if name.startswith("error"):
+            raise ValueError
+        return "[]" if name.startswith("never") or tries < 2 else '```json\n[{"frame_index": 0}]\n```'
+
+    import uuid
+
+    u = uuid.uuid4().hex
+    rows = spark.createDataFrame([("j", i, 0, f"{n}{u}", b"x") for i, n in enumerate(("late", "never", "error"))], "job_id string, batch_id long, frame_index long, filename string, content binary")
+    got = {r["batch_id"]: r["reply"] for r in process.asked(rows, provider).collect()}
+    assert got[0] and got[1] is None and got[2] is None
+    assert [process.usable(x) for x in ("[1]", "[]", "{}", "[{", None, "```\n[1]\n```")] == [True, False, False, False, False, True]
+
+
+def test_a_job_runs_from_file_to_document(spark, tmp_path):
+    import json
+
+    from storymetrics.plans.process import process
+
+    store = Store(spark, f"file://{tmp_path}/store", "s")
+    store.add_jobs(spark.createDataFrame([(i, "x") for i in ("image", "zip", "dark", "video")], "id string, company string").withColumn("created_at", at()))
+    (tmp_path / "sharp.png").write_bytes(png(picture("sharp")))
+    (tmp_path / "dark.png").write_bytes(png(picture("dark")))
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as archive:
+        archive.writestr("a.mp4", png(picture("sharp")))
+        archive.writestr("b.mp4", b"broken")
+        archive.writestr("c.txt", b"no video")
+
+    def decoder(videos, folder):
+        import os
+
+        os.makedirs(folder.removeprefix("file://"))
+        for r in videos.collect():
+            with open(f"{folder.removeprefix('file://')}/frame_{r['idx']:06d}.png", "wb") as file:
+                file.write(r["content"])
+
+    def provider(images):
+        return json.dumps([{"frame_index": i, "metrics": {"views": 5}} for i, _ in enumerate(images)])
+
+    assert process(store, "image", f"{tmp_path}/sharp.png", "image", provider, at()) == "completed"
+    assert process(store, "zip", f"{tmp_path}/c.zip", "zip", provider, at(), decoder=decoder) == "completed"
+    assert process(store, "dark", f"{tmp_path}/dark.png", "image", provider, at()) == "completed"
+    assert process(store, "video", f"{tmp_path}/c.zip", "video", provider, at()) == "failed"
+    held = {r["job_id"]: r for r in store.table("job_metrics").collect()}
+    assert {i: (r["total_frames"], r["good_frames"], r["bad_frames"]) for i, r in held.items()} == {"image": (1, 1, 0), "zip": (2, 1, 0), "dark": (1, 0, 1)}
+    assert json.loads(held["zip"]["metrics_json"])["summary"]["views"]["max"] == 5 and held["dark"]["metrics_json"] == "{}" and held["image"]["processing_time_seconds"] >= 0
+    assert {r["id"]: r["status"] for r in store.table("jobs").collect()} == {"image": "completed", "zip": "completed", "dark": "completed", "video": "failed"}
+    assert "decoder" in store.job("video").first()["error_message"]
