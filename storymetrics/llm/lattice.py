@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations, product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ from .text import mix
 
 THRESHOLD = 0.98
 TABLES, BLOCKS, PROBES, WIDTH = 8, 2, 16, 1.35
-CHUNK = 512
+#: Vectors of a chunk of a large cell; rows that are compared at a time; vectors that a task holds before it judges their pairs.
+CHUNK, ROWS, HELD = 2048, 256, 4096
 CELLS = "cell long, vec_id long, home boolean"
 COUNTED = "vec_id long, links long, other long"
 
@@ -130,33 +132,63 @@ def first_shared(mine: np.ndarray, theirs: np.ndarray, mine_first: np.ndarray) -
     return np.where(use_mine, mine[rows, t, 0], theirs[rows, t, 0])
 
 
-def compare(cell: int, ids: np.ndarray, label: np.ndarray, many: np.ndarray, unit: np.ndarray, chunk: np.ndarray, a: int, b: int, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """How many vectors each one is linked with by pairs that this cell owns, and links that connect them."""
-    count, forest, found = np.zeros(len(ids), np.int64), Forest(len(ids)), []
-    left, right = np.flatnonzero(chunk == a), np.flatnonzero(chunk == b)
-    i, j = np.nonzero(unit[left] @ unit[right].T >= threshold)
-    i, j = left[i], right[j]
-    if a == b:
-        i, j = i[i < j], j[i < j]
-    if len(i):
-        used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-        known = cells(unit[used], label[used])
-        i2, j2 = back[: len(i)], back[len(i) :]
-        for s in range(0, len(i), 20_000):
-            own = first_shared(known[i2[s : s + 20_000]], known[j2[s : s + 20_000]], ids[i[s : s + 20_000]] < ids[j[s : s + 20_000]]) == np.uint64(cell)
-            x, y = i[s : s + 20_000][own], j[s : s + 20_000][own]
-            np.add.at(count, x, many[y])
-            np.add.at(count, y, many[x])
-            roots = forest.roots(x) != forest.roots(y)
-            for p, q in zip(x[roots].tolist(), y[roots].tolist()):
-                if forest.union(p, q):
-                    found.append((int(ids[p]), int(ids[q])))
-    return count, found
+class Group(NamedTuple):
+    """The vectors of a task (cell, a, b): ids, labels, how many rows are equal to each, unit vectors, and their chunks."""
+
+    cell: np.uint64
+    ids: np.ndarray
+    label: np.ndarray
+    many: np.ndarray
+    unit: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+    def pairs(self, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs (row numbers) at the threshold, a few hundred rows against all others at a time."""
+        same = self.left is self.right
+        for s in range(0, len(self.left), ROWS):
+            i, j = np.nonzero(self.unit[self.left[s : s + ROWS]] @ self.unit[self.right].T >= threshold)
+            i, j = self.left[s + i], self.right[j]
+            keep = (i < j if same else np.ones(len(i), bool)) & (self.label[i] == self.label[j])
+            yield i[keep], j[keep]
+
+
+def compare(groups: list[Group], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]:
+    """For each group: how many vectors each one is linked with by pairs that its cell owns, and links that connect them.
+
+    The cells of all vectors that are in a pair are found in one go for all groups, and once for each vector.
+    """
+    found = [list(g.pairs(threshold)) for g in groups]
+    used = [np.unique(np.concatenate([x for pair in f for x in pair])) if f else np.zeros(0, np.int64) for f in found]
+    ids = np.concatenate([g.ids[u] for g, u in zip(groups, used)])
+    if not len(ids):
+        return
+    _, first, place = np.unique(ids, return_index=True, return_inverse=True)
+    units, labels = (np.concatenate([getattr(g, name)[u] for g, u in zip(groups, used)])[first] for name in ("unit", "label"))
+    known = np.concatenate([cells(units[s : s + 2000], labels[s : s + 2000]) for s in range(0, len(units), 2000)])
+    at = 0
+    for g, f, u in zip(groups, found, used):
+        mine = place[at : at + len(u)]
+        at += len(u)
+        count, forest, links = np.zeros(len(g.ids), np.int64), Forest(len(g.ids)), []
+        for i, j in f:
+            for s in range(0, len(i), 20_000):
+                x, y = i[s : s + 20_000], j[s : s + 20_000]
+                own = first_shared(known[mine[np.searchsorted(u, x)]], known[mine[np.searchsorted(u, y)]], g.ids[x] < g.ids[y]) == g.cell
+                x, y = x[own], y[own]
+                np.add.at(count, x, g.many[y])
+                np.add.at(count, y, g.many[x])
+                apart = forest.roots(x) != forest.roots(y)
+                for p, q in zip(x[apart].tolist(), y[apart].tolist()):
+                    if forest.union(p, q):
+                        links.append((int(g.ids[p]), int(g.ids[q])))
+        yield g.ids, count, links
 
 
 def link(vectors: DataFrame, threshold: float = THRESHOLD, by_label: bool = True) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
-    source = vectors.select("vec_id", "embedding", (F.col("label") if by_label else F.lit(0)).cast("long").alias("label"))
+    label = F.when(F.col("label").isNotNull(), F.xxhash64(F.col("label").cast("string"))) if by_label else F.lit(0).cast("long")
+    source = vectors.select("vec_id", "embedding", label.alias("label"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     good = F.coalesce(finite & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
     plus = F.transform("embedding", lambda x: x + F.lit(0.0).cast("float")).alias("embedding")
@@ -184,17 +216,29 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, by_label: bool = True
     out = common.arrow_schema(COUNTED)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in common.groups(batches, ["cell", "a", "b"]):
-            if group.num_rows < 2:
+        held, n = [], 0
+
+        def results() -> Iterator[pa.RecordBatch]:
+            for ids, count, found in compare(held, threshold):
+                counted, pairs = np.flatnonzero(count), np.array(found, np.int64).reshape(-1, 2)
+                if len(counted):
+                    yield common.batch(out, np.concatenate([ids[counted], pairs[:, 0]]), np.concatenate([count[counted], np.zeros(len(pairs), np.int64)]), pa.array([None] * len(counted) + pairs[:, 1].tolist(), pa.int64()))
+
+        for table in common.groups(batches, ["cell", "a", "b"]):
+            if table.num_rows < 2:
                 continue
-            ids, at = np.unique(group["vec_id"].to_numpy(), return_index=True)
-            group = group.take(pa.array(at))
-            cell, a, b = (group[c][0].as_py() for c in ("cell", "a", "b"))
-            count, found = compare(cell & (2**64 - 1), ids, group["label"].to_numpy(), group["many"].to_numpy(), matrix(group["embedding"]), group["chunk"].to_numpy(), a, b, threshold)
-            counted = np.flatnonzero(count)
-            if len(counted):
-                pairs = np.array(found, np.int64).reshape(-1, 2)
-                yield common.batch(out, np.concatenate([ids[counted], pairs[:, 0]]), np.concatenate([count[counted], np.zeros(len(pairs), np.int64)]), pa.array([None] * len(counted) + pairs[:, 1].tolist(), pa.int64()))
+            ids, at = np.unique(table["vec_id"].to_numpy(), return_index=True)
+            table = table.take(pa.array(at))
+            cell, a, b = (table[c][0].as_py() for c in ("cell", "a", "b"))
+            chunk = table["chunk"].to_numpy()
+            left = np.flatnonzero(chunk == a)
+            held.append(Group(np.uint64(cell & (2**64 - 1)), ids, table["label"].to_numpy(), table["many"].to_numpy(), matrix(table["embedding"]), left, left if a == b else np.flatnonzero(chunk == b)))
+            n += len(ids)
+            if n >= HELD:
+                yield from results()
+                held, n = [], 0
+        if held:
+            yield from results()
 
     counted = common.saved(tasks.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b").mapInArrow(find, COUNTED), "counted")
     links = counted.where("other IS NULL").groupBy(F.col("vec_id").alias("rep")).agg(F.sum("links").alias("links"))
