@@ -4,7 +4,7 @@ The patterns give the base spans. The entropy method adds spans: a run of charac
 case with digits, lower case with digits, base 64) of at least WINDOW characters is a candidate; a window of WINDOW characters moves over it
 with incremental counts (one character enters, one leaves, and the sum of n log2 n follows), and overlapping windows at
 or above the class's threshold merge to a span. Candidates that an allow-list explains (words without digits, UUIDs,
-placeholders, checksums named as such) are suppressed, and spans inside a base span are not repeated.
+those that placeholders leave too short, checksums named as such) are suppressed, and spans inside a base span are not repeated.
 
 Positions are code points, end exclusive. They come from the lengths of the pieces between matches and of the matches.
 Defined results: a null text is empty and has no spans; equal rows are scanned separately; an empty table gives an
@@ -13,6 +13,8 @@ empty result; extra columns are left out unless named in `more`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,31 +30,54 @@ LEAST_VALUE = 6
 #: Of random windows 3 % over 36 characters lie below 3.5 bits and 0.5 % over 64 characters below 3.6.
 WINDOW = 20
 CLASSES = (("[0-9a-f]", 3.0, "[0-9]"), ("[A-Z0-9]", 3.5, "[0-9]"), ("[a-z0-9]", 3.5, "[0-9]"), ("[A-Za-z0-9+/_=-]", 3.6, "[0-9]"))
-#: Candidates that are no secrets, and what stands before one that is none.
-ALLOWED = r"(?i)example|sample|placeholder|changeme|xxxx|01234567|12345678|abcdefgh|^[0-9_=-]+$|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+#: Candidates that are no secrets; words that don't count, so that what is left must still fill a window; and what stands
+#: before a candidate that is none.
+ALLOWED = r"EXAMPLE(?:KEY)?$|^[0-9_=-]+$|(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+ALLOWED_WORDS = r"(?i)example|sample|placeholder|changeme|x{4,}|01234567|12345678|abcdefgh"
 ALLOWED_BEFORE = r"(?i)(?:sha-?(?:1|256|384|512)|md5|checksum|digest|commit|etag)[^A-Za-z0-9]{0,3}$"
 MASK = "[SECRET]"
+#: Matches that are placed together: arrays only grow inside a batch, so that many matches cost little more than each one.
+BATCH = 128
+#: Characters before a candidate in which the allow-list looks for a name.
+NEAR = 16
 
 SPAN = "struct<start:int,kind:int,end:int>"
 
 
+def bound(value: Column, function: Callable[[Column], Column]) -> Column:
+    """function(value), with the value computed once however often the function names it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """The leftmost non-overlapping matches: start, end, before (piece before it), value (of the group)."""
+    """The leftmost non-overlapping matches: start, end, before (16 characters before it or, if it follows a shorter match, fewer), value (of the group)."""
     pieces = F.split(text, pattern, -1)
     pairs = F.zip_with(
         F.zip_with(pieces, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(p.alias("before"), m.alias("all"))),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)),
-        lambda x, v: F.struct(x["before"].alias("before"), F.length(x["before"]).alias("gap"), F.length(x["all"]).alias("n"), v.alias("value")),
+        lambda x, v: F.struct(F.right(x["before"], F.lit(NEAR)).alias("before"), F.length(x["before"]).alias("gap"), F.length(x["all"]).alias("n"), F.right(x["all"], F.lit(NEAR)).alias("tail"), v.alias("value")),
     )
     pairs = F.filter(pairs, lambda x: x["n"].isNotNull())
-    empty = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,before:string,value:string>>))")
+    span = "array<struct<start:int,end:int,before:string,value:string>>"
+    none = lambda kind: F.expr(f"cast(array() as {kind})")
+    state = lambda at, tail, out: F.struct(at.alias("at"), tail.alias("tail"), out.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), (start + x["n"]).alias("end"), x["before"].alias("before"), x["value"].alias("value"))
-        return F.struct((start + x["n"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        before = F.right(F.concat(acc["tail"], x["before"]), F.lit(NEAR))
+        one = F.struct(start.alias("start"), (start + x["n"]).alias("end"), before.alias("before"), x["value"].alias("value"))
+        return state(start + x["n"], x["tail"], F.concat(acc["out"], F.array(one)))
+
+    def batch(acc: Column, some: Column) -> Column:
+        placed = F.aggregate(some, state(acc["at"], acc["tail"], none(span)), step)
+        return bound(placed, lambda p: state(p["at"], p["tail"], F.concat(acc["out"], F.array(p["out"]))))
 
-    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+    def placed(all_pairs: Column) -> Column:
+        batches = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_pairs) - 1) / BATCH).cast("int")), lambda i: F.slice(all_pairs, i * BATCH + 1, F.lit(BATCH)))
+        found = F.aggregate(batches, state(F.lit(0), F.lit(""), none(f"array<{span}>")), batch, lambda acc: acc["out"])
+        return F.when(F.size(all_pairs) > 0, F.flatten(found)).otherwise(none(span))
+
+    return bound(pairs, placed)
 
 
 def spans(found: Column, kind: str) -> Column:
@@ -74,7 +99,10 @@ def hot(candidate: Column, least: float, window: int = WINDOW) -> Column:
 
     Windows hold `window` characters; entropy = log2(window) - sum(n log2 n) / window over the counts n.
     """
-    chars = F.split(candidate, "", -1)
+    return bound(F.split(candidate, "", -1), lambda chars: hot_chars(chars, F.length(candidate), least, window))
+
+
+def hot_chars(chars: Column, n: Column, least: float, window: int) -> Column:
     empty = F.expr("named_struct('n', cast(map() as map<string,int>), 'sum', 0.0D, 'out', cast(array() as array<struct<start:int,end:int>>))")
 
     def step(acc: Column, i: Column) -> Column:
@@ -100,7 +128,7 @@ def hot(candidate: Column, least: float, window: int = WINDOW) -> Column:
         with_left = F.transform(F.array(entered), lambda e: F.when(i >= window, leave(e)).otherwise(e))
         return F.get(F.transform(with_left, judge), F.lit(0))
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(candidate) - 1), empty, step, lambda acc: acc["out"])
+    return F.aggregate(F.sequence(F.lit(0), n - 1), empty, step, lambda acc: acc["out"])
 
 
 def class_spans(text: Column, chars: str, least: float, needed: str, window: int) -> Column:
@@ -108,7 +136,7 @@ def class_spans(text: Column, chars: str, least: float, needed: str, window: int
     beside = "[A-Za-z0-9]"
     candidates = F.filter(
         matches(text, rf"(?<!{beside}){chars}{{{window},}}+(?!{beside})"),
-        lambda x: x["value"].rlike(needed) & ~x["value"].rlike(ALLOWED) & ~F.right(x["before"], F.lit(16)).rlike(ALLOWED_BEFORE),
+        lambda x: x["value"].rlike(needed) & ~x["value"].rlike(ALLOWED) & (F.length(F.regexp_replace(x["value"], ALLOWED_WORDS, "")) >= window) & ~x["before"].rlike(ALLOWED_BEFORE),
     )
 
     def placed(x: Column) -> Column:
@@ -147,7 +175,9 @@ def redact(documents: DataFrame, more: tuple[str, ...] = (), mask: str = MASK) -
         F.struct(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask)).alias("out"), x["end"].alias("at")),
     ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], x["end"]).alias("at")))
     hidden = F.aggregate(every, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return scan(documents, more).select("doc_id", F.when(F.size(every) > 0, hidden).otherwise(F.col("text")).alias("text"), *more)
+    held = tuple(f"_more_{i}" for i, _ in enumerate(more))
+    rows = scan(documents.select("doc_id", "text", *(F.col(c).alias(h) for c, h in zip(more, held))), held)
+    return rows.select("doc_id", F.when(F.size(every) > 0, hidden).otherwise(F.col("text")).alias("text"), *(F.col(h).alias(c) for c, h in zip(more, held)))
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
