@@ -1,15 +1,15 @@
 """Language identification by Bayesian fusion of text, markup, address and host evidence.
 
-Text: a naive Bayes model over hashed byte trigrams (letters folded), fitted on a bounded sample (SAMPLE labelled texts
-per language, of at most SAMPLE_CHARS characters); log likelihoods are tempered, since neighbouring trigrams depend on
+Text: a naive Bayes model over hashed byte trigrams (letters folded), fitted on a bounded sample (SAMPLE distinct labelled
+texts per language, of at most SAMPLE_CHARS characters); log likelihoods are tempered, since neighbouring trigrams depend on
 each other. Markup: the declared language. Address: the last label of the host name. Host: a prior for each host that
 is smoothed towards its domain's, which is smoothed towards all rows'. Declared languages, suffixes and priors are
-counted over all rows by grouped aggregation of the text posteriors; languages are few, so each row carries one number
+counted over all other rows by grouped aggregation of the text posteriors; languages are few, so each row carries one number
 per language. What has no evidence of a kind (null) is judged without it.
 
 Defined results: null and empty texts, and those without letters, have only the other evidence; without any row of a
 known language the result has null languages with confidence 0; equal rows get equal results; an empty table gives an
-empty result.
+empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, text
@@ -50,30 +50,42 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row[:-2][use], ((code[use] * np.uint32(2_654_435_761)) >> np.uint32(17)).astype(np.int64)
 
 
-def lowest(rows: DataFrame, n: int) -> list[Row]:
-    """The SAMPLE texts (of n rows) with the smallest hashes.
+def sample(labelled: DataFrame) -> dict[str, list[str]]:
+    """For each language the SAMPLE distinct texts with the smallest hashes, texts over SAMPLE_CHARS last and cut there.
 
-    A bound that about 4 SAMPLE rows pass comes first, since every task would send SAMPLE texts to the driver otherwise;
-    where copies let fewer than SAMPLE pass, the rows are taken without the bound.
+    A bound that about 4 SAMPLE texts of a language pass comes first, since every task would send SAMPLE texts of each
+    language otherwise. A second pass without the bound serves the languages whose copies or long texts leave too few.
     """
-    key = F.xxhash64("text")
-    first = lambda of: of.select("text").orderBy(key, "text").limit(SAMPLE).collect()
-    if n <= 4 * SAMPLE:
-        return first(rows)
-    found = first(rows.where(key < (4 * SAMPLE * 2**64) // n - 2**63))
-    return found if len(found) == SAMPLE else first(rows)
+    rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", (F.length("text") > SAMPLE_CHARS).alias("long"), F.xxhash64("text").alias("key"))
+    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_if(~F.col("long")).alias("n")).collect()}
+
+    def first(of: DataFrame) -> dict[str, list[str]]:
+        one = of.groupBy("lang", "long", "key", F.substring("text", 1, SAMPLE_CHARS).alias("text")).agg(F.count("*").alias("copies"))
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "key", "text"))
+        out: dict[str, list[str]] = {}
+        for r in one.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("lang", "rank", "text").orderBy("lang", "rank").collect():
+            out.setdefault(r["lang"], []).append(r["text"])
+        return out
+
+    if not n:
+        return {}
+    bounds = [(lang, (4 * SAMPLE * 2**64) // k - 2**63 if k > 4 * SAMPLE else 2**63 - 1) for lang, k in n.items()]
+    bound = F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, bound long"))
+    found = first(rows.where("NOT long").join(bound, "lang").where("key <= bound"))
+    few = [(lang,) for lang in n if len(found.get(lang, ())) < SAMPLE and not 0 < n[lang] <= 4 * SAMPLE]
+    if few:
+        found |= first(rows.join(F.broadcast(labelled.sparkSession.createDataFrame(few, "lang string")), "lang"))
+    return found
 
 
 def fit(labelled: DataFrame) -> Model:
-    """labelled: text and lang; the sample is chosen by a hash of the text."""
-    usable = labelled.where(F.col("lang").isNotNull() & (F.length("text").between(1, SAMPLE_CHARS)))
-    rows_of = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
-    languages = sorted(rows_of)
+    """labelled: text and lang; every language with a text that isn't empty is known."""
+    texts = sample(labelled)
+    languages = sorted(texts)
     log_p = np.zeros((BUCKETS, len(languages)))
     for k, lang in enumerate(languages):
-        rows = lowest(usable.where(F.col("lang") == lang), rows_of[lang])
         count = np.full(BUCKETS, SMOOTHING)
-        for _, data, offsets in text.runs(pa.array([r["text"] for r in rows], pa.large_string())):
+        for _, data, offsets in text.runs(pa.array(texts[lang], pa.large_string())):
             count += np.bincount(trigrams(data, offsets)[1], minlength=BUCKETS)
         log_p[:, k] = np.log(count / count.sum())
     return Model(languages, log_p.astype(np.float32))
@@ -117,10 +129,13 @@ def identify(rows: DataFrame, model: Model, *more: str) -> DataFrame:
     every = [(total[c] + 1) / (sum(total) + k) for c in p]
     out = base
     for by in ("declared", "suffix", "domain", "host"):
-        out = out.join(sums(by), by, "left")
+        apart = F.coalesce(by, F.concat(F.lit("\0"), F.xxhash64(*more).cast("string")))  # rows without a value match nothing, and are spread
+        out = out.withColumn("_key", apart).join(sums(by).withColumnRenamed(by, "_key"), "_key", "left").drop("_key")
 
     def known(by: str, c: str) -> Column:
-        return F.coalesce(F.col(f"{by}_{c}"), F.lit(0.0))
+        """Of the other rows with the same value: a row is no evidence for itself."""
+        own = F.when(F.col(by).isNotNull(), F.coalesce(c, F.lit(0.0))).otherwise(F.lit(0.0))
+        return F.greatest(F.coalesce(f"{by}_{c}", F.lit(0.0)) - own, F.lit(0.0))
 
     def given(by: str, i: int) -> Column:
         """How much likelier the value is with the language than without evidence: smoothed P(value | language) / P(value)."""
@@ -155,11 +170,15 @@ def document_evidence(documents: DataFrame) -> DataFrame:
 
 
 def accepted(documents: DataFrame, least: float = LEAST_CONFIDENCE) -> DataFrame:
-    """The documents but for those whose text holds no letters or whose language stays unclear (confidence below `least`)."""
+    """The documents but for those whose text holds no letters or whose language stays unclear (confidence below `least`).
+
+    Rows with one doc_id go together; rows without doc_id are not judged by their language.
+    """
     found = identify(document_evidence(documents).where(F.col("doc_id").isNotNull()), fit(documents), "doc_id")
-    letters = documents.where(~F.coalesce("text", F.lit("")).rlike(r"\p{L}") & F.col("doc_id").isNotNull()).select("doc_id")
-    gone = found.where(F.col("confidence") < least).select("doc_id").union(letters).distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(documents.columns)
+    letters = F.coalesce("text", F.lit("")).rlike(r"\p{L}")
+    silent = documents.where(~letters & F.col("doc_id").isNotNull()).select("doc_id")
+    gone = common.saved(found.where(F.col("confidence") < least).select("doc_id").union(silent).distinct(), "gone")
+    return documents.where(letters).join(common.sided(gone), "doc_id", "left_anti").select(documents.columns)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
