@@ -3,8 +3,9 @@
 Documents are cut into pre-tokens in blocks of about BLOCK_CHARS characters. A block writes the position stream of its
 documents (which word stands where, as ranks by frequency) and its distinct words, packed by hash bucket; only those
 words are shuffled. A bucket sees a word from every block that has it, encodes it once and sends the ids back to the
-blocks (a bucketed table, so that the streams themselves are not shuffled), where they are put in place by the position stream. Decoding looks every id up in the token-byte table, which
-has as many rows as the vocabulary. A very common word travels once per block, so no key is hot.
+blocks (a bucketed table, so that the streams themselves are not shuffled), where they are put in place by the position
+stream. Decoding joins the ids with the token-byte table, which has as many rows as the vocabulary, where they are put in
+place. A very common word travels once per block, so no key is hot.
 
 Defined results: null and empty texts have no ids; equal rows are encoded separately; an empty table gives an empty
 result; extra columns are left out.
@@ -30,6 +31,9 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK_CHARS = 16_000_000
+#: Bytes of input for each bucket of words, and the most buckets: a task streams its buckets and holds only their distinct
+#: words, which grow far more slowly than the input, while more buckets would only cut the blocks' rows smaller.
+BUCKET_BYTES, MOST_BUCKETS = 8_000_000, 4096
 PARTS = "block long, bucket int, pack binary, doc_id binary, n_words binary"
 ENCODED = "doc_id long, ids binary, decoded binary"
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -72,8 +76,10 @@ def splitter():
     odd = [c for o, _ in classes.values() for c in o]
     if not odd:
         return plain.findall
-    (_, letter), (_, digit) = classes["L"], classes["N"]
-    exact = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{digit}+| ?(?:(?!{letter}|{digit})\S)+|\s+(?!\S)|\s+")
+    exact = public_tokenizers.PATTERN
+    for kind, (_, known) in classes.items():
+        exact = exact.replace(rf"\p{{{kind}}}", known)
+    exact = regex.compile(f"(?V1){exact}")
     first = regex.compile(f"[{min(odd)}-\U0010ffff]")
     return lambda text: (plain if text.isascii() or not first.search(text) else exact).findall(text)
 
@@ -158,25 +164,27 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def encode(documents: DataFrame, path: str, digests: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) and the bytes that the ids decode to; digests: their count and SHA-256 instead."""
     hint = common.size_hint(documents)
-    parts = common.bucketed(blocks(documents, common.dealt(hint, 8_000_000, most=65535), block_chars), "block", common.dealt(hint, block_chars), "bpe")
+    buckets = common.dealt(hint, BUCKET_BYTES, most=MOST_BUCKETS)
+    parts = common.bucketed(blocks(documents, buckets, block_chars), "block", common.dealt(hint, block_chars), "bpe")
     ids_schema, out_schema = common.arrow_schema("block long, bucket int, ids binary"), common.arrow_schema(DIGEST if digests else ENCODED)
 
-    def encode_bucket(group: pa.Table) -> pa.Table:
-        ids_of, known, out = merger(path), {}, []
-        for block, bucket, pack in zip(*(group.column(c) for c in ("block", "bucket", "pack"))):
-            lengths, joined = unpacked(pack.as_py())
-            at = 0
-            ids = []
-            for n in unplaned(lengths).tolist():
-                word = joined[at : at + n]
-                at += n
-                have = known.get(word)
-                if have is None:
-                    have = known[word] = ids_of(word)
-                ids.append(have)
-            counts = np.array([len(x) for x in ids], np.uint32)
-            out.append((block.as_py(), bucket.as_py(), packed(planes(counts), planes(np.concatenate(ids)))))
-        return pa.Table.from_batches([common.batch(ids_schema, *zip(*out))])
+    def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of, known = merger(path), {}
+        for b in batches:
+            out = []
+            for block, bucket, pack in zip(*(b.column(c) for c in ("block", "bucket", "pack"))):
+                lengths, joined = unpacked(pack.as_py())
+                at, ids = 0, []
+                for n in unplaned(lengths).tolist():
+                    word = joined[at : at + n]
+                    at += n
+                    have = known.get(word)
+                    if have is None:
+                        have = known[word] = ids_of(word)
+                    ids.append(have)
+                counts = np.array([len(x) for x in ids], np.uint32)
+                out.append((block.as_py(), bucket.as_py(), packed(planes(counts), planes(np.concatenate(ids)))))
+            yield common.batch(ids_schema, *(zip(*out) if out else [[]] * 3))
 
     def reassemble(streams: pa.Table, words: pa.Table) -> pa.Table:
         table = sorted(ranks(path), key=ranks(path).get)
@@ -206,7 +214,7 @@ def encode(documents: DataFrame, path: str, digests: bool = False, block_chars:
                 out.append((doc_id, len(doc), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded).hexdigest()) if digests else (doc_id, raw, decoded))
         return pa.Table.from_batches([common.batch(out_schema, *(zip(*out) if out else [[]] * len(out_schema)))])
 
-    words = parts.where("bucket >= 0").select("block", "bucket", "pack").groupBy("bucket").applyInArrow(encode_bucket, "block long, bucket int, ids binary")
+    words = parts.where("bucket >= 0").select("block", "bucket", "pack").repartition(buckets, "bucket").mapInArrow(encode_words, "block long, bucket int, ids binary")
     streams = parts.where("bucket < 0").drop("bucket")
     return streams.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(reassemble, DIGEST if digests else ENCODED)
 
