@@ -1,7 +1,8 @@
 """WARC archives of pages with revisit records, and a globally ordered index of them by external merging.
 
 Writing: records are made with DataFrame functions and written by Spark's text writer, whose line separator is the
-CRLF CRLF that ends a record, so the archives (one gzip member each) lie wherever Spark can write. Of records with equal
+CRLF CRLF that ends a record, so the archives (one gzip member each, as the text writer makes them) lie wherever Spark
+can write. Pages tell no time of capture: WARC-Date is a fixed day plus page_id seconds. A record's id is its page_id. Of records with equal
 payloads of at least LEAST bytes, that with the largest page_id is the response and the others revisit it; smaller
 payloads are always responses. Only digests meet in the grouping, and its result is joined back to the pages.
 
@@ -32,6 +33,8 @@ from . import common
 
 LEAST, CRLF = 1000, "\r\n"
 RECORDS_PER_FILE, RANGE_BYTES, SAMPLED_KEYS = 20_000, 64_000_000, 50
+#: Spark reads a file as binary only below 2 GB.
+FILE_BYTES = 1_900_000_000
 CAPTURES = "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 RUNS = f"run long, {CAPTURES}"
 HISTORY = f"part int, nth long, {CAPTURES}"
@@ -63,7 +66,10 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str) -> None:
-    records(pages).select("record").write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """Archives of RECORDS_PER_FILE records, or of so few that even the largest ones stay below FILE_BYTES."""
+    largest = pages.agg(F.max(F.octet_length("html")).alias("n")).first()["n"] or 0
+    each = max(1, min(RECORDS_PER_FILE, FILE_BYTES // (largest + 4096)))
+    records(pages).select("record").write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
 
 
 def url_key(url: str) -> str:
