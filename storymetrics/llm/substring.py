@@ -4,7 +4,7 @@ Documents are dealt to blocks by a hash of their id, and every exchange is betwe
 window that a third of all documents share costs one entry a block. Two equal windows have the same least hash of ten
 consecutive words, and one such hash is the least of about twenty windows in a row; windows whose least hash stands in
 no other document are counted once where they are, without travelling. Of the rest, each block sends its distinct
-window hashes (128 bits) with the smallest id it has them from, gets back smaller ids that other blocks have, and
+window hashes (128 bits, from two independent hashes of the words) with the smallest id it has them from, gets back smaller ids that other blocks have, and
 merges the repeated windows into maximal removal intervals.
 
 Defined results: a null text has no words; a null doc_id counts as larger than any other; rows with the same doc_id are
@@ -50,11 +50,14 @@ class Run:
         self.at = np.flatnonzero(w.doc[:n] == w.doc[window - 1 :]) if n else np.zeros(0, np.int64)
         self.doc = w.doc[self.at]
         self.anchor = least(text.windows(w.hash, gram), window - gram + 1)[self.at] if n else np.zeros(0, np.uint64)
-        self.window = window
+        self.data, self.window = data, window
 
     def hashes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = self.at[chosen]
-        return tuple(text.windows(self.words.hash, self.window, base)[at] if len(at) else np.zeros(0, np.uint64) for base in (text.WINDOW_BASE, text.WINDOW_BASE_2))
+        if not len(at):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        second = text.second_hash(self.data, self.words)
+        return text.windows(self.words.hash, self.window, text.WINDOW_BASE)[at], text.windows(second, self.window, text.WINDOW_BASE_2)[at]
 
 
 def firsts(doc: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -132,7 +135,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, more: tuple[str, ...] = ()
     """
     gram = min(GRAM, window)
     hint = common.size_hint(documents)
-    n_blocks, buckets = common.dealt(hint, BLOCK_BYTES, 48, 1 << 22), common.dealt(hint, BUCKET_BYTES, 24, 4096)
+    n_blocks, buckets = common.dealt(hint, BLOCK_BYTES, 48, 1 << 22), common.dealt(hint, BUCKET_BYTES, 24, 1 << 16)
     source = common.texts(documents, *more).withColumn("block", common.hashed("doc_id", n_blocks))
     by_block = source.groupBy("block")
 

@@ -14,12 +14,14 @@ import pyarrow as pa
 
 #: Bytes of text that are hashed together; a longer document is a run of its own.
 RUN_BYTES = 1 << 20
-#: Fixed odd multipliers of the two polynomial hashes (words, windows) and a second window hash.
-WORD_BASE, WINDOW_BASE, WINDOW_BASE_2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
+#: Fixed odd multipliers of the polynomial hashes of words and of windows, and of second ones of both.
+WORD_BASE, WINDOW_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+WORD_BASE_2, WINDOW_BASE_2 = 0xC2B2AE3D27D4EB4F, 0xAF251AF3B0F025B5
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BYTES = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES_2 = np.random.default_rng(20240602).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLDED = _BYTES.copy()
 _FOLDED[65:91] = _BYTES[97:123]
 _powers: dict[int, np.ndarray] = {}
@@ -90,12 +92,20 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> Words:
     start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     doc = np.searchsorted(offsets, start, "right") - 1
     first = np.searchsorted(doc, np.arange(rows + 1))
-    values = (_FOLDED if fold else _BYTES)[data]
-    values *= powers(WORD_BASE, n)[:n]
+    return Words(start, end, doc, word_hash((_FOLDED if fold else _BYTES)[data], start, end, WORD_BASE), first)
+
+
+def word_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """A hash of the values (one for each byte) of every word."""
+    n = len(values)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values, out=total[1:])
-    h = (total[end] - total[start]) * powers(pow(WORD_BASE, -1, 2**64), n)[start]
-    return Words(start, end, doc, mix(h), first)
+    np.cumsum(values * powers(base, n)[:n], out=total[1:])
+    return mix((total[end] - total[start]) * powers(pow(base, -1, 2**64), n)[start])
+
+
+def second_hash(data: np.ndarray, w: Words) -> np.ndarray:
+    """A hash of every word (unfolded) that is independent of the first."""
+    return word_hash(_BYTES_2[data], w.start, w.end, WORD_BASE_2)
 
 
 def windows(hashes: np.ndarray, k: int, base: int = WINDOW_BASE) -> np.ndarray:
