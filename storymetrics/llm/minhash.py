@@ -28,6 +28,8 @@ WORDS, PERMUTATIONS, BANDS, PERCENT = 5, 128, 25, 80
 RANGE_BYTES = 6_000_000
 #: Band values that a task combines at a time.
 HELD_KEYS = 1 << 21
+#: Characters whose fingerprints a task makes at a time.
+HELD_CHARS = 4_000_000
 FIRST = np.iinfo(np.int64).min
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 BANDED = "a long, b long, part int, keys binary, ids binary"
@@ -183,22 +185,32 @@ def edited_pairs(documents: DataFrame, k: int = WORDS) -> DataFrame:
     """
     schema = common.arrow_schema(EDITED)
 
+    def judged(ids: list, texts: list[str], after: str) -> pa.RecordBatch:
+        edited = []
+        for mine, other in zip(texts, [*texts[1:], after]):
+            cut = len(mine) // 3
+            edited.append(mine[: len(mine) - cut] + other[:cut])
+        own, changed = signatures(pa.array([*texts, after], pa.large_string()), k), signatures(pa.array(edited, pa.large_string()), k)
+        hashes = [hashlib.sha256(t.encode()).hexdigest() for t in edited]
+        return common.batch(schema, ids, [len(t) for t in texts], hashes, shown(own[:-1]), shown(changed), alike(own[:-1], changed), alike(own[:-1], own[1:]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in common.groups(batches, "bucket"):
-            n = group.num_rows - int(np.count_nonzero(group["guest"].to_numpy()))
-            if not n:
-                continue
-            texts = group["text"].to_pylist()
-            following = [*texts[1:n], texts[n] if n < len(texts) else texts[0]]
-            edited = []
-            for mine, other in zip(texts, following):
-                cut = len(mine) // 3
-                edited.append(mine[: len(mine) - cut] + other[:cut])
-            own, changed = signatures(pa.array([*texts[:n], following[-1]], pa.large_string()), k), signatures(pa.array(edited, pa.large_string()), k)
-            yield common.batch(
-                schema, group["doc_id"].combine_chunks().slice(0, n), [len(t) for t in texts[:n]], [hashlib.sha256(t.encode()).hexdigest() for t in edited],
-                shown(own[:n]), shown(changed), alike(own[:n], changed), alike(own[:n], own[1 : n + 1]),
-            )
+        """Rows of a range come in order, its guest last; HELD_CHARS of texts are judged at a time, with the row after them."""
+        ids, texts, chars, now = [], [], 0, None
+        for b in batches:
+            for bucket, guest, doc_id, t in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if bucket != now and texts:
+                    raise ValueError("a range has no guest")
+                now = bucket
+                if texts and (guest or chars >= HELD_CHARS):
+                    yield judged(ids, texts, t)
+                    ids, texts, chars = [], [], 0
+                if not guest:
+                    ids.append(doc_id)
+                    texts.append(t)
+                    chars += len(t)
+        if texts:
+            raise ValueError("a range has no guest")
 
     return dealt(documents).mapInArrow(run, EDITED)
 
