@@ -1,7 +1,7 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, over all overlapping windows.
 
-A word goes in as its own embedding (words of the training sample's vocabulary; one for all others) beside the mean
-embedding of its character trigrams. Windows of WINDOW words, STRIDE apart and the last one flush with the end, run
+A word goes in as its own embedding (words of the training sample's vocabulary, whose first coordinate starts at the
+word's log odds of the label; one for all others) beside the mean embedding of its character trigrams. Windows of WINDOW words, STRIDE apart and the last one flush with the end, run
 through a GRU in both directions; attention pools the states to a logit per window. A document's score comes from its
 highest window and its number of windows by a logistic calibration to the labels' base rate. Training is numpy on the
 driver, over a bounded sample: at most SAMPLE labelled documents of each label and of at most TRAIN_CHARS characters,
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from . import common, text
 
-WINDOW, STRIDE = 32, 24
+#: Words of a window, and from one window to the next: a phrase of up to WINDOW - STRIDE + 1 words lies whole in some window.
+WINDOW, STRIDE = 32, 12
 SAMPLE, TRAIN_CHARS, VOCABULARY = 2000, 20_000, 20_000
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 8, 6, 4, 4096
 EPOCHS, BATCH, STEP = 8, 256, 0.01
