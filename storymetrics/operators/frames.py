@@ -57,6 +57,12 @@ def luminance(pixels: np.ndarray) -> float:
     return float(np.rint(pixels[..., :3] @ np.array([0.114, 0.587, 0.299])).mean())
 
 
+@F.pandas_udf("double")
+def grey_luminance(pixels: pd.Series) -> pd.Series:
+    """luminance() of grey pictures, given as their grey values; null for null."""
+    return pixels.map(lambda p: None if p is None else luminance(np.repeat(np.asarray(p).reshape(-1, 1, 1), 3, axis=2)))
+
+
 def resized(pixels: np.ndarray, side: int = SIDE) -> np.ndarray:
     """side x side by linear interpolation between pixel centres, rounded; beyond the outer centres the edge counts on."""
 

@@ -15,7 +15,7 @@ from ..sources import documents, media
 from ..sources.store import Store
 from .intake import run_replies
 
-RETRIES = 3
+RETRIES = 5
 #: What reads frames: (name, data URL) of each frame of a batch -> the reply, or None. It runs in tasks.
 Provider = Callable[[list[tuple[str, str]]], str | None]
 #: What writes the frames of videos (path, name, content) as picture files to a folder.

@@ -249,6 +249,13 @@ def digits_normalize(t):
     return t("events").select("event_id", names.western_digits(F.translate(c("event_id").cast("string"), "0123456789", "۰۱۲۳۴۵۶۷۸۹")).alias("digits"))
 
 
+@query(f"SELECT vec_id, list_avg(px) AS luminance, list_avg(px) < {frames.DARK} AS dark FROM (SELECT vec_id, list_transform(embedding, lambda x: greatest(0, least(255, round(128 + 64 * x::DOUBLE)))) AS px FROM embeddings)")
+def picture_luminance(t):
+    """Every embedding as a grey picture of 8 x 8 values."""
+    grey = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.round(128 + 64 * x.cast("double")).cast("int"))))
+    return t("embeddings").select("vec_id", frames.grey_luminance(grey).alias("luminance")).withColumn("dark", c("luminance") < frames.DARK)
+
+
 @query("SELECT item_id, base64(encode(text)) AS content FROM benchmark")
 def content_base64(t):
     return t("benchmark").select("item_id", names.base64(c("text").cast("binary")).alias("content"))
