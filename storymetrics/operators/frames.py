@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 EVERY, BATCH, THRESHOLD = 3, 50, 0.65
 DARK, GAIN, LIFT, SIDE = 80.0, 1.5, 40.0, 224
@@ -57,7 +58,7 @@ def luminance(pixels: np.ndarray) -> float:
     return float(np.rint(pixels[..., :3] @ np.array([0.114, 0.587, 0.299])).mean())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def grey_luminance(pixels: pd.Series) -> pd.Series:
     """luminance() of grey pictures, given as their grey values; null for null."""
     return pixels.map(lambda p: None if p is None else luminance(np.repeat(np.asarray(p).reshape(-1, 1, 1), 3, axis=2)))
