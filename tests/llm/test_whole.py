@@ -197,6 +197,18 @@ def test_vectors_edges(spark):
         assert got[90]["component_id"] == 90 and got[91]["component_id"] == 91
 
 
+def test_pairs_at_the_threshold_meet():
+    r = np.random.default_rng(0)
+    x, z = r.normal(size=(2, 3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    label = np.zeros(3000, np.int64)
+    a, b = lattice.cells(x, label), lattice.cells(0.98 * x + math.sqrt(1 - 0.98**2) * z, label)
+    meet = lambda a, b: ((b == a[:, :, :1]).any(axis=2) | (a == b[:, :, :1]).any(axis=2)).any(axis=1).mean()
+    assert meet(a, b) >= 0.999 and meet(a, np.roll(a, 1, axis=0)) < 0.01
+
+
 def test_warc_edges(spark):
     big = "é" * 300_000
     rows = [(1, "http://a.com/", big, 0), (1, "http://a.com/", big, 0), (2, "http://b.com/", big, 0), (3, "http://c.com/", "x", 0)]
