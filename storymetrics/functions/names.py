@@ -67,3 +67,26 @@ def western_digits(value: Column) -> Column:
 def base64(content: Column) -> Column:
     """Base 64 without line breaks, whatever the session's setting."""
     return F.translate(F.base64(content), "\r\n", "")
+
+
+def data_url(content: Column, kind: str = "image/jpeg") -> Column:
+    return F.concat(F.lit(f"data:{kind};base64,"), base64(content))
+
+
+def caption(index: Column, name: Column) -> Column:
+    """What stands before a frame's picture in a request."""
+    return F.concat(F.lit("\nFrame "), index.cast("string"), F.lit(": "), name)
+
+
+def minute(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd HH:mm")
+
+
+def share(part: Column, whole: Column) -> Column:
+    """part/whole, and - where the whole is missing or 0."""
+    return F.when(whole > 0, F.concat_ws("/", F.coalesce(part, F.lit(0)).cast("string"), whole.cast("string"))).otherwise("-")
+
+
+def badge(status: Column) -> Column:
+    """The colour class of a status."""
+    return F.when(status == "completed", "success").when(status == "failed", "danger").when(status == "processing", "warning").otherwise("secondary")

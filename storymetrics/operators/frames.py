@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-EVERY, BATCH, THRESHOLD = 3, 50, 0.65
+EVERY, BATCH, THRESHOLD, LINES = 3, 50, 0.65, 720
 DARK, GAIN, LIFT, SIDE = 80.0, 1.5, 40.0, 224
 
 
@@ -42,6 +42,16 @@ def labelled(confidence: Column, threshold: float = THRESHOLD) -> Column:
     return F.when(confidence > threshold, "GOOD").when(confidence.isNotNull(), "BAD")
 
 
+def tall(height: Column, most: int = LINES) -> Column:
+    """Whether a video must be scaled down before frames are taken."""
+    return height > most
+
+
+def existing(frames: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
+    """The frames whose file is there."""
+    return frames.join(files.select(path), path, "left_semi").select(frames.columns)
+
+
 def counts(frames: DataFrame, *keys: str) -> DataFrame:
     return frames.groupBy(*keys).agg(F.count("*").alias("total_frames"), F.count_if(F.col("label") == "GOOD").alias("good_frames"), F.count_if(F.col("label") == "BAD").alias("bad_frames"), F.count_if(F.col("label").isNull()).alias("failed_frames"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import frames as frame_ops
+from ..settings import Settings
 from ..sources import documents, media
 from ..sources.store import Store
 from .intake import run_replies
@@ -64,7 +65,7 @@ def asked(batches: DataFrame, provider: Provider, retries: int = RETRIES) -> Dat
     return batches.groupBy("job_id", "batch_id").applyInPandas(ask, "job_id string, batch_id long, reply string")
 
 
-def pictures(spark: SparkSession, job_id: str, path: str, file_type: str, decoder: Decoder | None, folder: str) -> str:
+def pictures(spark: SparkSession, job_id: str, path: str, file_type: str, decoder: Decoder | None, folder: str, root: str, at: Column) -> str:
     """Where the pictures of a job lie: the file itself for an image, else the folder that the decoder writes to."""
     if file_type == "image":
         return path
@@ -72,25 +73,34 @@ def pictures(spark: SparkSession, job_id: str, path: str, file_type: str, decode
         raise ValueError(f"a {file_type} needs a decoder")
     landed = media.files(spark, path).select("path", "content")
     named = landed.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    decoder(media.expand_archives(landed).where("status = 'success'") if file_type == "zip" else named, folder)
+    if file_type == "zip":
+        members = media.expand_archives(landed)
+        decoder(members.where("status = 'success'"), folder)
+        found = members.select("path", "idx", "name", "status", "error", F.lit(None).cast("long").alias("frames"))
+        documents.put(media.campaign_summary(found, job_id, path.rsplit("/", 1)[-1], job_id, at), f"{root}/documents", job_id, "campaign_summary")
+    else:
+        decoder(named, folder)
     return folder
 
 
 def process(
     store: Store, job_id: str, path: str, file_type: str, provider: Provider, at: Column,
-    scorer: Callable[[np.ndarray], float] = frame_ops.contrast_scorer, decoder: Decoder | None = None,
+    scorer: Callable[[np.ndarray], float] = frame_ops.contrast_scorer, decoder: Decoder | None = None, delete_upload: bool = False,
 ) -> str:
     """Runs one job and returns its status: completed, or failed with the error's text as its message.
 
     Frames are scored and written by label; only good ones are sent to the provider, in batches by name. A job without
-    good frames has an empty document. Processing seconds are whole seconds of wall clock.
+    good frames has an empty document. Processing seconds are whole seconds of wall clock. Limits come from the session's
+    settings. delete_upload: the landed file goes in the end, whatever the outcome.
     """
     spark, began, root = store.spark, time.monotonic(), f"{store.root}/files/{job_id}"
+    limits = Settings.of(spark)
     plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")  # noqa: E731 - readers write paths differently
     try:
         store.set_status(job_id, "processing", at)
-        place = pictures(spark, job_id, path, file_type, decoder, f"{root}/pictures")
+        place = pictures(spark, job_id, path, file_type, decoder, f"{root}/pictures", store.root, at)
         scored = frame_ops.score(media.images(spark, place), scorer).withColumn("path", plain(F.col("path")))
+        scored = scored.withColumn("label", frame_ops.labelled(F.col("confidence"), limits.threshold))
         files = media.files(spark, place).select(plain(F.col("path")).alias("path"), "content", F.element_at(F.split("path", "/"), -1).alias("filename"))
         media.organize(scored.join(files, "path").withColumn("job_id", F.lit(job_id)), f"{root}/frames")
         counts = frame_ops.counts(scored)
@@ -98,8 +108,8 @@ def process(
         summary = counts.withColumn("processing_time_seconds", F.lit(time.monotonic() - began)).withColumn("processed_date", at.cast("string"))
         documents.put(summary, f"{store.root}/documents", job_id, "classification_summary")
         if counted["good_frames"]:
-            batches = frame_ops.batched(media.good(spark, f"{root}/frames", job_id), "job_id", ["filename"])
-            store.put(f"replies_{job_id}", asked(batches, provider))
+            batches = frame_ops.batched(media.good(spark, f"{root}/frames", job_id), "job_id", ["filename"], limits.batch_size)
+            store.put(f"replies_{job_id}", asked(batches, provider, limits.retries))
             run_replies(store, store.table(f"replies_{job_id}").where("reply IS NOT NULL"), at, batches.select("job_id", "batch_id", "frame_index", "filename"))
         store.set_counts(job_id, counted["total_frames"], counted["good_frames"], counted["bad_frames"], int(time.monotonic() - began), at)
         store.set_status(job_id, "completed", at)
@@ -107,3 +117,6 @@ def process(
     except Exception as e:  # noqa: BLE001 - whatever stops a job is its result
         store.set_status(job_id, "failed", at, str(e))
         return "failed"
+    finally:
+        if delete_upload:
+            documents.delete(spark, path)

@@ -249,6 +249,24 @@ def digits_normalize(t):
     return t("events").select("event_id", names.western_digits(F.translate(c("event_id").cast("string"), "0123456789", "۰۱۲۳۴۵۶۷۸۹")).alias("digits"))
 
 
+@query("SELECT item_id, chr(10) || 'Frame ' || (item_id % 50) || ': frame_' || lpad(cast(item_id AS VARCHAR), 6, '0') || '.jpg' AS caption, 'data:image/jpeg;base64,' || base64(encode(text)) AS url FROM benchmark")
+def frame_captions(t):
+    return t("benchmark").select("item_id", names.caption(c("item_id") % frames.BATCH, names.frame_name(c("item_id"))).alias("caption"), names.data_url(c("text").cast("binary")).alias("url"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS created, CASE WHEN o_custkey % 5 > 0 THEN (o_orderkey % 3) || '/' || (o_custkey % 5) ELSE '-' END AS good, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'P' THEN 'warning' ELSE 'secondary' END AS badge FROM orders")
+def job_rows_shown(t):
+    status = F.when(c("o_orderstatus") == "F", "completed").when(c("o_orderstatus") == "P", "processing").otherwise("pending")
+    return t("orders").select("o_orderkey", names.minute(c("o_orderdate")).alias("created"), names.share(c("o_orderkey") % 3, c("o_custkey") % 5).alias("good"), names.badge(status).alias("badge"))
+
+
+@query("SELECT o_orderkey, o_custkey > 720 AS tall FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def tall_existing(t):
+    """Orders as frames, customers as files: what is there, and what is taller than 720 lines."""
+    held = frames.existing(t("orders").withColumnRenamed("o_custkey", "path"), t("customer").where("c_acctbal > 0").withColumnRenamed("c_custkey", "path"))
+    return held.select("o_orderkey", frames.tall(c("path")).alias("tall"))
+
+
 @query(f"SELECT vec_id, list_avg(px) AS luminance, list_avg(px) < {frames.DARK} AS dark FROM (SELECT vec_id, list_transform(embedding, lambda x: greatest(0, least(255, round(128 + 64 * x::DOUBLE)))) AS px FROM embeddings)")
 def picture_luminance(t):
     """Every embedding as a grey picture of 8 x 8 values."""

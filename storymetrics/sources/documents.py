@@ -32,6 +32,12 @@ def delete_job(spark: SparkSession, root: str, job_id: str) -> None:
     fs.delete(p, True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file; none is no error."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, False)
+
+
 def upload(spark: SparkSession, root: str, job_id: str, local: str, name: str) -> None:
     fs, p = _fs(spark, f"{root}/{job_id}/{name}")
     fs.copyFromLocalFile(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(local), p)

@@ -62,3 +62,16 @@ def good(spark: SparkSession, root: str, job_id: str) -> DataFrame:
 def roll_up(members: DataFrame) -> DataFrame:
     ok = F.col("status") == "success"
     return members.groupBy("path").agg(F.count("*").alias("members"), F.count_if(ok).alias("successes"), F.sum(F.when(ok, F.col("frames")).otherwise(0)).alias("frames"))
+
+
+def campaign_summary(members: DataFrame, campaign: str, original: str, job_id: str, at: Column) -> DataFrame:
+    """One row of what an archive (path, idx, name, status, error, frames) gave: counts, and a result for each video in order."""
+    result = F.array_sort(F.collect_list(F.struct("idx", "name", "status", "error", "frames")))
+    found = members.agg(F.count("*").alias("total_videos"), F.count_if(F.col("status") == "success").alias("successful"), result.alias("results"))
+    head = (F.lit(campaign).alias("campaign"), F.lit(original).alias("original_filename"), F.lit(job_id).alias("job_id"), at.cast("string").alias("processed_date"))
+    return found.select(*head, "*")
+
+
+def extraction_metadata(spark: SparkSession, claimed: int, extracted: int, fps: float, at: Column) -> DataFrame:
+    """One row of what was read from a video: the frames that its container claims, those that were taken, and its rate."""
+    return spark.createDataFrame([(claimed, extracted, float(fps))], "total_frames long, extracted_frames long, fps double").withColumn("extraction_date", at.cast("string"))

@@ -103,6 +103,10 @@ class Store:
         self.append("users", row)
         return True
 
+    def bootstrap(self, name: str, password: str, at: Column) -> bool:
+        """Adds the first user to a store that has none."""
+        return not self.count_users() and self.add_user(name, password, at)
+
     def check_user(self, name: str, password: str) -> bool:
         return ops.users_matching(self.table("users"), name, names.digest(F.lit(password), self.salt)).count() == 1
 

@@ -328,9 +328,26 @@ def test_a_job_runs_from_file_to_document(spark, tmp_path):
     assert process(store, "image", f"{tmp_path}/sharp.png", "image", provider, at()) == "completed"
     assert process(store, "zip", f"{tmp_path}/c.zip", "zip", provider, at(), decoder=decoder) == "completed"
     assert process(store, "dark", f"{tmp_path}/dark.png", "image", provider, at()) == "completed"
-    assert process(store, "video", f"{tmp_path}/c.zip", "video", provider, at()) == "failed"
+    assert process(store, "video", f"{tmp_path}/c.zip", "video", provider, at(), delete_upload=True) == "failed"
+    assert not (tmp_path / "c.zip").exists() and (tmp_path / "dark.png").exists()
+    told = spark.read.json(f"{tmp_path}/store/documents/zip/campaign_summary").first()
+    assert (told["total_videos"], told["successful"], [r["name"] for r in told["results"]], told["original_filename"]) == (2, 2, ["a.mp4", "b.mp4"], "c.zip")
     held = {r["job_id"]: r for r in store.table("job_metrics").collect()}
     assert {i: (r["total_frames"], r["good_frames"], r["bad_frames"]) for i, r in held.items()} == {"image": (1, 1, 0), "zip": (2, 1, 0), "dark": (1, 0, 1)}
     assert json.loads(held["zip"]["metrics_json"])["summary"]["views"]["max"] == 5 and held["dark"]["metrics_json"] == "{}" and held["image"]["processing_time_seconds"] >= 0
     assert {r["id"]: r["status"] for r in store.table("jobs").collect()} == {"image": "completed", "zip": "completed", "dark": "completed", "video": "failed"}
     assert "decoder" in store.job("video").first()["error_message"]
+
+
+def test_settings_metadata_and_first_user(spark, tmp_path):
+    from storymetrics.settings import Settings
+
+    assert Settings.of(spark) == Settings()
+    spark.conf.set("spark.storymetrics.batch_size", "7")
+    spark.conf.set("spark.storymetrics.threshold", "0.5")
+    assert (Settings.of(spark).batch_size, Settings.of(spark).threshold) == (7, 0.5)
+    for name in ("batch_size", "threshold"):
+        spark.conf.unset(f"spark.storymetrics.{name}")
+    store = Store(spark, f"file://{tmp_path}", "s")
+    assert store.bootstrap("admin", "pw", at()) and not store.bootstrap("other", "pw", at()) and store.check_user("admin", "pw")
+    assert media.extraction_metadata(spark, 100, 34, 29.97, at()).first()[:3] == (100, 34, 29.97)
