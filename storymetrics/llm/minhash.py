@@ -138,7 +138,7 @@ def near_duplicates(documents: DataFrame, k: int = WORDS, percent: int = PERCENT
     reps = classed.where("doc_id = rep").select("doc_id").distinct().join(group.withColumnRenamed("node", "doc_id"), "doc_id")
     several = reps.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
     chosen = common.saved(reps.join(several, "component").select("doc_id", F.col("component").alias("block")), "chosen")
-    found = common.components(ngram_join.links(ngram_join.members(documents, chosen, k), percent), "near").withColumnRenamed("node", "rep")
+    found = common.components(ngram_join.links(ngram_join.members(documents, chosen, k), percent, ngram_join.parts(documents)), "near").withColumnRenamed("node", "rep")
     linked = classed.where("doc_id IS NOT NULL").join(found, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     return common.alone(linked.groupBy("doc_id").agg(F.min("component_id").alias("component_id")).where("component_id <> doc_id"), "near", since)
 

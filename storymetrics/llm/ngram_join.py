@@ -320,8 +320,11 @@ def search(ids: np.ndarray, members: list[np.ndarray], component: np.ndarray, da
                 yield int(ids[x]), int(ids[y])
 
 
-def searched(tasks: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between the data and the queries of each task (block, i, j); rows: role 0 data, 1 query, 2 both."""
+def searched(tasks: DataFrame, percent: int, parts: int) -> DataFrame:
+    """(a, b): links between the data and the queries of each task (block, i, j); rows: role 0 data, 1 query, 2 both.
+
+    The tasks are dealt to `parts` partitions: they take far longer than their few bytes tell.
+    """
     schema, task = common.arrow_schema("a long, b long"), ["block", "i", "j"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +339,7 @@ def searched(tasks: DataFrame, percent: int) -> DataFrame:
                 yield common.batch(schema, *zip(*found))
 
     rows = tasks.select(*task, "role", "doc_id", "component", "shingles")
-    return rows.repartition(*task).sortWithinPartitions(*task).mapInArrow(find, "a long, b long")
+    return rows.repartition(parts, *task).sortWithinPartitions(*task).mapInArrow(find, "a long, b long")
 
 
 def shards(n: Column) -> Column:
@@ -379,7 +382,7 @@ def members(documents: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     return common.texts(documents).join(common.sided(chosen), "doc_id").select("block", "doc_id", "text").mapInArrow(run, MEMBERS)
 
 
-def links(members: DataFrame, percent: int, keys: DataFrame | None = None) -> DataFrame:
+def links(members: DataFrame, percent: int, parts: int, keys: DataFrame | None = None) -> DataFrame:
     """(a, b): links that connect the documents whose sets are `percent` alike.
 
     members: block, doc_id, shingles; documents that are to be compared are in one block. keys: (key, doc_id), if those
@@ -388,7 +391,7 @@ def links(members: DataFrame, percent: int, keys: DataFrame | None = None) -> Da
     members = members.withColumn("component", F.col("doc_id"))
     large = members.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("block")
     large = common.saved(members.join(large, "block").select(members.columns), "large")
-    found = common.saved(searched(inside(members, 0), percent), "links")
+    found = common.saved(searched(inside(members, 0), percent, parts), "links")
     if not large.limit(1).count():
         return found
 
@@ -400,7 +403,7 @@ def links(members: DataFrame, percent: int, keys: DataFrame | None = None) -> Da
     now = labelled()
     for turn in range(1, ROUNDS + 1):
         reps = now.where("doc_id = component")
-        found = common.saved(found.union(searched(inside(reps, turn), percent)), "links")
+        found = common.saved(found.union(searched(inside(reps, turn), percent, parts)), "links")
         done = not reps.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).limit(1).count()
         now = labelled()
         if done:
@@ -409,7 +412,12 @@ def links(members: DataFrame, percent: int, keys: DataFrame | None = None) -> Da
         apart = keys.join(now.select("block", "doc_id", "component").distinct(), "doc_id")
         mixed = apart.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         now = now.join(apart.join(mixed.select("key", "block"), ["key", "block"]).select("doc_id").distinct(), "doc_id", "left_semi")
-    return common.saved(found.union(searched(across(now), percent)), "links")
+    return common.saved(found.union(searched(across(now), percent, parts)), "links")
+
+
+def parts(documents: DataFrame) -> int:
+    """How many partitions the search in the groups of these documents is dealt to."""
+    return common.dealt(common.size_hint(documents), BLOCK_BYTES, 24, 1 << 16)
 
 
 def join(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -422,7 +430,7 @@ def join(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFr
     keys = common.saved(keys.join(shared, "key").select("key", "doc_id", "low"), "keys")
     group = common.components(keys.select(F.col("low").alias("a"), F.col("doc_id").alias("b")), "groups")
     members = chosen.join(group, chosen["doc_id"] == group["node"]).select(F.col("component").alias("block"), "doc_id", "shingles")
-    found = common.alone(common.components(links(members, percent, keys), "linked").withColumnRenamed("node", "rep"), "found", since)
+    found = common.alone(common.components(links(members, percent, parts(documents), keys), "linked").withColumnRenamed("node", "rep"), "found", since)
     component = F.coalesce("component", "rep", "doc_id").alias("component_id")
     return member.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), component)
 
