@@ -24,13 +24,13 @@ FIELDS = {
 
 
 def coerced(kind: Column, text: Column, target: Column) -> Column:
-    """(whole, fraction, truth, wording, valid) of a JSON value of type `kind` (null: absent) with the given text.
+    """(whole, fraction, truth, wording, valid) of a JSON value of type `kind` with the given text.
 
-    A whole number may be given as number, text or truth value, a fraction too; absent and null are null. A truth value
-    may be a word or 0 or 1; absent is false and null is invalid. Wording is text only.
+    A whole number may be given as number, text or truth value, a fraction too, and null is null. A truth value may be a
+    word or 0 or 1, and null is invalid. Wording is text only.
     """
     number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-    truth, string, absent = kind == "BOOLEAN", kind == "STRING", kind.isNull() | (kind == "VOID")
+    truth, string, absent = kind == "BOOLEAN", kind == "STRING", kind == "VOID"
     written = F.when(text.rlike(r"^\s*[+-]?[0-9]+(_[0-9]+)*(\.0+)?\s*$"), F.replace(F.regexp_replace(F.btrim(text), r"\.0+$", ""), F.lit("_"), F.lit("")).try_cast("bigint"))
     exact = F.when(text.try_cast("double") == F.floor(text.try_cast("double")), text.try_cast("decimal(38,9)").try_cast("bigint"))
     whole = F.when(truth, (text == "true").cast("bigint")).when(string, written).when(number, exact)
@@ -39,7 +39,7 @@ def coerced(kind: Column, text: Column, target: Column) -> Column:
     word = F.lower(text)
     said = F.when(word.isin("true", "yes", "on", "t", "y", "1"), True).when(word.isin("false", "no", "off", "f", "n", "0"), False)
     counted = F.when(text.try_cast("double") == 1, True).when(text.try_cast("double") == 0, False)
-    flag = F.when(kind.isNull(), False).when(truth, text == "true").when(string, said).when(number, counted)
+    flag = F.when(truth, text == "true").when(string, said).when(number, counted)
     of = lambda name, value: F.when(target == name, value).alias(name)
     valid = F.when(target == "whole", absent | whole.isNotNull()).when(target == "fraction", absent | fraction.isNotNull()).when(target == "truth", flag.isNotNull()).otherwise(absent | string)
     return F.struct(of("whole", whole), of("fraction", fraction), of("truth", flag), of("wording", F.when(string, text)), valid.alias("valid"))
@@ -60,15 +60,16 @@ def parse(replies: DataFrame) -> DataFrame:
 
     def field(path: str, target: str) -> Column:
         *outer, name = path.split(".")
-        return F.struct(type_of(path).alias("kind"), F.col(f"_{outer[0] if outer else 'top'}")[name].alias("text"), F.lit(target).alias("target"))
+        return F.struct(F.lit(path).alias("path"), type_of(path).alias("kind"), F.col(f"_{outer[0] if outer else 'top'}")[name].alias("text"), F.lit(target).alias("target"))
 
-    found = F.transform(F.array(*(field(*f) for f in FIELDS.items())), lambda x: coerced(x["kind"], x["text"], x["target"]))
+    given = F.filter(F.array(*(field(*f) for f in FIELDS.items())), lambda x: x["kind"].isNotNull())
+    found = F.map_from_entries(F.transform(given, lambda x: F.struct(x["path"], coerced(x["kind"], x["text"], x["target"]))))
     rows = rows.select("job_id", "batch_id", "pos", "raw", found.alias("_fields"), *(type_of(n).alias(f"_{n}") for n in ("metrics", "metadata")))
-    place = {path: i for i, path in enumerate(FIELDS)}
-    value = lambda path: F.get("_fields", F.lit(place[path]))[FIELDS[path]].alias(path.split(".")[-1])
+    absent = {"truth": F.lit(False)}
+    value = lambda path: F.coalesce(F.col("_fields")[path][FIELDS[path]], absent.get(FIELDS[path], F.lit(None))).alias(path.split(".")[-1])
     of = lambda group: F.struct(*(value(path) for path in FIELDS if path.startswith(f"{group}.")))
     nested = lambda n: F.coalesce(F.col(f"_{n}").startswith("OBJECT") | (F.col(f"_{n}") == "VOID"), F.lit(True))
-    valid = F.forall("_fields", lambda x: F.coalesce(x["valid"], F.lit(False))) & nested("metrics") & nested("metadata") & F.coalesce(value("frame_index") >= 0, F.lit(False))
+    valid = F.forall(F.map_values("_fields"), lambda x: F.coalesce(x["valid"], F.lit(False))) & nested("metrics") & nested("metadata") & F.coalesce(value("frame_index") >= 0, F.lit(False))
     rows = rows.select("*", valid.alias("is_valid"))
     told = F.when(F.col("_metadata").startswith("OBJECT"), of("metadata")).alias("metadata")
     fields = [value("frame_index"), value("is_duplicate"), value("duplicate_of_frame"), of("metrics").alias("metrics"), told, value("actual_frame")]
