@@ -53,25 +53,28 @@ def parse(replies: DataFrame) -> DataFrame:
     fields are coerced in one pass over an array.
     """
     rows = replies.select("job_id", "batch_id", F.posexplode(F.from_json(unfenced(F.col("reply")), "array<string>")).alias("pos", "raw"))
-    texts = lambda c: F.from_json(c, "map<string,string>")
-    rows = rows.select("*", F.try_parse_json("raw").alias("_v"), texts(F.col("raw")).alias("_top"))
-    rows = rows.select("*", texts(F.col("_top")["metrics"]).alias("_metrics"), texts(F.col("_top")["metadata"]).alias("_metadata"))
-    type_of = lambda path: F.schema_of_variant(F.try_variant_get("_v", f"$.{path}", "variant"))
+    # every level is parsed once for its texts and once for its types; only fields that a frame has are looked at
+    targets = F.create_map(*(F.lit(x) for f in FIELDS.items() for x in f))
+    both = lambda text, name: (F.from_json(text, "map<string,string>").alias(f"_{name}"), F.from_json(text, "map<string,variant>").alias(f"_{name}_types"))
+    rows = rows.select("*", *both(F.col("raw"), "top"))
+    rows = rows.select("*", *both(F.col("_top")["metrics"], "metrics"), *both(F.col("_top")["metadata"], "metadata"))
 
-    def field(path: str, target: str) -> Column:
-        *outer, name = path.split(".")
-        return F.struct(F.lit(path).alias("path"), type_of(path).alias("kind"), F.col(f"_{outer[0] if outer else 'top'}")[name].alias("text"), F.lit(target).alias("target"))
+    def given(name: str, prefix: str) -> Column:
+        kind = lambda e: F.schema_of_variant(F.col(f"_{name}_types")[e["key"]])
+        found = F.transform(F.map_entries(f"_{name}"), lambda e: F.struct(F.concat(F.lit(prefix), e["key"]).alias("path"), kind(e).alias("kind"), e["value"].alias("text")))
+        return F.coalesce(F.filter(found, lambda x: F.map_contains_key(targets, x["path"])), F.expr("cast(array() as array<struct<path:string,kind:string,text:string>>)"))
 
-    given = F.filter(F.array(*(field(*f) for f in FIELDS.items())), lambda x: x["kind"].isNotNull())
-    found = F.map_from_entries(F.transform(given, lambda x: F.struct(x["path"], coerced(x["kind"], x["text"], x["target"]))))
-    rows = rows.select("job_id", "batch_id", "pos", "raw", found.alias("_fields"), *(type_of(n).alias(f"_{n}") for n in ("metrics", "metadata")))
+    every = F.concat(given("top", ""), given("metrics", "metrics."), given("metadata", "metadata."))
+    found = F.map_from_entries(F.transform(every, lambda x: F.struct(x["path"], coerced(x["kind"], x["text"], targets[x["path"]]))))
+    type_of = lambda name: F.schema_of_variant(F.col("_top_types")[name]).alias(f"_{name}_type")
+    rows = rows.select("job_id", "batch_id", "pos", "raw", found.alias("_fields"), type_of("metrics"), type_of("metadata"))
     absent = {"truth": F.lit(False)}
     value = lambda path: F.coalesce(F.col("_fields")[path][FIELDS[path]], absent.get(FIELDS[path], F.lit(None))).alias(path.split(".")[-1])
     of = lambda group: F.struct(*(value(path) for path in FIELDS if path.startswith(f"{group}.")))
-    nested = lambda n: F.coalesce(F.col(f"_{n}").startswith("OBJECT") | (F.col(f"_{n}") == "VOID"), F.lit(True))
+    nested = lambda n: F.coalesce(F.col(f"_{n}_type").startswith("OBJECT") | (F.col(f"_{n}_type") == "VOID"), F.lit(True))
     valid = F.forall(F.map_values("_fields"), lambda x: F.coalesce(x["valid"], F.lit(False))) & nested("metrics") & nested("metadata") & F.coalesce(value("frame_index") >= 0, F.lit(False))
     rows = rows.select("*", valid.alias("is_valid"))
-    told = F.when(F.col("_metadata").startswith("OBJECT"), of("metadata")).alias("metadata")
+    told = F.when(F.col("_metadata_type").startswith("OBJECT"), of("metadata")).alias("metadata")
     fields = [value("frame_index"), value("is_duplicate"), value("duplicate_of_frame"), of("metrics").alias("metrics"), told, value("actual_frame")]
     name = ("frame_index", "is_duplicate", "duplicate_of_frame", "metrics", "metadata", "actual_frame")
     row = F.struct("is_valid", *(F.when(F.col("is_valid"), f).alias(n) for f, n in zip(fields, name)))

@@ -16,8 +16,8 @@ def summarize(observations: DataFrame, keys: list[str], value: str, order: Colum
 def long(frames: DataFrame) -> DataFrame:
     """(job_id, batch_id, pos, metric, value, whole) of the valid frames that are no duplicates; whole: the exact value of a count."""
     each = (F.struct(F.lit(n).alias("metric"), F.col(f"metrics.{n}").cast("double").alias("value"), (F.lit(None) if n in FRACTIONS else F.col(f"metrics.{n}")).cast("bigint").alias("whole")) for n in METRIC_NAMES)
-    kept = unique(frames).where("is_valid").select("job_id", "batch_id", "pos", F.inline(F.array(*each)))
-    return kept.where("value IS NOT NULL")
+    kept = unique(frames).where("is_valid").select("job_id", "batch_id", "pos", F.inline(F.filter(F.array(*each), lambda x: x["value"].isNotNull())))
+    return kept
 
 
 def unique(frames: DataFrame) -> DataFrame:
