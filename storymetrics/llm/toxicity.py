@@ -276,9 +276,15 @@ def fit(documents: DataFrame, labels: DataFrame) -> Network:
     rate = total.get(True, 0) / max(1, sum(total.values()))
     usable = documents.where(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS)).select("doc_id", "text")
     rows = []
-    for side in (F.col("toxic") > 0, F.col("toxic") <= 0):
-        some = marked.where(side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE + SAMPLE // 2)
-        rows += usable.join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE).collect()
+    for side, of in ((F.col("toxic") > 0, True), (F.col("toxic") <= 0, False)):
+        most, found = SAMPLE + SAMPLE // 2, []
+        while True:  # more labels are taken while too many of them have no usable text; SAMPLE texts at most come here
+            some = marked.where(side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+            found = usable.join(some.hint("broadcast" if most <= common.BROADCAST_ROWS else "merge"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE).collect()
+            if len(found) >= SAMPLE or most >= total.get(of, 0):
+                break
+            most *= 8
+        rows += found
     return train([r["text"] for r in rows], np.array([float(r["toxic"] > 0) for r in rows]), rate)
 
 
