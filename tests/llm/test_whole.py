@@ -116,11 +116,12 @@ def test_fingerprints_equal_brute_force(spark):
 
 
 def test_toxicity_of_held_out_documents(spark):
-    """Nine of ten labelled documents that the network never saw are judged right, of both kinds; windows cover every word."""
-    found = suite.QUERIES["op4_toxicity"](spark, "/root/testdata/sf0.01")
-    labels = common.table(spark, "/root/testdata/sf0.01", "labels")
-    rows = found.where("held_out").join(labels, "doc_id").groupBy("toxic").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int")).alias("right")).collect()
-    assert {r["toxic"] for r in rows} == {0, 1} and all(r["right"] >= 0.9 for r in rows)
+    """Of the labelled documents that the network never saw, most toxic ones are found and hardly a clean one is accused."""
+    sf = "/root/testdata/sf0.1"
+    found = suite.QUERIES["op4_toxicity"](spark, sf).where("held_out")
+    rows = found.join(common.table(spark, sf, "labels"), "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("accused")).collect()
+    accused = {r["toxic"]: r["accused"] for r in rows}
+    assert accused[1] >= 0.85 and accused[0] <= 0.03
 
 
 def test_toxicity_edges(spark):
@@ -132,7 +133,7 @@ def test_toxicity_edges(spark):
     assert len(got) == 63 and len({r["score"] for r in got if r["doc_id"] == 0}) == 1 and all(0 <= r["score"] <= 1 for r in got)
     assert toxicity.score(docs.limit(0), network).count() == 0
     nothing = toxicity.fit(docs, labels.limit(0))
-    assert {r["score"] for r in toxicity.score(docs, nothing).collect()} <= {0.0} | {r["score"] for r in got} or True
+    assert {round(r["score"], 6) for r in toxicity.score(docs, nothing).collect()} == {0.0}
     w = np.arange(90)
     from storymetrics.llm import text
 
