@@ -49,7 +49,7 @@ MERGE_COST = 0.0085
 #: Entries that are merged by heap; more of them by a sort.
 HEAP = 4096
 #: Bytes of input for each block of documents and each range of keys.
-BLOCK_BYTES, RANGE_BYTES = 4_000_000, 16_000_000
+BLOCK_BYTES, RANGE_BYTES = 3_000_000, 8_000_000
 SIZED = "doc_id long, n long, s1 long, s2 long"
 SENT = "block int, part int, keys binary, counts binary"
 ANSWER = "block int, keys binary, counts binary"

@@ -13,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed together; a longer document is a run of its own.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
+#: Rows that are cast together, so that a batch is never copied as a whole.
+RUN_ROWS = 2000
 #: Fixed odd multipliers of the polynomial hashes of words and of windows, and of second ones of both.
 WORD_BASE, WINDOW_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 WORD_BASE_2, WINDOW_BASE_2 = 0xC2B2AE3D27D4EB4F, 0xAF251AF3B0F025B5
@@ -64,18 +66,16 @@ def runs(column: pa.Array | pa.ChunkedArray, limit: int = RUN_BYTES) -> Iterator
     """(first row, bytes, offsets) of runs of rows of about `limit` bytes; nulls are empty texts."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if not len(column):
-        return
-    column = column.cast(pa.large_string()).fill_null("")
-    _, at, data = column.buffers()
-    offsets = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    i = 0
-    while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
-        j = min(j, len(column), i + 20_000)
-        yield i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        i = j
+    for start in range(0, len(column), RUN_ROWS):
+        part = column.slice(start, RUN_ROWS).cast(pa.large_string()).fill_null("")
+        _, at, data = part.buffers()
+        offsets = np.frombuffer(at, np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        i = 0
+        while i < len(part):
+            j = min(len(part), max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1))
+            yield start + i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            i = j
 
 
 def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> Words:
