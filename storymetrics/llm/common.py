@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,36 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_own: dict[str, str] = {}
-_written: list[str] = []
-#: Rows of ids (8 or 16 bytes each) up to which a side of a join is broadcast.
-BROADCAST_ROWS = 2_000_000
-
-
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only in local mode, where the session names none (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return _own[app]
-
-
-def place(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder: its lineage is cut, and it outlives any executor."""
-    path = place(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..scratch import BROADCAST_ROWS, alone, delete, dropped, place, saved, scratch, sided, written, written_since  # noqa: F401
 
 
 def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
@@ -55,46 +24,6 @@ def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
     return out
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that saved() made, and nothing outside the shared folder."""
-    if path in _written:
-        _written.remove(path)
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes the files of tables made by saved(), once nothing reads them any more."""
-    for df in tables:
-        for file in df.inputFiles()[:1]:
-            folder = file.rsplit("/", 1)[0].rsplit("/", 1)[-1]
-            for path in [p for p in _written if p.rsplit("/", 1)[-1] == folder]:
-                delete(df.sparkSession, path)
-
-
-def alone(df: DataFrame, name: str, since: int) -> DataFrame:
-    """saved(df), after which all tables that saved() made from number `since` (of written()) on are deleted."""
-    out = saved(df, name)
-    for path in _written[since:-1]:
-        delete(df.sparkSession, path)
-    return out
-
-
-def written() -> int:
-    """How many tables that saved() made are there."""
-    return len(_written)
-
-
-def written_since(n: int) -> list[str]:
-    return _written[n:]
-
-
-def sided(table: DataFrame) -> DataFrame:
-    """A written table of ids as the smaller side of a join: it is broadcast only up to BROADCAST_ROWS rows."""
-    few = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return table.hint("broadcast" if few else "merge")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
