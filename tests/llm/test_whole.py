@@ -20,7 +20,7 @@ CLASSES = [("[0-9a-f]", 3.0), ("[A-Z0-9]", 3.5), ("[a-z0-9]", 3.5), ("[A-Za-z0-9
 @pytest.mark.parametrize("name", sorted(suite.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = suite.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
