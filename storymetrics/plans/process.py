@@ -74,7 +74,7 @@ def pictures(spark: SparkSession, job_id: str, path: str, file_type: str, decode
     landed = media.files(spark, path).select("path", "content")
     named = landed.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     if file_type == "zip":
-        members = media.expand_archives(landed)
+        members = media.expand_archives(spark, path)
         decoder(members.where("status = 'success'"), folder)
         found = members.select("path", "idx", "name", "status", "error", F.lit(None).cast("long").alias("frames"))
         documents.put(media.campaign_summary(found, job_id, path.rsplit("/", 1)[-1], job_id, at), f"{root}/documents", job_id, "campaign_summary")

@@ -1,15 +1,11 @@
 """Landing folders, archives and images."""
 
-import io
-import zipfile
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from ..functions import names
 from ..schemas import VIDEO
+from . import archives
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -25,27 +21,12 @@ def is_member(name: Column, suffixes: tuple[str, ...] = VIDEO) -> Column:
     return names.suffix(name).isin(*suffixes) & ~F.startswith(name, F.lit("__MACOSX"))
 
 
-@udtf(returnType="idx int, name string, content binary, status string, error string")
-class Members:
-    """The files of a zip archive with one of the suffixes, numbered from 1; one that can't be read is a row with an error."""
-
-    def eval(self, content: bytes, suffixes: list[str]) -> Iterator[tuple]:
-        try:
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                wanted = (i for i in archive.infolist() if not i.is_dir() and i.filename.lower().endswith(tuple(suffixes)) and not i.filename.startswith("__MACOSX"))
-                for idx, info in enumerate(wanted, 1):
-                    try:
-                        yield idx, info.filename, archive.read(info), "success", None
-                    except Exception as e:  # a damaged member is a result, not a failure
-                        yield idx, info.filename, None, "error", str(e)
-        except zipfile.BadZipFile as e:
-            yield 1, None, None, "error", str(e)
-
+def expand_archives(spark: SparkSession, path: str, suffixes: tuple[str, ...] = VIDEO) -> DataFrame:
+    """(path, idx, name, content, status, error): the members of each archive that are videos; no other is read.
 
-def expand_archives(archives: DataFrame, suffixes: tuple[str, ...] = VIDEO) -> DataFrame:
-    """(path, idx, name, content, status, error): the members of each archive that are videos; no other is unpacked."""
-    rows = archives.lateralJoin(Members(F.col("content").outer(), F.array(*map(F.lit, suffixes))).alias("m"))
-    return rows.select("path", *(F.col(f"m.{c}") for c in ("idx", "name", "content", "status", "error"))).where(F.col("name").isNull() | is_member(F.col("name"), suffixes))
+    Members are found by the archives' directories and read by their ranges, see `archives`.
+    """
+    return archives.unpacked(archives.members(spark, path, suffixes))
 
 
 def organize(frames: DataFrame, root: str) -> None:

@@ -147,13 +147,13 @@ def test_export_has_33_columns(spark, tmp_path):
     assert (cells["A1"].get("s"), cells["A2"].get("s"), cells["A3"].get("s")) == ("1", "3", "2") and '<col min="1" max="1" width="36"' in sheet
 
 
-def test_archive_members(spark):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as archive:
+def test_archive_members(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as archive:
         for name in ("a.MP4", "d/b.mov", "__MACOSX/a.mp4", "c.jpg"):
             archive.writestr(name, b"x")
-    rows = media.expand_archives(spark.createDataFrame([("z", bytearray(out.getvalue())), ("bad", bytearray(b"no"))], "path string, content binary"))
-    assert sorted((r["path"], r["idx"], r["name"], r["status"]) for r in rows.collect()) == [("bad", 1, None, "error"), ("z", 1, "a.MP4", "success"), ("z", 2, "d/b.mov", "success")]
+    (tmp_path / "bad.zip").write_bytes(b"no")
+    rows = media.expand_archives(spark, str(tmp_path))
+    assert sorted((r["path"].rsplit("/", 1)[-1], r["idx"], r["name"], r["status"]) for r in rows.collect()) == [("a.zip", 1, "a.MP4", "success"), ("a.zip", 2, "d/b.mov", "success"), ("bad.zip", 1, None, "error")]
 
 
 def test_run_replies_completes_jobs(spark, tmp_path):
