@@ -33,6 +33,15 @@ def with_parent(rows: DataFrame, parents: DataFrame, key: str, parent_key: str)
     return rows.join(parents.select(F.col(parent_key).alias(key)), key, "left_semi").select(rows.columns)
 
 
+def with_keys(rows: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are chosen, with what else the chosen ones have; null keys are like each other."""
+    other = chosen.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in chosen.columns if c not in keys))
+    same = F.lit(True)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(other[f"_{k}"])
+    return rows.join(other, same).drop(*(f"_{k}" for k in keys))
+
+
 def set_status(jobs: DataFrame, chosen: Column, status: str, at: Column, error: Column | None = None) -> DataFrame:
     """The jobs with the chosen ones changed; a terminal status also sets completed_at and replaces the error message."""
     out = jobs.withColumn("status", F.when(chosen, F.lit(status)).otherwise(F.col("status")))

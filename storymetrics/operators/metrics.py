@@ -44,6 +44,16 @@ def counters(frames: DataFrame) -> DataFrame:
     return frames.groupBy("job_id").agg(F.count("*").alias("answered_frames"), F.count_if(valid & ~copy).alias("unique_frames"), F.count_if(valid & copy).alias("duplicate_frames"), F.count_if(~valid).alias("invalid_frames"))
 
 
+def sent_counters(frames: DataFrame, batches: DataFrame, counted: DataFrame) -> DataFrame:
+    """counters() of every job that frames were sent for, with total_frames and unanswered_frames: those that no reply tells of."""
+    key = ["job_id", "batch_id", "frame_index"]
+    told = frames.where("is_valid").select(*key).distinct().withColumn("_told", F.lit(True))
+    sent = batches.select(*key).join(told, key, "left").groupBy("job_id").agg(F.count("*").alias("_sent"), F.count_if(F.col("_told").isNull()).alias("_open"))
+    both = counted.join(sent, "job_id", "full")
+    counts = {c: F.coalesce(c, F.lit(0)) for c in counted.columns if c != "job_id"}
+    return both.withColumns(counts | {"total_frames": F.coalesce("_sent", "answered_frames"), "unanswered_frames": F.coalesce("_open", F.lit(0))}).drop("_sent", "_open")
+
+
 def document(frames: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One JSON document per key: its rows in order, nulls kept."""
     rest = [c for c in frames.columns if c not in keys]
@@ -54,7 +64,7 @@ def document(frames: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def final_document(frames: DataFrame, counted: DataFrame, at: Column) -> DataFrame:
     """(job_id, document): the final JSON document of each counted job, of its valid frames in the order of arrival.
 
-    counted: counters() and total_frames. The summary maps each metric that has values to max, min, avg and last.
+    counted: counters(), total_frames and unanswered_frames. The summary maps each metric that has values to max, min, avg and last.
     """
     held = frames.where("is_valid").select("job_id", F.struct("batch_id", "pos", "frame_index", "is_duplicate", "duplicate_of_frame", "metrics", "metadata", "actual_frame").alias("frame"))
     every = held.groupBy("job_id").agg(F.array_sort(F.collect_list("frame")).alias("all_frames_data"))
@@ -66,7 +76,7 @@ def final_document(frames: DataFrame, counted: DataFrame, at: Column) -> DataFra
     in_order = F.transform(F.array(*map(F.lit, METRIC_NAMES)), lambda n: F.get(F.filter("_sums", lambda x: x["key"] == n), F.lit(0)))
     sums_map = F.map_from_entries(F.filter(in_order, lambda x: x.isNotNull()))
     whole = F.struct(
-        iso(at).alias("extraction_date"), "total_frames", "unique_frames", "duplicate_frames", "invalid_frames",
+        iso(at).alias("extraction_date"), "total_frames", "unique_frames", "duplicate_frames", "invalid_frames", "unanswered_frames",
         data.alias("all_frames_data"), unique_data.alias("unique_metrics"), F.coalesce(sums_map, F.create_map().cast(SUMMARY)).alias("summary"),
     )
     return rows.select("job_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("document"))

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import names, replies
 from ..operators import metrics
 from ..operators.frames import named
@@ -21,24 +22,26 @@ def validate(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
 def run_replies(store: Store, answered: DataFrame, at: Column, batches: DataFrame | None = None) -> DataFrame:
     """Parses the replies of jobs, stores each job's final document, counters and invalid frames, completes the jobs; returns the counters.
 
-    batches: the frames that were sent (job_id, batch_id, frame_index, filename); they name the frames of the replies, and
-    the document's total_frames counts them. Without them it counts the frames that were answered.
+    batches: the frames that were sent (job_id, batch_id, frame_index, filename); they name the frames of the replies, the
+    document's total_frames counts them, and unanswered_frames those of them that no reply tells of; a job whose batches
+    all failed has a document too. Without them total_frames counts the frames that were answered.
     """
-    store.put("frames", replies.parse(answered))  # as a table: the plan of the parsing is large, and all that is stored comes from it
-    frames = store.table("frames")
+    since = scratch.written()
+    frames = scratch.saved(replies.parse(answered), "frames")  # as a table: the plan of the parsing is large, and all that is stored comes from it
     counted = metrics.counters(frames)
-    total = counted.withColumn("total_frames", F.col("answered_frames"))
+    jobs = answered.select("job_id")
+    total = counted.withColumn("total_frames", F.col("answered_frames")).withColumn("unanswered_frames", F.lit(0).cast("long"))
     if batches is not None:
+        jobs = jobs.union(batches.select("job_id"))
+        total = metrics.sent_counters(frames, batches, counted)
         frames = named(frames, batches)
-        sent = batches.groupBy("job_id").agg(F.count("*").alias("_sent"))
-        total = counted.join(sent, "job_id", "left").withColumn("total_frames", F.coalesce("_sent", "answered_frames")).drop("_sent")
-    stored = metrics.final_document(frames, total, at).join(counted, "job_id")
-    new = stored.select("job_id", F.col("answered_frames").cast("int").alias("total_frames"), F.lit(None).cast("int").alias("good_frames"), F.lit(None).cast("int").alias("bad_frames"), F.lit(None).cast("int").alias("processing_time_seconds"), F.col("document").alias("metrics_json"), at.cast("timestamp_ntz").alias("created_at"))
-    store.quarantine(answered, frames.where("NOT is_valid").withColumn("created_at", at.cast("timestamp_ntz")))
-    store.upsert_metrics(new)
-    jobs = store.table("jobs")
-    from ..operators.jobs import set_status
-
-    done = jobs.join(counted.select(F.col("job_id").alias("id"), F.lit(True).alias("_done")), "id", "left")
-    store.put("jobs", set_status(done, F.coalesce("_done", F.lit(False)), "completed", at).select(jobs.columns))
-    return counted
+    total = scratch.saved(total, "counters")
+    stored = metrics.final_document(frames, total, at).join(total.select("job_id", F.col("total_frames").alias("_total")), "job_id")
+    new = stored.select("job_id", F.col("_total").cast("int").alias("total_frames"), F.lit(None).cast("int").alias("good_frames"), F.lit(None).cast("int").alias("bad_frames"), F.lit(None).cast("int").alias("processing_time_seconds"), F.col("document").alias("metrics_json"), at.cast("timestamp_ntz").alias("created_at"))
+    store.quarantine(jobs.distinct(), frames.where("NOT is_valid").withColumn("created_at", at.cast("timestamp_ntz")))
+    store.upsert_metrics(scratch.saved(new, "documents"))
+    store.set_statuses(total.select(F.col("job_id").alias("id")), "completed", at)
+    counts = total.collect()  # a row for each job of the call
+    for path in scratch.written_since(since):
+        scratch.delete(store.spark, path)
+    return store.spark.createDataFrame(counts, total.schema)

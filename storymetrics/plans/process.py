@@ -1,24 +1,22 @@
 """A job from its landed file to its stored document: frames, quality, batches, replies, summary, status."""
 
 import base64
-import json
 import time
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
+from ..operators import attempts
 from ..operators import frames as frame_ops
 from ..settings import Settings
 from ..sources import documents, media
 from ..sources.store import Store
+from .asking import Clock, Pace, Provider, asked
 from .intake import run_replies
 
-RETRIES = 5
-#: What reads frames: (name, data URL) of each frame of a batch -> the reply, or None. It runs in tasks.
-Provider = Callable[[list[tuple[str, str]]], str | None]
 #: What writes the frames of videos (path, name, content) as picture files to a folder.
 Decoder = Callable[[DataFrame, str], None]
 
@@ -27,44 +25,6 @@ def data_url(content: bytes, kind: str = "image/jpeg") -> str:
     return f"data:{kind};base64,{base64.b64encode(content).decode()}"
 
 
-def usable(reply: str | None) -> bool:
-    """Whether a reply holds a JSON array with anything in it."""
-    try:
-        text = reply or ""
-        for fence in ("```json", "```"):
-            if fence in text:
-                text = text.split(fence)[1].split("```")[0]
-                break
-        found = json.loads(text)
-        return isinstance(found, list) and bool(found)
-    except ValueError:
-        return False
-
-
-def asked(batches: DataFrame, provider: Provider, retries: int = RETRIES) -> DataFrame:
-    """(job_id, batch_id, reply) of batches of frames (job_id, batch_id, frame_index, filename, content).
-
-    A batch is asked for anew while its reply is no JSON array, or empty, and after an error, `retries` times in all; then
-    its reply is null, and it adds nothing. Batches are independent, so they run side by side; each is a bounded group.
-    """
-
-    def ask(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("frame_index")
-        images = [(n, data_url(c)) for n, c in zip(rows["filename"], rows["content"])]
-        reply = None
-        for _ in range(retries):
-            try:
-                found = provider(images)
-            except Exception:  # noqa: BLE001 - a provider that fails is asked again
-                continue
-            if usable(found):
-                reply = found
-                break
-        return pd.DataFrame({"job_id": [rows["job_id"].iloc[0]], "batch_id": [rows["batch_id"].iloc[0]], "reply": [reply]})
-
-    return batches.groupBy("job_id", "batch_id").applyInPandas(ask, "job_id string, batch_id long, reply string")
-
-
 def pictures(spark: SparkSession, job_id: str, path: str, file_type: str, decoder: Decoder | None, folder: str, root: str, at: Column) -> str:
     """Where the pictures of a job lie: the file itself for an image, else the folder that the decoder writes to."""
     if file_type == "image":
@@ -83,9 +43,22 @@ def pictures(spark: SparkSession, job_id: str, path: str, file_type: str, decode
     return folder
 
 
+def answer(store: Store, batches: DataFrame, provider: Provider, retries: int, at: Column, clock: Clock | None = None, pace: Pace | None = None) -> None:
+    """Asks for a job's batches, keeps the log of attempts, and stores what the replies tell; the job's row is warned of batches without one."""
+    log = asked(batches, provider, retries, clock, pace)
+    keys = ["job_id", "batch_id"]
+    held = attempts.answers(log, keys)
+    run_replies(store, held.where("reply IS NOT NULL").select(*keys, "reply"), at, batches.select(*keys, "frame_index", "filename"))
+    store.replace("attempts", log.select("job_id").distinct(), log.withColumn("created_at", at.cast("timestamp_ntz")))
+    for r in held.where("reply IS NULL").groupBy("job_id").agg(F.count("*").alias("n"), F.max("outcome").alias("last")).collect():  # a row for each job of the call
+        store.warn(r["job_id"], [f"{r['n']} batches without a usable reply"])
+    scratch.dropped(log)
+
+
 def process(
     store: Store, job_id: str, path: str, file_type: str, provider: Provider, at: Column,
     scorer: Callable[[np.ndarray], float] = frame_ops.contrast_scorer, decoder: Decoder | None = None, delete_upload: bool = False,
+    clock: Clock | None = None, pace: Pace | None = None,
 ) -> str:
     """Runs one job and returns its status: completed, or failed with the error's text as its message.
 
@@ -109,8 +82,7 @@ def process(
         documents.put(summary, f"{store.root}/documents", job_id, "classification_summary")
         if counted["good_frames"]:
             batches = frame_ops.batched(media.good(spark, f"{root}/frames", job_id), "job_id", ["filename"], limits.batch_size)
-            store.put(f"replies_{job_id}", asked(batches, provider, limits.retries))
-            run_replies(store, store.table(f"replies_{job_id}").where("reply IS NOT NULL"), at, batches.select("job_id", "batch_id", "frame_index", "filename"))
+            answer(store, batches, provider, limits.retries, at, clock, pace)
         store.set_counts(job_id, counted["total_frames"], counted["good_frames"], counted["bad_frames"], int(time.monotonic() - began), at)
         store.set_status(job_id, "completed", at)
         return "completed"

@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from storymetrics.functions import names, replies
-from storymetrics.operators import frames, jobs, metrics
+from storymetrics.operators import attempts, frames, jobs, metrics
 from storymetrics.plans import intake, suite
 from storymetrics.sources import documents, media
 from storymetrics.sources.store import Store
+from tests.clocks import Still
 
 SF = "/root/testdata/sf0.001"
 
@@ -295,9 +296,9 @@ def test_provider_is_asked_until_it_answers(spark):
 
     u = uuid.uuid4().hex
     rows = spark.createDataFrame([("j", i, 0, f"{n}{u}", b"x") for i, n in enumerate(("late", "never", "error"))], "job_id string, batch_id long, frame_index long, filename string, content binary")
-    got = {r["batch_id"]: r["reply"] for r in process.asked(rows, provider).collect()}
-    assert got[0] and got[1] is None and got[2] is None
-    assert [process.usable(x) for x in ("[1]", "[]", "{}", "[{", None, "```\n[1]\n```")] == [True, False, False, False, False, True]
+    log = process.asked(rows, provider, clock=Still())
+    got = {r["batch_id"]: (r["attempts"], r["waited"], r["outcome"], r["reply"]) for r in attempts.answers(log, ["job_id", "batch_id"]).collect()}
+    assert got == {0: (3, 0, "usable", '```json\n[{"frame_index": 0}]\n```'), 1: (5, 0, "empty", None), 2: (5, 20, "error", None)}
 
 
 def test_a_job_runs_from_file_to_document(spark, tmp_path):
