@@ -4,9 +4,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+
+from .ranks import ranked
 
 EVERY, BATCH, THRESHOLD, LINES = 3, 50, 0.65, 720
 DARK, GAIN, LIFT, SIDE = 80.0, 1.5, 40.0, 224
@@ -17,9 +18,9 @@ def sample(frames: DataFrame, number: str, every: int = EVERY) -> DataFrame:
 
 
 def batched(frames: DataFrame, job: str, order: list[str], size: int = BATCH) -> DataFrame:
-    """batch_id and frame_index (place in the batch) of every frame; each job is numbered by itself."""
-    n = (F.row_number().over(Window.partitionBy(job).orderBy(*order)) - 1).cast("bigint")
-    return frames.withColumn("_n", n).withColumn("batch_id", F.floor(F.col("_n") / size)).withColumn("frame_index", F.col("_n") % size).drop("_n")
+    """batch_id and frame_index (place in the batch) of every frame; each job is numbered by itself, over as many tasks as it needs."""
+    numbered = ranked(frames, [job], order, "_n")
+    return numbered.withColumn("batch_id", F.floor(F.col("_n") / size)).withColumn("frame_index", F.col("_n") % size).drop("_n")
 
 
 def copies(frames: DataFrame, scope: list[str], content: Column, index: str) -> DataFrame:
@@ -68,10 +69,9 @@ def luminance(pixels: np.ndarray) -> float:
     return float(np.rint(pixels[..., :3] @ np.array([0.114, 0.587, 0.299])).mean())
 
 
-@F.pandas_udf(DoubleType())
-def grey_luminance(pixels: pd.Series) -> pd.Series:
-    """luminance() of grey pictures, given as their grey values; null for null."""
-    return pixels.map(lambda p: None if p is None else luminance(np.repeat(np.asarray(p).reshape(-1, 1, 1), 3, axis=2)))
+def grey_luminance(pixels: Column) -> Column:
+    """luminance() of grey pictures, given as their grey values: equal parts of all channels make the value itself; null for null and empty."""
+    return F.aggregate(pixels, F.lit(0).cast("long"), lambda total, x: total + x.cast("long")) / F.size(pixels)
 
 
 def resized(pixels: np.ndarray, side: int = SIDE) -> np.ndarray:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import iso, iso_short
 from ..schemas import EXPORT, FRACTIONS, METRIC_NAMES, SUMMARY
+from .ranks import ranked
 
 
 def summarize(observations: DataFrame, keys: list[str], value: str, order: Column) -> DataFrame:
@@ -61,6 +62,15 @@ def document(frames: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return frames.groupBy(*keys).agg(rows.alias("frames"), F.count("*").alias("total_frames")).select(*keys, F.to_json(F.struct("total_frames", "frames"), {"ignoreNullFields": "false"}).alias("document"))
 
 
+def summary_of(counted: DataFrame, frames: DataFrame) -> DataFrame:
+    """counted with summary: of each metric that has values, in the order of the model, max, min, avg and last."""
+    entry = F.struct(F.col("metric").alias("key"), F.struct("max", "min", "avg", "last").alias("value"))
+    sums = exact_summary(frames).groupBy("job_id").agg(F.collect_list(entry).alias("_sums"))  # as many as there are metrics
+    in_order = F.transform(F.array(*map(F.lit, METRIC_NAMES)), lambda n: F.get(F.filter("_sums", lambda x: x["key"] == n), F.lit(0)))
+    found = F.map_from_entries(F.filter(in_order, lambda x: x.isNotNull()))
+    return counted.join(sums, "job_id", "left").withColumn("summary", F.coalesce(found, F.create_map().cast(SUMMARY))).drop("_sums")
+
+
 def final_document(frames: DataFrame, counted: DataFrame, at: Column) -> DataFrame:
     """(job_id, document): the final JSON document of each counted job, of its valid frames in the order of arrival.
 
@@ -68,20 +78,49 @@ def final_document(frames: DataFrame, counted: DataFrame, at: Column) -> DataFra
     """
     held = frames.where("is_valid").select("job_id", F.struct("batch_id", "pos", "frame_index", "is_duplicate", "duplicate_of_frame", "metrics", "metadata", "actual_frame").alias("frame"))
     every = held.groupBy("job_id").agg(F.array_sort(F.collect_list("frame")).alias("all_frames_data"))
-    entry = F.struct(F.col("metric").alias("key"), F.struct("max", "min", "avg", "last").alias("value"))
-    sums = exact_summary(frames).groupBy("job_id").agg(F.collect_list(entry).alias("_sums"))
-    rows = counted.join(every, "job_id", "left").join(sums, "job_id", "left")
+    rows = summary_of(counted, frames).join(every, "job_id", "left")
     data = F.coalesce("all_frames_data", F.array().cast(every.schema["all_frames_data"].dataType))
     unique_data = F.filter(data, lambda x: ~F.coalesce(x["is_duplicate"], F.lit(False)))
-    in_order = F.transform(F.array(*map(F.lit, METRIC_NAMES)), lambda n: F.get(F.filter("_sums", lambda x: x["key"] == n), F.lit(0)))
-    sums_map = F.map_from_entries(F.filter(in_order, lambda x: x.isNotNull()))
     whole = F.struct(
         iso(at).alias("extraction_date"), "total_frames", "unique_frames", "duplicate_frames", "invalid_frames", "unanswered_frames",
-        data.alias("all_frames_data"), unique_data.alias("unique_metrics"), F.coalesce(sums_map, F.create_map().cast(SUMMARY)).alias("summary"),
+        data.alias("all_frames_data"), unique_data.alias("unique_metrics"), "summary",
     )
     return rows.select("job_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("document"))
 
 
+def pieces(frames: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """(keys, place, text): document() in pieces, one for each row; put together by place they are the same text.
+
+    No task holds the rows of a document, however many they are: each row is told its place and how many there are, and
+    the first and the last one carry the head and the foot.
+    """
+    rest = [c for c in frames.columns if c not in keys]
+    text = F.to_json(F.struct(*order, *(c for c in rest if c not in order)), {"ignoreNullFields": "false"})
+    rows = ranked(frames.select(*keys, *order, text.alias("_text")), keys, [*order, "_text"], "place", total="_of")
+    head = F.when(F.col("place") == 0, F.concat(F.lit('{"total_frames":'), F.col("_of").cast("string"), F.lit(',"frames":['))).otherwise(",")
+    foot = F.when(F.col("place") == F.col("_of") - 1, "]}").otherwise("")
+    return rows.select(*keys, "place", F.concat(head, "_text", foot).alias("text"))
+
+
+def final_pieces(frames: DataFrame, counted: DataFrame, at: Column) -> DataFrame:
+    """(job_id, part, place, text): final_document() in pieces, put together by part and place.
+
+    The parts are the head with the counters, all valid frames, what is between, those that are no duplicates, and the
+    summary; see pieces().
+    """
+    held = frames.where("is_valid").select("job_id", "batch_id", "pos", F.to_json(F.struct("batch_id", "pos", "frame_index", "is_duplicate", "duplicate_of_frame", "metrics", "metadata", "actual_frame"), {"ignoreNullFields": "false"}).alias("text"), F.coalesce("is_duplicate", F.lit(False)).alias("_copy"))
+    body = held.select("*", F.explode(F.when(F.col("_copy"), F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(3)))).alias("part"))
+    body = ranked(body.drop("_copy"), ["job_id", "part"], ["batch_id", "pos"], "place")
+    body = body.select("job_id", "part", "place", F.concat(F.when(F.col("place") > 0, ",").otherwise(""), "text").alias("text"))
+    counts = F.to_json(F.struct(iso(at).alias("extraction_date"), "total_frames", "unique_frames", "duplicate_frames", "invalid_frames", "unanswered_frames"))
+    sums = summary_of(counted, frames)
+    frame = lambda part, text: F.struct(F.lit(part).alias("part"), F.lit(0).cast("long").alias("place"), text.alias("text"))
+    head = F.concat(F.substr(counts, F.lit(1), F.length(counts) - 1), F.lit(',"all_frames_data":['))
+    foot = F.concat(F.lit('],"summary":'), F.to_json("summary", {"ignoreNullFields": "false"}), F.lit("}"))
+    rest = sums.select("job_id", F.inline(F.array(frame(0, head), frame(2, F.lit('],"unique_metrics":[')), frame(4, foot))))
+    return body.unionByName(rest)
+
+
 def stored_summaries(job_metrics: DataFrame) -> DataFrame:
     """(job_id, metric, max, min, avg, last) from the stored documents, the numbers as they are written there."""
     found = F.from_json("metrics_json", "struct<summary:map<string,struct<max:string,min:string,avg:string,last:string>>>")["summary"]

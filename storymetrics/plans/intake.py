@@ -7,6 +7,7 @@ from .. import scratch
 from ..functions import names, replies
 from ..operators import metrics
 from ..operators.frames import named
+from ..sources import documents
 from ..sources.store import Store
 
 
@@ -38,6 +39,7 @@ def run_replies(store: Store, answered: DataFrame, at: Column, batches: DataFram
     total = scratch.saved(total, "counters")
     stored = metrics.final_document(frames, total, at).join(total.select("job_id", F.col("total_frames").alias("_total")), "job_id")
     new = stored.select("job_id", F.col("_total").cast("int").alias("total_frames"), F.lit(None).cast("int").alias("good_frames"), F.lit(None).cast("int").alias("bad_frames"), F.lit(None).cast("int").alias("processing_time_seconds"), F.col("document").alias("metrics_json"), at.cast("timestamp_ntz").alias("created_at"))
+    documents.put_pieces(metrics.final_pieces(frames, total, at), f"{store.root}/documents")
     store.quarantine(jobs.distinct(), frames.where("NOT is_valid").withColumn("created_at", at.cast("timestamp_ntz")))
     store.upsert_metrics(scratch.saved(new, "documents"))
     store.set_statuses(total.select(F.col("job_id").alias("id")), "completed", at)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, replies
-from ..operators import frames, jobs, metrics
+from ..operators import attempts, frames, jobs, metrics
 from ..sources import media
 
 c = F.col
@@ -231,8 +231,9 @@ def response_roundtrip(t):
     one = F.to_json(F.struct(c("frame_index"), (c("event_id") % 10 == 0).alias("is_duplicate"), F.struct((c("event_id") % 97).cast("string").alias("views")).alias("metrics")))
     rows = batch.groupBy(c("user_id").alias("job_id"), "batch_id").agg(F.array_sort(F.collect_list(F.struct("frame_index", one.alias("j")))).alias("all"))
     reply = F.concat(F.lit("```json\n["), F.array_join(F.transform("all", lambda x: x["j"]), ","), F.lit("]\n```"))
-    spread = rows.select("job_id", "batch_id", reply.alias("reply")).repartition(64, "job_id", "batch_id")  # replies take longer to parse than their bytes tell
-    return metrics.summary(replies.parse(spread))
+    spread = rows.select("job_id", "batch_id", reply.alias("reply"))
+    tasks = max(1, min(65_536, t("events").count() // 4000))  # replies take longer to parse than their bytes tell
+    return metrics.summary(replies.parse(spread.repartition(tasks, "job_id", "batch_id")))
 
 
 @query("SELECT event_id, cast(trunc(value) AS INTEGER) AS shown FROM events")
@@ -288,3 +289,25 @@ def archive_rollup(t):
 @query("""SELECT user_id, '{"total_frames":' || count(*) || ',"frames":[' || string_agg('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}', ',' ORDER BY event_id) || ']}' AS document FROM events GROUP BY user_id""")
 def document_json(t):
     return metrics.document(t("events").select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"])
+
+
+@query("""SELECT user_id, n AS place, CASE WHEN n = 0 THEN '{"total_frames":' || total || ',"frames":[' ELSE ',' END || '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' || CASE WHEN n = total - 1 THEN ']}' ELSE '' END AS text FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n, count(*) OVER (PARTITION BY user_id) AS total FROM events)""")
+def document_pieces(t):
+    return metrics.pieces(t("events").select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"])
+
+
+RECORD = "(conv_id * 7 + turn * 5) % 8"
+
+
+@query(f"""
+WITH r AS (SELECT conv_id, turn AS attempt, CASE {RECORD} WHEN 0 THEN 'usable' WHEN 1 THEN 'empty' WHEN 2 THEN 'broken' WHEN 4 THEN 'status' WHEN 5 THEN 'timeout' WHEN 6 THEN 'connection' ELSE 'limited' END AS outcome FROM conversations WHERE turn < 5),
+f AS (SELECT conv_id, coalesce(min(attempt) FILTER (outcome = 'usable'), 4) AS last FROM r GROUP BY conv_id)
+SELECT conv_id, attempt::INTEGER AS attempt, outcome, (CASE WHEN outcome = 'limited' THEN (attempt + 1) * 10 WHEN outcome IN ('timeout', 'connection') AND attempt < 4 THEN 5 ELSE 0 END)::INTEGER AS wait FROM r JOIN f USING (conv_id) WHERE attempt <= last
+""")
+def reply_retries(t):
+    """Every conversation as a batch, its turns as what was recorded of the attempts: the log that the rule of asking anew makes of them."""
+    kind = F.expr(RECORD)
+    body = F.when(kind == 0, F.concat(F.lit("```json\n["), c("conv_id").cast("string"), F.lit("]\n```"))).when(kind == 1, "[]").otherwise(c("text"))
+    status = F.when(kind < 3, attempts.ANSWERED).when(kind == 4, 500).when(kind.isin(3, 7), attempts.TOO_MANY)
+    recorded = t("conversations").select("conv_id", c("turn").alias("attempt"), status.alias("status"), body.alias("body"), F.when(kind == 5, "timeout").when(kind == 6, "connection").alias("fault"))
+    return attempts.replayed(recorded, ["conv_id"]).drop("body")

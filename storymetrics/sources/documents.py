@@ -16,6 +16,17 @@ def put(document: DataFrame, root: str, job_id: str, name: str = "metrics") -> N
     document.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{root}/{job_id}/{name}")
 
 
+def put_pieces(pieces: DataFrame, root: str, name: str = "metrics", key: str = "job_id") -> None:
+    """Writes documents in pieces (key, text and the columns that order it): a folder for each key, whose files follow each other by name.
+
+    Ranges of all pieces are dealt to tasks, so the files of a large document come from many of them; read one after the
+    other, they are the document, each piece on a line of its own. Documents of other keys stay.
+    """
+    order = [key, *(c for c in pieces.columns if c not in (key, "text"))]
+    placed = pieces.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed.select(key, "text").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).text(f"{root}/{name}")
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
