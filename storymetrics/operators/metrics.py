@@ -46,7 +46,7 @@ def counters(frames: DataFrame) -> DataFrame:
 
 
 def sent_counters(frames: DataFrame, batches: DataFrame, counted: DataFrame) -> DataFrame:
-    """counters() of every job that frames were sent for, with total_frames and unanswered_frames: those that no reply tells of."""
+    """counters() of every job that frames were sent for, with total_frames and unanswered_frames: those that no valid frame of a reply tells of."""
     key = ["job_id", "batch_id", "frame_index"]
     told = frames.where("is_valid").select(*key).distinct().withColumn("_told", F.lit(True))
     sent = batches.select(*key).join(told, key, "left").groupBy("job_id").agg(F.count("*").alias("_sent"), F.count_if(F.col("_told").isNull()).alias("_open"))

@@ -24,7 +24,7 @@ def run_replies(store: Store, answered: DataFrame, at: Column, batches: DataFram
     """Parses the replies of jobs, stores each job's final document, counters and invalid frames, completes the jobs; returns the counters.
 
     batches: the frames that were sent (job_id, batch_id, frame_index, filename); they name the frames of the replies, the
-    document's total_frames counts them, and unanswered_frames those of them that no reply tells of; a job whose batches
+    document's total_frames counts them, and unanswered_frames those of them that no valid frame of a reply tells of; a job whose batches
     all failed has a document too. Without them total_frames counts the frames that were answered.
     """
     since = scratch.written()

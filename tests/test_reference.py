@@ -205,7 +205,7 @@ def test_run_replies_stores_the_final_document(spark, tmp_path):
     assert [f["metadata"] for f in found["unique_metrics"]] == [{"language": "fa", "date_range": None, "content_type": "story"}, None, None]
     assert found["summary"] == {"views": {"max": 9, "min": 4, "avg": 6.5, "last": 4}} and type(found["summary"]["views"]["max"]) is int
     written = "".join(f.read_text() for f in sorted((tmp_path / "documents/metrics/job_id=a").glob("*.txt")))
-    assert json.loads(written) == found and (found["unanswered_frames"], written.count("\n")) == (1, 10)
+    assert json.loads(written) == found and (found["unanswered_frames"], written.count("\n")) == (2, 10)
     held = store.table("quarantine").orderBy("batch_id", "pos").collect()
     assert [(r["job_id"], r["batch_id"], r["pos"]) for r in held] == [("a", 0, 2), ("a", 1, 2), ("a", 1, 3)] and "many" in held[0]["raw"]
     rows = metrics.export_rows(store.table("jobs"), store.table("job_metrics"), metrics.stored_summaries(store.table("job_metrics"))).first()
