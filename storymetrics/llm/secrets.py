@@ -3,7 +3,9 @@
 The patterns give the base spans. The entropy method adds spans: a run of characters of one class (hexadecimal, upper
 case with digits, lower case with digits, base 64) of at least WINDOW characters is a candidate; a window of WINDOW characters moves over it
 with incremental counts (one character enters, one leaves, and the sum of n log2 n follows), and overlapping windows at
-or above the class's threshold merge to a span. Candidates that an allow-list explains (words without digits, UUIDs,
+or above the class's threshold merge to a span. A second sum over the window's neighbouring characters, kept the same way,
+tells words from random strings: pairs that words are made of count for, others, and changes between letters, digits and
+case inside a run, against; a window that is too much like words is not taken, so paths, slugs and names stay. Candidates that an allow-list explains (words without digits, UUIDs,
 those that placeholders leave too short, checksums named as such) are suppressed, and spans inside a base span are not repeated.
 
 Positions are code points, end exclusive. They come from the lengths of the pieces between matches and of the matches.
@@ -26,10 +28,18 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
 LEAST_VALUE = 6
-#: Characters of a window; class of characters, least entropy of a window in bits, what else a candidate must hold.
-#: Of random windows 3 % over 36 characters lie below 3.5 bits and 0.5 % over 64 characters below 3.6.
+#: Characters of a window; class of characters, least entropy of a window in bits, what else a candidate must hold, and the
+#: most that a window may be like words (none: not asked). Chosen on random strings and on identifiers, paths and slugs:
+#: see the README for what is missed and what is masked in vain.
 WINDOW = 20
-CLASSES = (("[0-9a-f]", 3.0, "[0-9]"), ("[A-Z0-9]", 3.5, "[0-9]"), ("[a-z0-9]", 3.5, "[0-9]"), ("[A-Za-z0-9+/_=-]", 3.6, "[0-9]"))
+CLASSES = (("[0-9a-f]", 3.0, "[0-9]", None), ("[A-Z0-9]", 3.5, "[0-9]", -16), ("[a-z0-9]", 3.5, "[0-9]", -30), ("[A-Za-z0-9+/_=-]", 3.6, "", -36))
+#: Fixed value: the commonest pairs of letters in English words.
+PAIRS = (
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur"
+    " ec el la ta et ac ho un us di pe tr no lo em ad ge po id ul il am pr ss im ig ut ct ca ot"
+)
+#: What a pair of neighbours counts: a common and another pair of letters, a capital after a small letter, two digits, a digit and a letter.
+COMMON, RARE, RISE, DIGITS, MIXED = 5, -2, -7, 2, -7
 #: Candidates that are no secrets; words that don't count, so that what is left must still fill a window; and what stands
 #: before a candidate that is none.
 ALLOWED = r"EXAMPLE(?:KEY)?$|^[0-9_=-]+$|(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
@@ -94,16 +104,34 @@ def weight(n: Column) -> Column:
     return F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
 
-def hot(candidate: Column, least: float, window: int = WINDOW) -> Column:
-    """The merged windows of a candidate whose entropy is `least` bits or more, as (start, end) in the candidate.
+def likeness(chars: Column, n: Column) -> Column:
+    """What each character and the one before it count for being words; 0 for the first one and beside separators."""
+    follow = F.array(*(F.lit("".join(p[1] for p in PAIRS.split() if p[0] == chr(97 + i))) for i in range(26)))
+
+    def count(i: Column) -> Column:
+        a, b = F.get(chars, i - 1), F.get(chars, i)
+        of = lambda low, high: (lambda c: (c >= low) & (c <= high))
+        small, large, digit = of("a", "z"), of("A", "Z"), of("0", "9")
+        letter = lambda c: small(c) | large(c)
+        known = F.contains(F.get(follow, F.ascii(F.lower(a)) - 97), b)
+        both = F.when(small(b) & letter(a), F.when(known, COMMON).otherwise(RARE)).when(small(a) & large(b), RISE)
+        return F.when(i == 0, 0).otherwise(both.when(digit(a) & digit(b), DIGITS).when(digit(a) & letter(b) | digit(b) & letter(a), MIXED).otherwise(0))
+
+    return F.transform(F.sequence(F.lit(0), n - 1), count)
+
+
+def hot(candidate: Column, least: float, most: int | None = None, window: int = WINDOW) -> Column:
+    """The merged windows of a candidate whose entropy is `least` bits or more and that are like words by `most` at most, as (start, end).
 
     Windows hold `window` characters; entropy = log2(window) - sum(n log2 n) / window over the counts n.
     """
-    return bound(F.split(candidate, "", -1), lambda chars: hot_chars(chars, F.length(candidate), least, window))
+    n = F.length(candidate)
+    words = lambda chars: F.array_repeat(F.lit(0), n) if most is None else likeness(chars, n)
+    return bound(F.split(candidate, "", -1), lambda chars: bound(words(chars), lambda like: hot_chars(chars, like, n, least, most, window)))
 
 
-def hot_chars(chars: Column, n: Column, least: float, window: int) -> Column:
-    empty = F.expr("named_struct('n', cast(map() as map<string,int>), 'sum', 0.0D, 'out', cast(array() as array<struct<start:int,end:int>>))")
+def hot_chars(chars: Column, like: Column, n: Column, least: float, most: int | None, window: int) -> Column:
+    empty = F.expr("named_struct('n', cast(map() as map<string,int>), 'sum', 0.0D, 'like', 0, 'out', cast(array() as array<struct<start:int,end:int>>))")
 
     def step(acc: Column, i: Column) -> Column:
         new, old = F.get(chars, i), F.get(chars, i - window)
@@ -111,6 +139,7 @@ def hot_chars(chars: Column, n: Column, least: float, window: int) -> Column:
         put = lambda m, c, n: F.map_concat(F.map_filter(m, lambda k, _: k != c), F.when(n > 0, F.create_map(c, n)).otherwise(F.expr("cast(map() as map<string,int>)")))
         more = count(acc["n"], new)
         entered = F.struct(put(acc["n"], new, more + 1).alias("n"), (acc["sum"] - weight(more) + weight(more + 1)).alias("sum"))
+        inside = acc["like"] + F.get(like, i) - F.when(i >= window - 1, F.get(like, i - window + 1)).otherwise(0)  # of the pairs that lie whole in the window
 
         def leave(e: Column) -> Column:
             less = count(e["n"], old)
@@ -119,11 +148,12 @@ def hot_chars(chars: Column, n: Column, least: float, window: int) -> Column:
         def judge(e: Column) -> Column:
             bits = F.lit(float(window)).cast("double")
             high = (i >= window - 1) & (F.log2(bits) - e["sum"] / bits >= least)
+            high = high if most is None else high & (inside <= most)
             last = F.try_element_at(acc["out"], F.lit(-1))
             touching = F.coalesce(last["end"] >= i - window + 1, F.lit(False))
             one = F.array(F.struct(F.when(touching, last["start"]).otherwise(i - window + 1).alias("start"), (i + 1).alias("end")))
             kept = F.when(touching, F.slice(acc["out"], F.lit(1), F.greatest(F.size(acc["out"]) - 1, F.lit(0)))).otherwise(acc["out"])
-            return F.struct(e["n"].alias("n"), e["sum"].alias("sum"), F.when(high, F.concat(kept, one)).otherwise(acc["out"]).alias("out"))
+            return F.struct(e["n"].alias("n"), e["sum"].alias("sum"), inside.alias("like"), F.when(high, F.concat(kept, one)).otherwise(acc["out"]).alias("out"))
 
         with_left = F.transform(F.array(entered), lambda e: F.when(i >= window, leave(e)).otherwise(e))
         return F.get(F.transform(with_left, judge), F.lit(0))
@@ -131,7 +161,7 @@ def hot_chars(chars: Column, n: Column, least: float, window: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), empty, step, lambda acc: acc["out"])
 
 
-def class_spans(text: Column, chars: str, least: float, needed: str, window: int) -> Column:
+def class_spans(text: Column, chars: str, least: float, needed: str, most: int | None, window: int) -> Column:
     """The entropy spans of candidates of one class of characters."""
     beside = "[A-Za-z0-9]"
     candidates = F.filter(
@@ -141,7 +171,7 @@ def class_spans(text: Column, chars: str, least: float, needed: str, window: int
 
     def placed(x: Column) -> Column:
         kind = F.lit(KINDS.index("entropy")).alias("kind")
-        return F.transform(hot(x["value"], least, window), lambda h: F.struct((x["start"] + h["start"]).alias("start"), kind, (x["start"] + h["end"]).alias("end")))
+        return F.transform(hot(x["value"], least, most, window), lambda h: F.struct((x["start"] + h["start"]).alias("start"), kind, (x["start"] + h["end"]).alias("end")))
 
     return F.flatten(F.transform(candidates, placed))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from storymetrics.llm import common, langid, lattice, minhash, ngram_join, packing, secrets, substring, suite, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
-CLASSES = [("[0-9a-f]", 3.0), ("[A-Z0-9]", 3.5), ("[a-z0-9]", 3.5), ("[A-Za-z0-9+/_=-]", 3.6)]
+CLASSES = [("[0-9a-f]", 3.0, 99, True), ("[A-Z0-9]", 3.5, -16, True), ("[a-z0-9]", 3.5, -30, True), ("[A-Za-z0-9+/_=-]", 3.6, -36, False)]
 
 
 @pytest.mark.parametrize("name", sorted(suite.ORACLE_SQL))
@@ -32,6 +32,17 @@ def entropy(window):
     return -sum(n / len(window) * math.log2(n / len(window)) for n in Counter(window).values())
 
 
+def wordy(window):
+    """How much a window is like words, by its pairs one after the other."""
+    total = 0
+    for a, b in zip(window, window[1:]):
+        kinds = "".join("l" if c.islower() else "U" if c.isupper() else "d" if c.isdigit() else "-" for c in (a, b))
+        if kinds in ("ll", "Ul"):
+            total += 5 if (a + b).lower() in secrets.PAIRS.split() else -2
+        total += {"lU": -7, "dd": 2, "dl": -7, "dU": -7, "ld": -7, "Ud": -7}.get(kinds, 0)
+    return total
+
+
 def scanned(text):
     """The base spans and the added ones, by finditer and by the entropy of every window anew."""
     assign = [m for m in re.finditer(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[1]) >= 6]
@@ -39,16 +50,16 @@ def scanned(text):
     base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
     added = set()
-    for chars, least in CLASSES:
+    for chars, least, most, digit in CLASSES:
         for m in re.finditer(rf"(?<![A-Za-z0-9]){chars}{{20,}}+(?![A-Za-z0-9])", text):
             short = len(re.sub(r"example|sample|placeholder|changeme|x{4,}|01234567|12345678|abcdefgh", "", m[0], flags=re.I)) < 20
             plain = re.search(r"EXAMPLE(?:KEY)?$|^[0-9_=-]+$", m[0]) or re.search(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", m[0], re.I)
             named = re.search(r"(?:sha-?(?:1|256|384|512)|md5|checksum|digest|commit|etag)[^A-Za-z0-9]{0,3}$", text[: m.start()][-16:], re.I)
-            if short or plain or named or not re.search("[0-9]", m[0]):
+            if short or plain or named or digit and not re.search("[0-9]", m[0]):
                 continue
             merged = []
             for i in range(len(m[0]) - 19):
-                if entropy(m[0][i : i + 20]) >= least - 1e-12:
+                if entropy(m[0][i : i + 20]) >= least - 1e-12 and (most == 99 or wordy(m[0][i : i + 20]) <= most):
                     if merged and merged[-1][1] >= i:
                         merged[-1][1] = i + 20
                     else:
