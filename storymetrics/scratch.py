@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
-_written: list[str] = []
+_written: dict[str, int] = {}  # path: which of all tables it was
+_count = itertools.count()
+_readers: dict[str, object] = {}
 #: Rows of ids (8 or 16 bytes each) up to which a side of a join is broadcast.
 BROADCAST_ROWS = 2_000_000
 
@@ -27,7 +30,8 @@ def scratch(spark: SparkSession) -> str:
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
+    """A new path in the shared folder, from which what nothing reads any more goes first."""
+    sweep(spark)
     return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -35,14 +39,31 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder: its lineage is cut, and it outlives any executor."""
     path = place(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return owned(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def owned(table: DataFrame, path: str) -> DataFrame:
+    """A table over files of our own: they stay for as long as anything can read it, see sweep()."""
+    leaf = table._jdf.queryExecution().analyzed().collectLeaves().head()
+    _readers[path] = table.sparkSession._jvm.java.lang.ref.WeakReference(leaf.relation().location())
+    _written[path] = next(_count)
+    return table
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes the tables that no data frame reads any more, neither one that was returned nor one derived from it.
+
+    The list of a table's files is part of every plan over it; once the JVM has collected it, there is no such plan.
+    """
+    for path in [p for p in _written if p in _readers and _readers[p].get() is None]:
+        delete(spark, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder that saved() made, and nothing outside the shared folder."""
     if path in _written:
-        _written.remove(path)
+        del _written[path]
+        _readers.pop(path, None)
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
@@ -57,22 +78,28 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def written() -> int:
-    """How many tables that saved() made are there."""
-    return len(_written)
+    """A mark between the tables that saved() has made so far and those to come."""
+    return next(_count)
 
 
 def written_since(n: int) -> list[str]:
-    return _written[n:]
+    """The tables that were made after a mark and are still there."""
+    return [path for path, k in _written.items() if k > n]
 
 
 def alone(df: DataFrame, name: str, since: int) -> DataFrame:
-    """saved(df), after which all tables that saved() made from number `since` (of written()) on are deleted."""
+    """saved(df), after which all other tables that saved() made after the mark `since` (of written()) are deleted."""
     out = saved(df, name)
-    for path in _written[since:-1]:
-        delete(df.sparkSession, path)
+    for path in written_since(since):
+        if path != _path(out):
+            delete(df.sparkSession, path)
     return out
 
 
+def _path(table: DataFrame) -> str:
+    return next(p for p in _written if p.rsplit("/", 1)[-1] == table._jdf.queryExecution().analyzed().collectLeaves().head().relation().location().rootPaths().head().getName())
+
+
 def sided(table: DataFrame) -> DataFrame:
     """A written table of ids as the smaller side of a join: it is broadcast only up to BROADCAST_ROWS rows."""
     few = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
