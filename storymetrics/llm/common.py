@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import BROADCAST_ROWS, alone, delete, dropped, place, saved, scratch, sided, written, written_since  # noqa: F401
+from ..scratch import BROADCAST_ROWS, alone, delete, dropped, owned, place, saved, scratch, sided, sweep, written, written_since  # noqa: F401
 
 
 def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
@@ -21,7 +21,7 @@ def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
     out = df.sparkSession.table(known)
     out.schema  # noqa: B018 - resolves the table, after which the files are read by their paths
     df.sparkSession.sql(f"DROP TABLE {known}")
-    return out
+    return owned(out, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

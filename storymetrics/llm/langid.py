@@ -4,10 +4,11 @@ Text: a naive Bayes model over hashed byte trigrams (letters folded), fitted on
 texts per language, of at most SAMPLE_CHARS characters); log likelihoods are tempered, since neighbouring trigrams depend on
 each other. Markup: the declared language. Address: the last label of the host name. Host: a prior for each host that
 is smoothed towards its domain's, which is smoothed towards all rows'. Declared languages, suffixes and priors are
-counted over all other rows by grouped aggregation of the text posteriors; languages are few, so each row carries one number
-per language. What has no evidence of a kind (null) is judged without it.
+counted over all other rows by grouped aggregation of the text posteriors. A row carries its posteriors as one array, and
+arrays are fused element by element, so plans don't grow with the number of languages. What has no evidence of a kind
+(null) is judged without it.
 
-Defined results: null and empty texts, and those without letters, have only the other evidence; without any row of a
+Defined results: of equally likely languages the last one in the alphabet is taken; null and empty texts, and those without letters, have only the other evidence; without any row of a
 known language the result has null languages with confidence 0; equal rows get equal results; an empty table gives an
 empty result; extra columns are left out.
 """
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, text
 
@@ -29,6 +31,10 @@ BUCKETS, TEMPER, SMOOTHING = 1 << 15, 8.0, 0.5
 #: Rows' worth of weight of the domain's prior in a host's, and of the global prior in a domain's.
 HOST_WEIGHT, DOMAIN_WEIGHT = 20.0, 20.0
 LEAST_CONFIDENCE = 0.5
+#: Posteriors below this count as none, so that sums over rows only add up the languages that a text may be in.
+LEAST_SHARE = 1e-12
+#: Floats that are added up at once.
+CELLS = 1 << 22
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -92,62 +98,69 @@ def fit(labelled: DataFrame) -> Model:
 
 
 def likelihoods(rows: DataFrame, model: Model, *more: str) -> DataFrame:
-    """text -> p0, p1, ...: the posterior of each language from the text alone under equal priors (null without letters)."""
-    names = [f"p{k}" for k in range(len(model.languages))]
+    """text -> p: the posteriors of all languages from the text alone under equal priors (null without letters)."""
     kept = rows.select(*more, "text")
-    schema = kept.drop("text").schema
-    for n in names:
-        schema = schema.add(n, "double")
-    out, shared = common.arrow_schema(schema), rows.sparkSession.sparkContext.broadcast(model.log_p)
+    schema = kept.drop("text").schema.add("p", T.ArrayType(T.DoubleType()))
+    out, shared, k = common.arrow_schema(schema), rows.sparkSession.sparkContext.broadcast(model.log_p), len(model.languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, data, offsets in text.runs(b.column(len(more))):
+            for first, data, offsets in text.runs(b.column(len(more)), max(1 << 14, text.RUN_BYTES * 4 // max(4, k))):
                 n = len(offsets) - 1
                 row, bucket = trigrams(data, offsets)
-                total = np.zeros((n, len(names)))
+                total = np.zeros((n, k))
                 seen = np.bincount(row, minlength=n) > 0
-                if len(row):
-                    start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                    total[row[start]] = np.add.reduceat(shared.value[bucket], start, axis=0, dtype=np.float64)
+                for i in range(0, len(row), max(1, CELLS // k)):
+                    some = row[i : i + max(1, CELLS // k)]
+                    start = np.flatnonzero(np.append(True, some[1:] != some[:-1]))
+                    total[some[start]] += np.add.reduceat(shared.value[bucket[i : i + len(some)]], start, axis=0, dtype=np.float64)
                 p = np.exp((total - total.max(axis=1, keepdims=True, initial=-np.inf)) / TEMPER)
                 p /= p.sum(axis=1, keepdims=True)
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(first, n) for i in range(len(more))), *(pa.array(p[:, k], pa.float64(), mask=~seen) for k in range(len(names)))], schema=out)
+                p[p < LEAST_SHARE] = 0.0
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(p.ravel()), mask=pa.array(~seen))
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(first, n) for i in range(len(more))), listed], schema=out)
 
     return kept.mapInArrow(run, schema)
 
 
+def sums(base: DataFrame, by: str, k: int) -> DataFrame:
+    """(by, <by>_p): the posteriors of all rows with a value added up; only shares that aren't 0 are shuffled, summed before they are."""
+    held = base.where(F.col("p").isNotNull() & F.col(by).isNotNull()).select(by, F.posexplode("p").alias("at", "share")).where("share > 0")
+    one = held.groupBy(by, "at").agg(F.sum("share").alias("share"))
+    listed = one.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("at", "share"))).alias("_all"))  # one entry a language at most
+    return listed.select(by, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.try_element_at("_all", i), F.lit(0.0))).alias(f"{by}_p"))
+
+
 def identify(rows: DataFrame, model: Model, *more: str) -> DataFrame:
     """`more`, language, confidence; rows: text, declared, suffix, host, domain (any of them null)."""
-    k = len(model.languages)
+    k, kinds = len(model.languages), ("declared", "suffix", "domain", "host")
     if not k:
         return rows.select(*more, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"))
-    p = [f"p{i}" for i in range(k)]
-    base = common.saved(likelihoods(rows, model, *more, "declared", "suffix", "host", "domain"), "likelihoods")
-    sums = lambda by: base.where(F.col(p[0]).isNotNull() & F.col(by).isNotNull()).groupBy(by).agg(*(F.sum(c).alias(f"{by}_{c}") for c in p))
-    total = base.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in p)).first()
-    every = [(total[c] + 1) / (sum(total) + k) for c in p]
+    base = common.saved(likelihoods(rows, model, *more, *kinds), "likelihoods")
+    total = {r["at"]: r["share"] for r in base.select(F.posexplode("p").alias("at", "share")).groupBy("at").agg(F.sum("share").alias("share")).collect()}  # one row a language
+    shares = [(total.get(i, 0.0) + 1) / (sum(total.values()) + k) for i in range(k)]
+    every, none = F.lit(shares), F.array_repeat(F.lit(0.0), k)
+    plus = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
     out = base
-    for by in ("declared", "suffix", "domain", "host"):
+    for by in kinds:
         apart = F.coalesce(by, F.concat(F.lit("\0"), F.xxhash64(*more).cast("string")))  # rows without a value match nothing, and are spread
-        out = out.withColumn("_key", apart).join(sums(by).withColumnRenamed(by, "_key"), "_key", "left").drop("_key")
-
-    def known(by: str, c: str) -> Column:
-        """Of the other rows with the same value: a row is no evidence for itself."""
-        own = F.when(F.col(by).isNotNull(), F.coalesce(c, F.lit(0.0))).otherwise(F.lit(0.0))
-        return F.greatest(F.coalesce(f"{by}_{c}", F.lit(0.0)) - own, F.lit(0.0))
-
-    def given(by: str, i: int) -> Column:
-        """How much likelier the value is with the language than without evidence: smoothed P(value | language) / P(value)."""
-        rows_of = sum(known(by, c) for c in p)
-        return F.when(F.col(by).isNull(), F.lit(1.0)).otherwise((known(by, p[i]) + SMOOTHING * every[i]) / (every[i] * (rows_of + SMOOTHING)))
-
-    def prior(i: int) -> Column:
-        of_domain = (known("domain", p[i]) + DOMAIN_WEIGHT * every[i]) / (sum(known("domain", c) for c in p) + DOMAIN_WEIGHT)
-        return (known("host", p[i]) + HOST_WEIGHT * of_domain) / (sum(known("host", c) for c in p) + HOST_WEIGHT)
-
-    weight = [F.log(F.coalesce(F.col(p[i]), F.lit(1.0 / k)) + 1e-12) + F.log(given("declared", i)) + F.log(given("suffix", i)) + F.log(prior(i)) for i in range(k)]
-    out = out.select(*more, F.array(*(F.struct(w.alias("weight"), F.lit(lang).alias("language")) for w, lang in zip(weight, model.languages))).alias("all"))
+        out = out.withColumn("_key", apart).join(sums(base, by, k).withColumnRenamed(by, "_key"), "_key", "left").drop("_key")
+        # of the other rows with the same value: a row is no evidence for itself
+        own = F.when(F.col(by).isNotNull(), F.coalesce("p", none)).otherwise(none)
+        out = out.withColumn(f"{by}_p", F.zip_with(F.coalesce(f"{by}_p", none), own, lambda s, o: F.greatest(s - o, F.lit(0.0))))
+
+    def given(by: str) -> Column:
+        """How much likelier the value is with each language than without evidence, in logs: smoothed P(value | language) / P(value)."""
+        count = plus(F.col(f"{by}_p"))
+        return F.when(F.col(by).isNull(), none).otherwise(F.zip_with(f"{by}_p", every, lambda n, e: F.log((n + SMOOTHING * e) / (e * (count + SMOOTHING)))))
+
+    domains, hosts = plus(F.col("domain_p")), plus(F.col("host_p"))
+    out = out.withColumn("_domain", F.zip_with("domain_p", every, lambda n, e: (n + DOMAIN_WEIGHT * e) / (domains + DOMAIN_WEIGHT)))
+    prior = F.zip_with("host_p", "_domain", lambda n, d: F.log((n + HOST_WEIGHT * d) / (hosts + HOST_WEIGHT)))
+    told = F.transform(F.coalesce("p", F.array_repeat(F.lit(1.0 / k), k)), lambda x: F.log(x + 1e-12))
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    weight = add(add(add(told, given("declared")), given("suffix")), prior)
+    out = out.select(*more, F.zip_with(weight, F.lit(model.languages), lambda w, lang: F.struct(w.alias("weight"), lang.alias("language"))).alias("all"))
     best = F.array_max("all")
     share = 1 / F.aggregate("all", F.lit(0.0), lambda acc, x: acc + F.exp(x["weight"] - best["weight"]))
     return out.select(*more, best["language"].alias("language"), share.alias("confidence"))

@@ -160,7 +160,7 @@ def test_language_fusion_equals_brute_force(spark):
     pick = lambda *x: x[int(r.integers(len(x)))]
     rows = [(i, pick(*texts, None, "123", ""), pick("en", "de", None), pick("com", "de", None), pick("a.com", "b.de", "c.de", None), pick("com", "b.de", None)) for i in range(80)]
     table = spark.createDataFrame(rows, "id long, text string, declared string, suffix string, host string, domain string")
-    p = {x["id"]: [x[f"p{k}"] for k in range(3)] for x in langid.likelihoods(table, model, "id").collect()}
+    p = {x["id"]: x["p"] or [None] * 3 for x in langid.likelihoods(table, model, "id").collect()}
     total = [sum(x[k] for x in p.values() if x[0] is not None) for k in range(3)]
     every = [(t + 1) / (sum(total) + 3) for t in total]
     got = {x["id"]: x for x in langid.identify(table, model, "id").collect()}
@@ -302,3 +302,48 @@ def test_substring_keeps_untouched_texts(spark):
 def test_near_duplicates_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(docs).count() == 0 and ngram_join.representatives(docs).count() == 0 and toxicity.fit(docs, docs.selectExpr("doc_id", "1 AS toxic")).rate == 0
+
+
+def test_two_hundred_languages_are_planned_at_once(spark):
+    import time
+
+    languages = [f"l{k:03d}" for k in range(200)]
+    rows = spark.createDataFrame([(i, f"{lang} words of {chr(97 + i % 26) * 3}{chr(97 + i // 26) * 3} only", lang, f"h{i % 7}", None, f"d{i % 5}", "tld") for i, lang in enumerate(languages)], "id long, text string, lang string, host string, declared string, domain string, suffix string").repartition(4)
+    model = langid.fit(rows)
+    began = time.time()
+    out = langid.identify(rows, model, "id")
+    out._jdf.queryExecution().executedPlan()
+    assert len(model.languages) == 200 and time.time() - began < 15  # with the pass over the texts; a plan that grows with the square takes hours
+    found = {r["id"]: r["language"] for r in out.collect()}
+    assert sum(found[i] == lang for i, lang in enumerate(languages)) > 150
+
+
+def test_language_query_by_its_parts(spark):
+    pages = langid.page_evidence(common.table(spark, SF, "pages"))
+    got = {r["page_id"]: (r["language"], r["confidence"]) for r in suite.QUERIES["op6_language_id"](spark, SF).collect()}
+    model = langid.fit(common.table(spark, SF, "documents"))
+    p = {r["page_id"]: r for r in langid.likelihoods(pages, model, "page_id", "declared", "suffix", "domain", "host").collect()}
+    k = len(model.languages)
+    own = {i: np.array(r["p"] or [0.0] * k) for i, r in p.items()}
+    total = sum(own.values()) + 1
+    every = total / total.sum()
+    for i, r in p.items():
+        known = {c: sum((own[j] for j, o in p.items() if j != i and o[c] == r[c]), np.zeros(k)) if r[c] is not None else np.zeros(k) for c in ("declared", "suffix", "domain", "host")}
+        given = lambda c: (known[c] + 0.5 * every) / (every * (known[c].sum() + 0.5)) if r[c] is not None else np.ones(k)  # noqa: B023, E731
+        domain = (known["domain"] + 20 * every) / (known["domain"].sum() + 20)
+        prior = (known["host"] + 20 * domain) / (known["host"].sum() + 20)
+        w = np.log(np.array(r["p"] or [1 / k] * k) + 1e-12) + np.log(given("declared")) + np.log(given("suffix")) + np.log(prior)
+        best = max(range(k), key=lambda j: (w[j], model.languages[j]))  # noqa: B023
+        assert got[i][0] == model.languages[best] and abs(got[i][1] - 1 / np.exp(w - w[best]).sum()) < 1e-9
+    assert len(got) == len(p)
+
+
+def test_a_stage_called_twice_leaves_both_results_whole(spark):
+    import corpus_pipeline
+
+    docs = common.table(spark, SF, "documents")
+    first = corpus_pipeline.language_id(spark, docs, SF)
+    again = corpus_pipeline.language_id(spark, docs, SF).where("doc_id >= 0")
+    common.sweep(spark)
+    third = corpus_pipeline.ngram_jaccard_join(spark, docs, SF)
+    assert first.count() == again.count() > 0 and third.count() > 0
