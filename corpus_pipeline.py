@@ -1,13 +1,13 @@
 """A corpus pipeline: language ID, n-gram Jaccard join, substring dedup, secret scans and best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and returns documents (doc_id, text, lang, source, n_chars) for the next one, the
-last one the packed pieces. A stage's result is written as Parquet in the shared folder and read again.
+last one the packed pieces. A stage's result is written as Parquet in the shared folder and read again. The tables that
+a stage writes for itself belong to its result: they go once no data frame reads them any more (`scratch.sweep`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -16,35 +16,17 @@ from pyspark.sql import functions as F
 from storymetrics.llm import common, langid, ngram_join, packing, secrets, substring
 
 MORE = ("lang", "source")
-_left: list[str] = []
-
-
-def stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage, before which the tables that the stage before wrote for itself go: its result has been written by then."""
-
-    @wraps(function)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for path in _left:
-            common.delete(spark, path)
-        since = common.written()
-        out = function(spark, docs, sf_dir)
-        _left[:] = common.written_since(since)
-        return out
-
-    return run_stage
 
 
 def documents(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
-@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters (null and empty texts too) or of unclear language go; a document at the bar stays."""
     return langid.accepted(docs).select("doc_id", "text", "lang", "source", "n_chars")
 
 
-@stage
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8 and above) the document with the smallest doc_id stays.
 
@@ -53,19 +35,16 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return ngram_join.representatives(docs, 5, 80)
 
 
-@stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in 50-word windows that stand in an earlier document go; texts that lose nothing stay as they are (null: empty)."""
     return documents(substring.dedup(docs, more=MORE, rejoin=False).withColumnRenamed("kept", "text"))
 
 
-@stage
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; no document goes (null texts become empty)."""
     return documents(secrets.redact(docs, MORE))
 
 
-@stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces, an empty one's too, and their places in the sequences."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
