@@ -2,9 +2,10 @@
 
 Tokenising is one narrow pass. All that meets on the driver is the histogram of piece lengths, which has at most
 `capacity` entries whatever the corpus: a configuration (a multiset of lengths that fits one sequence) gets a
-fractional multiplicity from a covering linear program, which starts from the configurations of best fit and is improved
-by multiplicative weights whose pricing problem is an unbounded knapsack over `capacity` cells; the multiplicities are
-rounded, and what the rounding leaves is placed by best fit. The plan is a list of runs (length, first rank, how many, first sequence, offset), a few thousand rows at most; each piece
+fractional multiplicity from a covering linear program, which is solved from nothing by multiplicative weights whose
+pricing problem is an unbounded knapsack over `capacity` cells. The multiplicities are rounded, what the rounding leaves
+is a smaller histogram that goes through the program again, and best fit places the last pieces, a few hundred at most. For some
+hundred pieces in all rounding can cost more than best fit loses; then best fit's plan is taken, and logged. The plan is a list of runs (length, first rank, how many, first sequence, offset), a few thousand rows at most; each piece
 finds its place by its rank among the pieces of its length.
 
 Defined results: a null text is empty; an empty text is one piece holding the end id; equal rows are packed
@@ -14,6 +15,7 @@ separately; an empty table gives an empty result; extra columns are left out.
 from __future__ import annotations
 
 import json
+import logging
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -29,10 +31,13 @@ from . import common
 
 CAPACITY, END_ID = 1024, 2
 #: Rounds of multiplicative weights; how much of a length's rest a round may cover; how strongly a covered length loses
-#: weight; how much more a longer piece is worth for its size; the share of the length (or of the bound) that counts as none.
-ROUNDS, RATE, SLOPE, FULLER, SETTLED = 120, 0.5, 0.3, 0.1, 1e-4
-#: How often, and for which share of the full configurations, the program looks for a cheaper cover.
-TRIALS, SHARE = 4, 0.2
+#: weight (both are tried); how much more a longer piece is worth for its size; the share of the length that counts as none.
+ROUNDS, RATE, SLOPES, FULLER, SETTLED = 120, 0.5, (0.3, 0.05), 0.1, 1e-4
+#: How often the program covers a part of its solution anew, and which share of the full configurations at first.
+TRIALS, SHARE = 3, 0.3
+#: How often what rounding leaves is put through the program, and pieces that are left to best fit.
+DIVES, FEW = 12, 48
+LOG = logging.getLogger(__name__)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -94,16 +99,14 @@ def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
     value[s]: of one piece of length s, 0 if there is none.
     """
-    sizes = np.flatnonzero(value[: capacity + 1] > 0)
-    gains, reach = value[sizes], np.searchsorted(sizes, np.arange(capacity + 1), "right")
+    worth = np.where(value[: capacity + 1] > 0, value[: capacity + 1], -np.inf)[1:]
     best, taken = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for c in range(1, capacity + 1):
-        best[c], k = best[c - 1], reach[c]
-        if k:
-            gain = gains[:k] + best[c - sizes[:k]]
-            i = int(gain.argmax())
-            if gain[i] > best[c] + 1e-15:
-                best[c], taken[c] = gain[i], sizes[i]
+        gain = worth[:c] + best[c - 1 :: -1]  # by the length that is taken first, 1 to c
+        i = int(gain.argmax())
+        best[c] = best[c - 1]
+        if gain[i] > best[c] + 1e-15:
+            best[c], taken[c] = gain[i], i + 1
     return best, taken
 
 
@@ -119,21 +122,23 @@ def filled(taken: np.ndarray, first: int, capacity: int) -> Counter:
     return out
 
 
-def covered(demand: np.ndarray, capacity: int) -> dict[tuple[int, ...], float]:
-    """Multiplicities of configurations that cover demand[s] pieces of each length s, by multiplicative weights.
+def covered(demand: np.ndarray, capacity: int, slope: float) -> tuple[dict[tuple[int, ...], float], float]:
+    """Multiplicities of configurations that cover demand[s] pieces of each length s, by multiplicative weights, and a bound.
 
     A length's price is its size times a weight that falls exponentially with the share of its demand that is covered.
     One knapsack table prices, for every length, the best configuration that holds it; from the most valuable on, each is
     taken as often as leaves (1 - RATE) of what every length in it needed when the round began. The little that is left
-    after ROUNDS is covered by configurations of one length.
+    after ROUNDS is covered by configurations of one length. Prices divided by what the best configuration is worth are
+    dual feasible, so the demand at these prices is below every cover: the best of all rounds is the bound.
     """
-    size, left, out = np.arange(capacity + 1), demand.copy(), defaultdict(float)
+    size, left, out, bound = np.arange(capacity + 1), demand.copy(), defaultdict(float), float(demand @ np.arange(capacity + 1)) / capacity
     for _ in range(ROUNDS):
         if left @ size <= SETTLED * (demand @ size):
             break
         live = left > 1e-9 * demand
-        value = np.where(live, size * (1 + FULLER * size / capacity) * np.exp(SLOPE * (left / np.maximum(demand, 1e-300) - 1)), 0.0)
+        value = np.where(live, size * (1 + FULLER * size / capacity) * np.exp(slope * (left / np.maximum(demand, 1e-300) - 1)), 0.0)
         best, taken = knapsack(value, capacity)
+        bound = max(bound, float(demand @ value) / best[capacity])
         floor = (1 - RATE) * left
         lengths = np.flatnonzero(live)
         for s in lengths[np.argsort(-(value[lengths] + best[capacity - lengths]), kind="stable")].tolist():
@@ -145,22 +150,22 @@ def covered(demand: np.ndarray, capacity: int) -> dict[tuple[int, ...], float]:
                 left[which] -= uses * amount
     for s in np.flatnonzero(left > 0).tolist():
         out[(s,) * (capacity // s)] += left[s] / (capacity // s)
-    return out
+    return out, bound
 
 
-def fractional(histogram: dict[int, int], capacity: int) -> tuple[dict[tuple[int, ...], float], float]:
-    """A near-optimal solution of the configuration program, and the dual bound below every solution.
+def fractional(histogram: dict[int, int], capacity: int, trials: int = TRIALS, slopes: tuple[float, ...] = SLOPES) -> tuple[dict[tuple[int, ...], float], float]:
+    """A near-optimal solution of the configuration program, made of priced configurations only, and a bound below every solution.
 
-    Prices of size / capacity give no configuration more than 1, so they are dual feasible: the bound is the total length
-    over the capacity. The program starts from the columns of best fit, and SHARE of all full configurations and all of
-    those with room to spare are covered anew by multiplicative weights; a cheaper cover is kept, else the share halves.
+    The whole histogram is covered with each of the slopes. Of the cheaper solution, a share of all full configurations and all
+    of those with room to spare are then covered anew, `trials` times; a cheaper cover is kept, else the share halves.
     """
-    bound = sum(s * n for s, n in histogram.items()) / capacity
-    now: dict[tuple[int, ...], float] = defaultdict(float)
-    for config, n in best_fit(histogram, capacity):
-        now[tuple(sorted(config))] += n
-    share = SHARE
-    for _ in range(TRIALS):
+    demand = np.zeros(capacity + 1)
+    for s, n in histogram.items():
+        demand[s] = n
+    found = [(*covered(demand, capacity, slope), slope) for slope in slopes]
+    now, _, slope = min(found, key=lambda x: sum(x[0].values()))
+    bound, share = max(b for _, b, _ in found), SHARE
+    for _ in range(trials):
         if sum(now.values()) <= (1 + SETTLED) * bound:
             break
         kept, demand = defaultdict(float), np.zeros(capacity + 1)
@@ -169,7 +174,7 @@ def fractional(histogram: dict[int, int], capacity: int) -> tuple[dict[tuple[int
             kept[config] += x - free
             for s in config:
                 demand[s] += free
-        anew = covered(demand, capacity)
+        anew, _ = covered(demand, capacity, slope)
         if sum(kept.values()) + sum(anew.values()) < sum(now.values()):
             for config, x in anew.items():
                 kept[config] += x
@@ -214,19 +219,40 @@ def rounded(solution: dict[tuple[int, ...], float], histogram: dict[int, int], c
     return list(out.items()), {s: n for s, n in rest.items() if n > 0}
 
 
+def dived(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """Priced configurations with whole multiplicities, and the pieces that they leave, a few hundred at most.
+
+    The program is solved and rounded, and what the rounding leaves is the next one's histogram, until few pieces are left
+    or rounding takes none.
+    """
+    out, left = Counter(), dict(histogram)
+    for dive in range(DIVES):
+        if sum(left.values()) <= FEW:
+            break
+        taken, rest = rounded(fractional(left, capacity, *((0, SLOPES[:1]) if dive else ()))[0], left, capacity)
+        if not taken:
+            break
+        out.update(dict(taken))
+        left = rest
+    return list(out.items()), left
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Configurations with whole multiplicities that place exactly the pieces of the histogram.
 
-    They come from the rounded program, and its rest from best fit. For some hundred pieces rounding can cost more than
-    the program gains over best fit; the plan with fewer sequences is taken.
+    They come from the program, and the last ones from best fit. Best fit's plan is taken where it needs fewer sequences,
+    as for some hundred pieces; which one it was is logged.
     """
     left = {s: n for s, n in histogram.items() if n and s < capacity}
     full = [((capacity,), histogram[capacity])] if histogram.get(capacity) else []
     if not left:
         return full
-    out, rest = rounded(fractional(left, capacity)[0], left, capacity)
-    out += best_fit(rest, capacity)
-    return full + min(out, best_fit(left, capacity), key=lambda p: sum(n for _, n in p))
+    priced, rest = dived(left, capacity)
+    last, alone = best_fit(rest, capacity), best_fit(left, capacity)
+    count = lambda p: sum(n for _, n in p)
+    own = count(priced) + count(last) <= count(alone)
+    LOG.info("sequences: program %d and best fit %d for its rest, best fit alone %d; taken: %s", count(priced), count(last), count(alone), "program" if own else "best fit")
+    return full + (priced + last if own else alone)
 
 
 def places(configs: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:

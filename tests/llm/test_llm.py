@@ -278,6 +278,24 @@ def test_program_is_near_its_bound():
         assert better or sum(solution.values()) <= 1.01 * bound
 
 
+def test_plans_of_real_lengths_come_from_the_program(caplog):
+    """The lengths of sf0.01 many times over: fewer sequences than best fit needs, nearly all from priced configurations."""
+    import duckdb
+
+    encode, histogram = packing.encoder(P.path("byte_bpe_50k.json")), Counter()
+    for (t,) in duckdb.connect().execute("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall():
+        histogram.update(n for _, n in packing.cut(len(encode(t or "")) + 1, 1024) if n < 1024)
+    many = {s: 200 * n for s, n in histogram.items()}
+    alone = sum(n for _, n in packing.best_fit(many, 1024))
+    solution, bound = packing.fractional(many, 1024)
+    assert bound >= sum(s * n for s, n in many.items()) / 1024 and bound <= sum(solution.values()) < min(alone, 1.007 * bound)
+    priced, rest = packing.dived(many, 1024)
+    with caplog.at_level("INFO"):
+        plan = packing.plan(many)
+    assert sum(n for _, n in priced) > 0.99 * sum(n for _, n in plan) and sum(rest.values()) < 500
+    assert sum(n for _, n in plan) < alone and "taken: program" in caplog.text
+
+
 def test_warc(spark):
     big = "<html>" + "x" * 1000
     rows = [(1, "http://www.a.com/x#f", big, 0), (2, "http://a.com/x", big, 0), (3, "https://b.org", "small", 0), (4, None, None, 0), (5, "http://a.com/WARC/1.1\r\n", "WARC/1.1\r\n\r\n", 0), (6, "http://b.org/", "small", 0)]
