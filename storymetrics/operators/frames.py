@@ -27,6 +27,7 @@ def copies(frames: DataFrame, scope: list[str], content: Column, index: str) ->
     """is_duplicate and duplicate_of_frame: the first frame of the scope with the same content.
 
     The first ones are found by grouping, which combines before it shuffles, and joined back, which can split a large group.
+    Null contents are no copies of each other.
     """
     rows = frames.withColumn("_hash", F.sha2(content, 256))
     key = ["_hash", *scope]
@@ -34,7 +35,7 @@ def copies(frames: DataFrame, scope: list[str], content: Column, index: str) ->
     same = F.lit(True)
     for k in key:
         same = same & rows[k].eqNullSafe(first[f"_of_{k}"])
-    out = rows.join(first, same, "left").withColumn("is_duplicate", F.col(index) > F.col("_first"))
+    out = rows.join(first, same, "left").withColumn("is_duplicate", F.col("_hash").isNotNull() & (F.col(index) > F.col("_first")))
     return out.withColumn("duplicate_of_frame", F.when(F.col("is_duplicate"), F.col("_first"))).select(*frames.columns, "is_duplicate", "duplicate_of_frame")
 
 
@@ -100,10 +101,11 @@ def contrast_scorer(pixels: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-(4 * pixels.mean() + 8 * pixels.std() - 3))))
 
 
-def score(images: DataFrame, scorer: Callable[[np.ndarray], float] = contrast_scorer) -> DataFrame:
-    """path, luminance, confidence, label of the rows of Spark's image source; undecodable ones have nulls.
+def score(images: DataFrame, scorer: Callable[[np.ndarray], float | None] = contrast_scorer) -> DataFrame:
+    """path, luminance, fingerprint, confidence, label, model of the rows of Spark's image source; undecodable ones have nulls.
 
-    The scorer is sent to the tasks once; one that loads a model should do so on its first call in a process.
+    A scorer that has weights (`weights.Weights`) loads them on its first picture in a process and tells their version as
+    model; one whose weights are missing gives null scores.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,12 +113,78 @@ def score(images: DataFrame, scorer: Callable[[np.ndarray], float] = contrast_sc
             out = []
             for h, w, n, data in zip(b.height, b.width, b.channels, b.data):
                 if h <= 0 or n <= 0:
-                    out.append((None, None))
+                    out.append((None, None, None))
                     continue
                 pixels = np.frombuffer(data, np.uint8).reshape(h, w, n)
                 pixels = np.repeat(pixels, 3, axis=2) if n == 1 else pixels[..., :3]
-                out.append((luminance(pixels), scorer(prepared(pixels))))
-            yield pd.DataFrame({"path": b.path, "luminance": [x for x, _ in out], "confidence": [x for _, x in out]})
+                out.append((luminance(pixels), fingerprint(pixels), scorer(prepared(pixels))))
+            rows = pd.DataFrame(out, columns=["luminance", "fingerprint", "confidence"]).astype({"luminance": "Float64", "fingerprint": "Int64", "confidence": "Float64"})
+            yield rows.assign(path=b.path, model=getattr(scorer, "version", None))[["path", "luminance", "fingerprint", "confidence", "model"]]
 
     flat = images.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
-    return flat.mapInPandas(run, "path string, luminance double, confidence double").withColumn("label", labelled(F.col("confidence")))
+    return flat.mapInPandas(run, "path string, luminance double, fingerprint bigint, confidence double, model string").withColumn("label", labelled(F.col("confidence")))
+
+
+def fingerprint(pixels: np.ndarray) -> int:
+    """64 bits of a picture that other sizes and compressions hardly change: whether each of 8 x 8 places is brighter than the one to its left."""
+    grey = pixels[..., :3] @ np.array([0.114, 0.587, 0.299])
+    rows, columns = (np.linspace(0, n, m + 1) for n, m in zip(grey.shape, (8, 9)))
+    total = np.zeros((grey.shape[0] + 1, grey.shape[1] + 1))
+    total[1:, 1:] = grey.cumsum(0).cumsum(1)
+
+    def upto(at: np.ndarray, axis: int, held: np.ndarray) -> np.ndarray:
+        """Sums up to places between pixels, which take their part of the pixel that they cut."""
+        low = np.minimum(at.astype(int), held.shape[axis] - 2)
+        part = (at - low).reshape((-1, 1) if axis == 0 else (1, -1))
+        return held.take(low, axis) * (1 - part) + held.take(low + 1, axis) * part
+
+    cells = np.diff(np.diff(upto(columns, 1, upto(rows, 0, total)), axis=0), axis=1) / np.outer(np.diff(rows), np.diff(columns))
+    return int(np.packbits(cells[:, 1:] > cells[:, :-1]).view(">i8")[0])
+
+
+#: Bits in which fingerprints of copies may differ, and pieces of a fingerprint: of as many, at least one is then equal.
+NEAR, BANDS = 7, 8
+
+
+def near_copies(frames: DataFrame, scope: list[str], index: str, bits: str = "fingerprint", most: int = NEAR) -> DataFrame:
+    """is_duplicate and duplicate_of_frame by fingerprints: the first frame of the scope that differs in `most` bits at most.
+
+    Fingerprints of a scope meet where one of BANDS pieces is equal, which none within BANDS - 1 bits can miss; equal ones
+    are one row there. A frame is a copy of the earliest frame that is near it, itself aside; null fingerprints are no
+    copies. Scopes are batches, so what meets in a piece is bounded by a batch.
+    """
+    if most >= BANDS:
+        raise ValueError(f"{BANDS} pieces find all within {BANDS - 1} bits only")
+    keys = [*scope, bits]
+    one = frames.where(F.col(bits).isNotNull()).groupBy(*keys).agg(F.min(index).alias("_first"))
+    width = 64 // BANDS
+    piece = lambda i: F.shiftrightunsigned(F.col(bits), i * width).bitwiseAND((1 << width) - 1)
+    cut = one.select("*", F.posexplode(F.array(*(piece(i) for i in range(BANDS)))).alias("_band", "_piece"))
+    other = cut.select(*(F.col(c).alias(f"_o_{c}") for c in cut.columns))
+    meet = (cut["_band"] == other["_o__band"]) & (cut["_piece"] == other["_o__piece"]) & (other["_o__first"] < cut["_first"])
+    for k in scope:
+        meet = meet & cut[k].eqNullSafe(other[f"_o_{k}"])
+    near = cut.join(other, meet & (F.bit_count(cut[bits].bitwiseXOR(other[f"_o_{bits}"])) <= most))
+    earliest = near.groupBy(*keys).agg(F.min("_o__first").alias("_of"))
+    held = one.join(earliest, keys, "left") if not scope else one.alias("a").join(earliest.alias("b"), _same("a", "b", keys), "left").select("a.*", "b._of")
+    held = held.withColumn("_of", F.coalesce("_of", "_first")).drop("_first").select(*(F.col(k).alias(f"_k_{k}") for k in keys), "_of")
+    same = F.lit(True)
+    for k in keys:
+        same = same & frames[k].eqNullSafe(held[f"_k_{k}"])
+    copy = F.coalesce(F.col(index) > F.col("_of"), F.lit(False))
+    return frames.join(held, same, "left").select(*frames.columns, copy.alias("is_duplicate"), F.when(copy, F.col("_of")).alias("duplicate_of_frame"))
+
+
+def _same(a: str, b: str, keys: list[str]) -> Column:
+    both = F.lit(True)
+    for k in keys:
+        both = both & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return both
+
+
+def told_or_near(frames: DataFrame, scope: list[str], index: str) -> DataFrame:
+    """near_copies() where the provider has told nothing: its own is_duplicate and duplicate_of_frame win where it is not null."""
+    found = near_copies(frames.withColumnRenamed("is_duplicate", "_told").withColumnRenamed("duplicate_of_frame", "_told_of"), scope, index)
+    told = F.col("_told").isNotNull()
+    out = found.withColumn("is_duplicate", F.coalesce("_told", "is_duplicate")).withColumn("duplicate_of_frame", F.when(told, F.col("_told_of")).otherwise(F.col("duplicate_of_frame")))
+    return out.select(frames.columns)
