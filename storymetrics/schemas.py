@@ -21,7 +21,7 @@ FRACTIONS = ("followers", "non_followers")
 VIDEO, IMAGES, ARCHIVE = (".mp4", ".avi", ".mov", ".mkv"), (".jpg", ".jpeg", ".png"), ".zip"
 TERMINAL = ("completed", "failed")
 
-JOBS = "id string, campaign_date date, campaign_name string, product_name string, company string, filename string, file_type string, status string, created_at timestamp_ntz, completed_at timestamp_ntz, error_message string, warnings array<string>"
+JOBS = "id string, campaign_date date, campaign_name string, product_name string, company string, filename string, file_type string, status string, created_at timestamp_ntz, completed_at timestamp_ntz, error_message string, warnings array<string>, path string"
 JOB_METRICS = "job_id string, total_frames int, good_frames int, bad_frames int, processing_time_seconds int, metrics_json string, created_at timestamp_ntz"
 USERS = "id bigint, username string, password_hash string, created_at timestamp_ntz"
 METRICS = T.StructType([T.StructField(n, T.DoubleType() if n in FRACTIONS else T.LongType()) for n in METRIC_NAMES])
