@@ -43,6 +43,13 @@ def frame_name(number: Column) -> Column:
     return F.format_string("frame_%06d.jpg", number)
 
 
+def qualified(path: Column, root: Column) -> Column:
+    """The name of a file below a folder: its path there, with _ between the parts, and six digits where the first part is a number."""
+    below = F.substring(path, F.length(root) + 2, F.length(path))
+    first, rest = F.split_part(below, F.lit("/"), F.lit(1)), F.regexp_replace(below, "^[^/]*/", "")
+    return F.when(below.rlike("^[0-9]+/"), F.concat(F.lpad(first, 6, "0"), F.lit("_"), F.translate(rest, "/", "_"))).otherwise(F.translate(below, "/", "_"))
+
+
 def digest(secret: Column, salt: str) -> Column:
     return F.sha2(F.concat(F.lit(salt), secret), 256)
 

@@ -9,11 +9,11 @@ from . import archives
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("image").option("dropInvalid", False).load(path)
+    return spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path)
 
 
 def is_member(name: Column, suffixes: tuple[str, ...] = VIDEO) -> Column:
