@@ -94,6 +94,11 @@ def share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.concat_ws("/", F.coalesce(part, F.lit(0)).cast("string"), whole.cast("string"))).otherwise("-")
 
 
+def whole(value: Column) -> Column:
+    """A number as it is shown: without its fraction."""
+    return value.cast("int")
+
+
 def badge(status: Column) -> Column:
     """The colour class of a status."""
     return F.when(status == "completed", "success").when(status == "failed", "danger").when(status == "processing", "warning").otherwise("secondary")

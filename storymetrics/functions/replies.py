@@ -15,6 +15,11 @@ def unfenced(reply: Column) -> Column:
     return F.btrim(body, F.lit(" \t\r\n"))
 
 
+def field(text: Column, name: str, kind: str) -> Column:
+    """One field of a JSON object, as a value of the given type."""
+    return F.get_json_object(text, f"$.{name}").cast(kind)
+
+
 #: What each field of a frame must become, by its path; fields of a kind are coerced by the same rule.
 FIELDS = {
     "frame_index": "whole", "is_duplicate": "truth", "duplicate_of_frame": "whole", "actual_frame": "wording",

@@ -61,6 +61,11 @@ def by_status(jobs: DataFrame, status: str = "status") -> DataFrame:
     return jobs.groupBy(F.col(status).alias("status")).agg(F.count("*").alias("jobs"))
 
 
+def counted(rows: DataFrame, name: str) -> DataFrame:
+    """One row: how many there are."""
+    return rows.agg(F.count("*").alias(name))
+
+
 def last_wins(rows: DataFrame, name: list[str], order: list[str]) -> DataFrame:
     """The last row of each name."""
     w = Window.partitionBy(*name).orderBy(*(F.col(c).desc() for c in order))

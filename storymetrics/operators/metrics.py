@@ -14,6 +14,11 @@ def summarize(observations: DataFrame, keys: list[str], value: str, order: Colum
     return held.groupBy(*keys).agg(F.max("_v").alias("max"), F.min("_v").alias("min"), F.round(F.avg("_v"), 6).alias("avg"), F.max_by("_v", order).alias("last"))
 
 
+def last_of(rows: DataFrame, keys: list[str], value: str, order: list[str], name: str, count: str) -> DataFrame:
+    """The value of the last row of each group by the given columns, and how many rows it has."""
+    return rows.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(name), F.count("*").alias(count))
+
+
 def long(frames: DataFrame) -> DataFrame:
     """(job_id, batch_id, pos, metric, value, whole) of the valid frames that are no duplicates; whole: the exact value of a count."""
     each = (F.struct(F.lit(n).alias("metric"), F.col(f"metrics.{n}").cast("double").alias("value"), (F.lit(None) if n in FRACTIONS else F.col(f"metrics.{n}")).cast("bigint").alias("whole")) for n in METRIC_NAMES)

@@ -49,7 +49,7 @@ def metric_summary_wide(t):
 
 @query("SELECT arg_max(text, row(conv_id, turn)) AS last_text, count(*) AS turns, role FROM conversations GROUP BY role")
 def conversation_last(t):
-    return t("conversations").groupBy("role").agg(F.max_by("text", F.struct("conv_id", "turn")).alias("last_text"), F.count("*").alias("turns"))
+    return metrics.last_of(t("conversations"), ["role"], "text", ["conv_id", "turn"], "last_text", "turns")
 
 
 KINDS = ("click", "view", "purchase", "signup", "error")
@@ -88,7 +88,7 @@ def status_counts(t):
 
 @query("SELECT count(*) AS users FROM customer")
 def user_count(t):
-    return t("customer").agg(F.count("*").alias("users"))
+    return jobs.counted(t("customer"), "users")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_name = 'Customer#000000007' AND sha256('salt' || c_name) = sha256('saltCustomer#000000007')")
@@ -216,7 +216,7 @@ def archive_members(t):
 
 @query("SELECT event_id, cast(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def props_json(t):
-    return t("events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return t("events").select("event_id", replies.field(c("props"), "k", "int").alias("k"))
 
 
 @query("SELECT conv_id, turn, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS body FROM conversations")
@@ -238,7 +238,7 @@ def response_roundtrip(t):
 
 @query("SELECT event_id, cast(trunc(value) AS INTEGER) AS shown FROM events")
 def display_int(t):
-    return t("events").select("event_id", c("value").cast("int").alias("shown"))
+    return t("events").select("event_id", names.whole(c("value")).alias("shown"))
 
 
 @query("SELECT event_type, upper(substr(event_type, 1, 1)) || lower(substr(event_type, 2)) AS title, count(*) AS n FROM events GROUP BY event_type")

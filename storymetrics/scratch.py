@@ -59,6 +59,13 @@ def sweep(spark: SparkSession) -> None:
         delete(spark, path)
 
 
+def claimed(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for files that are no table; the caller deletes it."""
+    path = place(spark, name)
+    _written[path] = next(_count)
+    return path
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder that saved() made, and nothing outside the shared folder."""
     if path in _written:
