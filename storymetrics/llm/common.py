@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import BROADCAST_ROWS, alone, delete, dropped, owned, place, saved, scratch, sided, sweep, written, written_since  # noqa: F401
+from ..scratch import BROADCAST_ROWS, alone, claimed, delete, dropped, owned, place, saved, scratch, sided, sweep, written, written_since  # noqa: F401
 
 
 def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:

@@ -197,6 +197,9 @@ def history(captures: DataFrame) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = common.place(spark, "warc")
+    """The captures of all pages, written and read back; pages have no capture time, so `captured` follows page_id."""
+    path = common.claimed(spark, "warc")
     write(common.table(spark, sf_dir, "pages"), path)
-    return history(read(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position")
+    found = history(read(spark, path))
+    common.delete(spark, path)  # the captures are tables by now
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position")
