@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common, text
 
 #: Words of a window, and from one window to the next: a phrase of up to WINDOW - STRIDE + 1 words lies whole in some window.
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 24, 8
 SAMPLE, TRAIN_CHARS, VOCABULARY = 2000, 20_000, 20_000
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 8, 6, 4, 4096
 EPOCHS, BATCH, STEP = 8, 256, 0.01

@@ -347,3 +347,44 @@ def test_a_stage_called_twice_leaves_both_results_whole(spark):
     common.sweep(spark)
     third = corpus_pipeline.ngram_jaccard_join(spark, docs, SF)
     assert first.count() == again.count() > 0 and third.count() > 0
+
+
+def test_toxicity_scores_are_recomputed_window_by_window(spark):
+    """The score of a text from its words, one window, direction and step after the other, in plain Python."""
+    docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
+    network = toxicity.fit(docs, labels)
+    p, size, sig = network.p, toxicity.HIDDEN, lambda x: 1 / (1 + np.exp(-x))
+    known = {int(h): i + 1 for i, h in enumerate(network.vocabulary)}
+    texts = ["", None, "one", "You ARE a shame and a bore", " ".join(f"w{i % 13} is so bad" for i in range(30)), docs.where("n_chars > 3000").orderBy("doc_id").first()["text"]]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), network).collect()}
+
+    def vector(word):
+        low = bytes(c + 32 if 65 <= c <= 90 else c for c in word)
+        data = np.frombuffer(low, np.uint8)
+        number = known.get(int(toxicity.text.words(data, np.array([0, len(data)]), fold=True).hash[0]), 0)
+        around = [0, *low, 0]
+        buckets = [((a * 65536 + b * 256 + c) * 2654435761 >> 7) % toxicity.CHAR_BUCKETS for a, b, c in zip(around, around[1:], around[2:])]
+        return np.concatenate([p["word"][number], np.mean([p["char"][b] for b in buckets], axis=0)]).astype(float)
+
+    def run(vectors, k):
+        h, out = np.zeros(size), []
+        for x in vectors:
+            g, u = x @ p["x"][k] + p["bias"][k, 0], h @ p["h"][k]
+            z, r = sig(g[:size] + u[:size]), sig(g[size : 2 * size] + u[size : 2 * size])
+            c = np.tanh(g[2 * size :] + r * u[2 * size :])
+            h = (1 - z) * c + z * h
+            out.append(h)
+        return out
+
+    for i, t in enumerate(texts):
+        words = [vector(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
+        last = max(0, len(words) - toxicity.WINDOW)
+        starts = sorted({*range(0, last, toxicity.STRIDE), last}) if words else []
+        logits = []
+        for s in starts:
+            part = words[s : s + toxicity.WINDOW]
+            states = np.concatenate([run(part, 0), run(part[::-1], 1)[::-1]], axis=1)
+            look = np.exp(states @ p["look"] - (states @ p["look"]).max())
+            logits.append((look / look.sum()) @ states @ p["out"] + p["base"][0])
+        want = sig(network.calibration @ [max(logits), math.log(len(logits)), 1]) if logits else network.rate
+        assert abs(got[i] - want) < 1e-3, i
