@@ -1,6 +1,6 @@
 """Joins, filters, pages and guarded writes of jobs, metrics and users, as transformations of tables."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import TERMINAL
@@ -67,9 +67,9 @@ def counted(rows: DataFrame, name: str) -> DataFrame:
 
 
 def last_wins(rows: DataFrame, name: list[str], order: list[str]) -> DataFrame:
-    """The last row of each name."""
-    w = Window.partitionBy(*name).orderBy(*(F.col(c).desc() for c in order))
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The last row of each name; grouping picks it before rows are shuffled, so a name that most rows have is no burden."""
+    last = F.max_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(*(F.col(n).alias(f"_of_{n}") for n in name)).agg(last.alias("_row")).select("_row.*")
 
 
 def users_matching(users: DataFrame, name: str, digest: Column, name_column: str = "username", hash_column: str = "password_hash") -> DataFrame:
