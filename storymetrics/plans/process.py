@@ -59,7 +59,7 @@ def answer(store: Store, batches: DataFrame, provider: Provider, retries: int, a
     held = attempts.answers(log, keys)
     run_replies(store, held.where("reply IS NOT NULL").select(*keys, "reply"), at, batches.select(*keys, "frame_index", "filename"))
     store.replace("attempts", log.select("job_id").distinct(), log.withColumn("created_at", at.cast("timestamp_ntz")))
-    for r in held.where("reply IS NULL").groupBy("job_id").agg(F.count("*").alias("n"), F.max("outcome").alias("last")).collect():  # a row for each job of the call
+    for r in held.where("reply IS NULL").groupBy("job_id").agg(F.count("*").alias("n")).collect():  # a row for each job of the call
         store.warn(r["job_id"], [f"{r['n']} batches without a usable reply"])
     scratch.dropped(log)
 
